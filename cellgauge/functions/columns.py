@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,6 +115,11 @@ def to_timestamp_ntz(c) -> Column:
 # --- time ------------------------------------------------------------------------------------
 
 
+def ntz(moment: datetime | None) -> Column:
+    """Zone-less literal of a naive datetime, independent of the Python and session time zones."""
+    return F.lit(None if moment is None else moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def from_epoch_seconds(seconds) -> Column:
     """Zone-less UTC timestamp, whatever the session time zone."""
     zero = F.lit(0)
@@ -173,18 +180,21 @@ def age_days(since, as_of) -> Column:
 # --- numbers and text ------------------------------------------------------------------------
 
 
+# Rounding goes through a decimal: float noise below 1e-9, which depends on the order of addition,
+# cannot turn a tie one way or the other.
+_EXACT = "decimal(38,9)"
+
+
 def round_half_up(x, digits: int = 1) -> Column:
-    """Round through a decimal: float noise below 1e-9 cannot turn a tie the wrong way."""
-    return F.round(_col(x).cast("decimal(18,9)"), digits).cast("double")
+    return F.round(_col(x).cast(_EXACT), digits).cast("double")
 
 
 def round_half_even(x, digits: int = 1) -> Column:
-    scale = float(10**digits)
-    return F.rint(_col(x) * scale) / scale
+    return F.bround(_col(x).cast(_EXACT), digits).cast("double")
 
 
 def percent_text(x) -> Column:
-    return F.concat(F.round(_col(x).cast("decimal(18,9)"), 1).cast("string"), F.lit("%"))
+    return F.concat(F.round(_col(x).cast(_EXACT), 1).cast("string"), F.lit("%"))
 
 
 def ratio(numerator, denominator) -> Column:

@@ -35,10 +35,11 @@ class Network:
     telemetry: DataFrame
     sessions: DataFrame
     unique_hours: bool = False
+    towers_fit: bool | None = None
 
-    @cached_property
-    def towers_fit(self) -> bool:
-        return fits(self.towers.select("tower_id"))
+    def __post_init__(self):
+        if self.towers_fit is None:
+            self.towers_fit = fits(self.towers.select("tower_id"))
 
     @cached_property
     def profile(self) -> DataFrame:

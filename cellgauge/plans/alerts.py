@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgauge.functions.columns import percent_text
+from cellgauge.functions.columns import ntz, percent_text
 from cellgauge.operators.dedupe import keep_first
 from cellgauge.schemas import ALERT_SCHEMA
 
@@ -30,7 +30,7 @@ def _alert(rows: DataFrame, category: str, kind: Column, severity: Column, messa
         F.lit(category).alias("alert_category"),
         severity.cast("int").alias("severity"),
         message.alias("message"),
-        F.lit(as_of).cast("timestamp_ntz").alias("triggered_at"),
+        ntz(as_of).alias("triggered_at"),
         F.lit("ACTIVE").alias("status"),
     )
 
@@ -116,7 +116,7 @@ def expire_alerts(alerts: DataFrame, hotspots: DataFrame, as_of: datetime, keep_
     joined = alerts.join(still_hot, "tower_id", "left")
     return joined.withColumns(
         {
-            "resolved_at": F.when(over, F.lit(as_of).cast("timestamp_ntz")).otherwise(F.col("resolved_at")),
+            "resolved_at": F.when(over, ntz(as_of)).otherwise(F.col("resolved_at")),
             "status": F.when(over, "RESOLVED").otherwise(F.col("status")),
         }
     ).select(*ALERT_SCHEMA.names)

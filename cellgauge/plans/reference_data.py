@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgauge.functions.columns import cell_type, from_epoch_seconds, tower_key
+from cellgauge.functions.columns import cell_type, from_epoch_seconds, ntz, tower_key
 from cellgauge.operators.dedupe import keep_first
 from cellgauge.operators.sampling import TOP_N_ROWS, take_by_hash
 from cellgauge.operators.spatial import point_in_polygon
@@ -91,7 +91,7 @@ def build_tower_master(cells: DataFrame, seeded_at: datetime | None = None) -> D
         "province_name",
         "island_group",
         from_epoch_seconds("updated").alias("last_updated"),
-        F.lit(seeded_at).cast("timestamp_ntz").alias("seeded_at"),
+        ntz(seeded_at).alias("seeded_at"),
     )
 
 
@@ -132,5 +132,5 @@ def upsert_provinces(current: DataFrame, towers: DataFrame, added_at: datetime |
         F.coalesce("province_id", fresh_id).alias("province_id"),
         "province_name",
         F.when(F.col("_seen").isNull(), F.col("island_group")).otherwise(F.col("_island")).alias("island_group"),
-        F.when(fresh, F.lit(added_at).cast("timestamp_ntz")).otherwise(F.col("added_at")).alias("added_at"),
+        F.when(fresh, ntz(added_at)).otherwise(F.col("added_at")).alias("added_at"),
     )

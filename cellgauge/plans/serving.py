@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cellgauge.functions.columns import (
     age_days,
     day_of_week,
+    ntz,
     percent_of,
     round_half_even,
     round_half_up,
@@ -336,7 +337,7 @@ def active_alerts(
     wanted = {"alert_type": alert_type, "province_name": province, "island_group": island_group}
     return (
         matching(rows, wanted)
-        .withColumn("days_active", age_days("triggered_at", F.lit(as_of)))
+        .withColumn("days_active", age_days("triggered_at", ntz(as_of)))
         .select(
             "alert_id",
             "tower_id",
@@ -390,7 +391,7 @@ def alert_summary(alerts: DataFrame, towers: DataFrame, as_of: datetime) -> Data
         F.count("province_name").alias("provinces_affected"),
         F.min("_oldest").alias("_oldest"),
     )
-    oldest = F.coalesce(round_half_even(age_days("_oldest", F.lit(as_of))), F.lit(0.0))
+    oldest = F.coalesce(round_half_even(age_days("_oldest", ntz(as_of))), F.lit(0.0))
     return totals.withColumn("oldest_alert_days", oldest).drop("_oldest")
 
 

@@ -3,50 +3,68 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
+from pyspark.sql.types import StructField, StructType
+
+_TYPES = {
+    "STRING": T.StringType(),
+    "INT": T.IntegerType(),
+    "BIGINT": T.LongType(),
+    "DOUBLE": T.DoubleType(),
+    "BOOLEAN": T.BooleanType(),
+    "DATE": T.DateType(),
+    "TIMESTAMP_NTZ": T.TimestampNTZType(),
+}
+
+
+def _schema(columns: str) -> StructType:
+    """StructType from "name TYPE [NOT NULL], ..."; unlike fromDDL it needs no running session."""
+    parts = (c.split(None, 2) for c in columns.split(","))
+    return StructType([StructField(p[0], _TYPES[p[1]], len(p) < 3) for p in parts])
+
 
 # Column order of the public cell-site CSV, which has no header row.
-CELL_SCHEMA = StructType.fromDDL(
+CELL_SCHEMA = _schema(
     "radio STRING, mcc INT, net INT, area INT, cell BIGINT, unit INT, lon DOUBLE, lat DOUBLE, "
     "range INT, samples INT, changeable INT, created BIGINT, updated BIGINT, averageSignal INT"
 )
 
 # `cell` is wider than the 32-bit id some stores use: LTE cell ids may need it.
-TOWER_SCHEMA = StructType.fromDDL(
+TOWER_SCHEMA = _schema(
     "tower_id STRING NOT NULL, radio STRING NOT NULL, mcc INT NOT NULL, mnc INT NOT NULL, "
     "area INT NOT NULL, cell BIGINT NOT NULL, lon DOUBLE NOT NULL, lat DOUBLE NOT NULL, range_m INT, "
     "samples INT, changeable INT, cell_type STRING NOT NULL, province_name STRING, island_group STRING, "
     "last_updated TIMESTAMP_NTZ, seeded_at TIMESTAMP_NTZ"
 )
 
-PROVINCE_SCHEMA = StructType.fromDDL(
+PROVINCE_SCHEMA = _schema(
     "province_id BIGINT, province_name STRING NOT NULL, island_group STRING, added_at TIMESTAMP_NTZ"
 )
 
-SUBSCRIBER_SCHEMA = StructType.fromDDL(
+SUBSCRIBER_SCHEMA = _schema(
     "subscriber_id STRING NOT NULL, plan_tier STRING NOT NULL, home_region STRING NOT NULL, "
     "seeded_at TIMESTAMP_NTZ"
 )
 
-ALERT_SCHEMA = StructType.fromDDL(
+ALERT_SCHEMA = _schema(
     "alert_id BIGINT, tower_id STRING NOT NULL, alert_type STRING NOT NULL, alert_category STRING NOT NULL, "
     "severity INT NOT NULL, message STRING, triggered_at TIMESTAMP_NTZ NOT NULL, "
     "resolved_at TIMESTAMP_NTZ, status STRING NOT NULL"
 )
 
-TELEMETRY_SCHEMA = StructType.fromDDL(
+TELEMETRY_SCHEMA = _schema(
     "tower_id STRING NOT NULL, event_hour TIMESTAMP_NTZ NOT NULL, prb_utilization DOUBLE, "
     "throughput_mbps DOUBLE, latency_ms DOUBLE, dropped_call_rate DOUBLE, handover_count INT, "
     "connected_subscribers INT, is_sensor_fault BOOLEAN, partition_date DATE NOT NULL"
 )
 
-SESSION_SCHEMA = StructType.fromDDL(
+SESSION_SCHEMA = _schema(
     "subscriber_id STRING NOT NULL, tower_id STRING NOT NULL, session_start TIMESTAMP_NTZ NOT NULL, "
     "session_end TIMESTAMP_NTZ, session_duration_min DOUBLE, service_type STRING NOT NULL, "
     "bytes_transferred BIGINT, partition_date DATE NOT NULL"
 )
 
-THRESHOLD_SCHEMA = StructType.fromDDL(
+THRESHOLD_SCHEMA = _schema(
     "cell_type STRING, prb_warn_pct DOUBLE, prb_critical_pct DOUBLE, latency_warn_ms DOUBLE, "
     "dropped_call_warn_pct DOUBLE"
 )
@@ -122,5 +140,5 @@ def default_thresholds(spark: SparkSession) -> DataFrame:
 
 
 def island_groups(spark: SparkSession) -> DataFrame:
-    schema = StructType.fromDDL("province_name STRING, island_group STRING")
+    schema = _schema("province_name STRING, island_group STRING")
     return _inline(spark, list(ISLAND_GROUPS.items()), schema)

@@ -23,13 +23,16 @@ def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(THRESHOLD_SCHEMA).csv(path, header=True, mode="FAILFAST")
 
 
-def read_provinces(spark: SparkSession, path: str, name_property: str | None = None) -> DataFrame:
-    """(province_name, polygons) from a GeoJSON feature collection; a Polygon becomes a list of one.
+def read_provinces(
+    spark: SparkSession, path: str, name_property: str | None = None, one_document: bool = True
+) -> DataFrame:
+    """(province_name, polygons) from GeoJSON; a Polygon becomes a list of one.
 
-    The name is the first known name property that any feature has, or else the first property."""
+    A file is one feature collection, or has one collection per line if not ``one_document``; only the
+    latter can be split between tasks. The name is the first known name property that any feature has, or else the first property."""
     features = (
         spark.read.schema("features ARRAY<STRING>")
-        .json(path, multiLine=True)
+        .json(path, multiLine=one_document)
         .select(F.explode("features").alias("feature"))
         .select(
             F.from_json(F.get_json_object("feature", "$.properties"), "MAP<STRING, STRING>").alias("properties"),
@@ -40,13 +43,12 @@ def read_provinces(spark: SparkSession, path: str, name_property: str | None = N
     if name_property is not None:
         name = F.try_element_at("properties", F.lit(name_property))
     else:
-        present = features.agg(
-            *(F.bool_or(F.map_contains_key("properties", p)).alias(p) for p in NAME_PROPERTIES)
-        )
-        column = F.coalesce(
-            *(F.when(present.select(p).scalar(), F.lit(p)) for p in NAME_PROPERTIES),
-            F.get(F.map_keys("properties"), 0),
+        ranks = F.coalesce(
+            *(F.when(F.map_contains_key("properties", p), i) for i, p in enumerate(NAME_PROPERTIES))
         )
+        best = features.agg(F.min(ranks)).scalar()
+        known = F.get(F.array(*(F.lit(p) for p in NAME_PROPERTIES)), best)
+        column = F.coalesce(known, F.get(F.map_keys("properties"), F.lit(0)))
         name = F.try_element_at("properties", column)
     ring = "ARRAY<ARRAY<ARRAY<DOUBLE>>>"
     polygons = F.when(F.col("kind") == "Polygon", F.array(F.from_json("coordinates", ring))).when(
