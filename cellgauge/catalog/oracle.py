@@ -190,12 +190,13 @@ _PARTS: dict[str, tuple[str, str]] = {
     ),
     "tagged": (
         "newest corners",
-        """SELECT c.*, (SELECT min(name) FROM (
-                SELECT e.name FROM (SELECT name, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2
-                    FROM corners WINDOW w AS (PARTITION BY n, part ORDER BY pos)) e
-                WHERE x2 IS NOT NULL AND (y1 > c.lat) <> (y2 > c.lat)
-                    AND c.lon < (x2 - x1) * (c.lat - y1) / (y2 - y1) + x1
-                GROUP BY e.name HAVING count(*) % 2 = 1)) AS province
+        """SELECT c.*, (SELECT min(name) FROM (SELECT name FROM (
+                SELECT name, (y1 > c.lat) <> (y2 > c.lat) AND c.lon < (x2 - x1) * (c.lat - y1) / (y2 - y1) + x1 AS cut,
+                    (x2 - x1) * (c.lat - y1) = (c.lon - x1) * (y2 - y1) AND c.lon BETWEEN least(x1, x2)
+                        AND greatest(x1, x2) AND c.lat BETWEEN least(y1, y2) AND greatest(y1, y2) AS touched
+                FROM (SELECT name, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2
+                    FROM corners WINDOW w AS (PARTITION BY n, part ORDER BY pos)) WHERE x2 IS NOT NULL)
+            GROUP BY name HAVING count(*) FILTER (cut) % 2 = 1 AND count(*) FILTER (touched) = 0)) AS province
         FROM newest c""",
     ),
     "placed": (
@@ -241,7 +242,7 @@ _HALF_UP = "round(({0})::DECIMAL(18,9), 1)::DOUBLE"
 _EVEN = """(list_transform([({0})::DECIMAL(18,9) * 10], lambda t: CASE WHEN t - floor(t) = 0.5
     THEN floor(t) + floor(t) % 2 ELSE round(t, 0) END)[1]::DOUBLE / 10)"""
 
-_READING_COLUMNS = """tower_id, event_hour, round({prb}, 6) AS prb_utilization, thr AS throughput_mbps,
+_READING_COLUMNS = """tower_id, event_hour, round(({prb})::DECIMAL(28,9), 6)::DOUBLE AS prb_utilization, thr AS throughput_mbps,
     lat_ms AS latency_ms, dropped AS dropped_call_rate, handovers AS handover_count, subs AS connected_subscribers,
     {fault} AS is_sensor_fault, event_hour::DATE AS partition_date"""
 _CLEAN_READINGS = "SELECT " + _READING_COLUMNS.format(prb="prb", fault="fault") + " FROM readings"
@@ -311,17 +312,17 @@ _NEW_IDS = """SELECT ('0x' || substr(sha256(concat_ws('|', tower_id, alert_categ
     tower_id, alert_type, alert_category, severity, message, triggered_at, NULL::TIMESTAMP AS resolved_at, status
 FROM fresh"""
 
-_GRID = ", ".join(f"round(avg(prb) FILTER (hour(event_hour) = {h}), 6) AS h{h:02d}" for h in range(24))
+_GRID = ", ".join(f"round((avg(prb) FILTER (hour(event_hour) = {h}))::DECIMAL(28,9), 6)::DOUBLE AS h{h:02d}" for h in range(24))
 
 _IMPACT_ROWS = """tower_id, event_hour, severity, subs AS subscriber_count_affected,
-    round(minutes, 6) AS degraded_session_minutes, voice AS voice_sessions, data AS data_sessions,
+    round(minutes::DECIMAL(28,9), 6)::DOUBLE AS degraded_session_minutes, voice AS voice_sessions, data AS data_sessions,
     sms AS sms_sessions"""
 
 _CELL_KEY = "radio, mcc, net, area, cell"
 
 ORACLE: dict[str, str] = {
     "cell_csv_roundtrip": _with(
-        "cells", 'SELECT * REPLACE (round(lon, 6) AS lon, round(lat, 6) AS lat) FROM cells'
+        "cells", 'SELECT * REPLACE (round(lon::DECIMAL(28,9), 6)::DOUBLE AS lon, round(lat::DECIMAL(28,9), 6)::DOUBLE AS lat) FROM cells'
     ),
     "telemetry_lake_roundtrip": _with("readings", _CLEAN_READINGS),
     "province_geojson_bounds": _with(
@@ -334,7 +335,7 @@ ORACLE: dict[str, str] = {
     "staged_sessions_view": _with(
         "sessions",
         """SELECT sub AS subscriber_id, tower_id, s_start AS session_start, s_end AS session_end,
-            round(mins, 6) AS session_duration_min, service AS service_type, bytes AS bytes_transferred,
+            round(mins::DECIMAL(28,9), 6)::DOUBLE AS session_duration_min, service AS service_type, bytes AS bytes_transferred,
             s_start::DATE AS partition_date FROM sessions""",
     ),
     "telemetry_clean": _with(
@@ -351,7 +352,7 @@ ORACLE: dict[str, str] = {
     "sessions_clean": _with(
         "dirty_sessions towers",
         """SELECT sub AS subscriber_id, tower_id, s_start AS session_start, s_end AS session_end,
-            round(mins, 6) AS session_duration_min, service AS service_type, bytes AS bytes_transferred,
+            round(mins::DECIMAL(28,9), 6)::DOUBLE AS session_duration_min, service AS service_type, bytes AS bytes_transferred,
             s_start::DATE AS partition_date
         FROM dirty_sessions
         WHERE service IS NOT NULL AND tower_id IN (SELECT tower_id FROM towers)
@@ -367,7 +368,7 @@ ORACLE: dict[str, str] = {
     "scored_telemetry": _with(
         "scored",
         """SELECT tower_id, event_hour, warn AS threshold_warn, crit AS threshold_critical, severity,
-            round(health, 6) AS health_score FROM scored""",
+            round(health::DECIMAL(28,9), 6)::DOUBLE AS health_score FROM scored""",
     ),
     "reading_features": _with(
         "scored",
@@ -381,12 +382,12 @@ ORACLE: dict[str, str] = {
     ),
     "health_null_handling": _with(
         "scored",
-        """SELECT tower_id, event_hour, CASE WHEN handovers % 5 = 0 THEN 100 ELSE round(health, 6) END AS health_score,
-            CASE WHEN handovers % 5 <> 0 THEN round(health, 6) END AS strict_score FROM scored""",
+        """SELECT tower_id, event_hour, CASE WHEN handovers % 5 = 0 THEN 100 ELSE round(health::DECIMAL(28,9), 6)::DOUBLE END AS health_score,
+            CASE WHEN handovers % 5 <> 0 THEN round(health::DECIMAL(28,9), 6)::DOUBLE END AS strict_score FROM scored""",
     ),
     "capacity_shares": _with(
         "towers",
-        """SELECT tower_id, cell_type, weight, round(weight / sum(weight) OVER (), 6) AS capacity_share
+        """SELECT tower_id, cell_type, weight, round((weight / sum(weight) OVER ())::DECIMAL(28,9), 6)::DOUBLE AS capacity_share
         FROM (SELECT *, CASE cell_type WHEN 'urban' THEN 3 WHEN 'suburban' THEN 2 ELSE 1 END::DOUBLE AS weight
             FROM towers)""",
     ),
@@ -395,15 +396,15 @@ ORACLE: dict[str, str] = {
         """SELECT count(*) AS row_count, max(part) FILTER (NOT fault) AS last_valid_day, max(part) AS last_partition
         FROM readings""",
     ),
-    "selected_cells": _with("chosen", "SELECT * REPLACE (round(lon, 6) AS lon, round(lat, 6) AS lat) FROM chosen"),
-    "newest_cells": _with("newest", "SELECT * REPLACE (round(lon, 6) AS lon, round(lat, 6) AS lat) FROM newest"),
+    "selected_cells": _with("chosen", "SELECT * REPLACE (round(lon::DECIMAL(28,9), 6)::DOUBLE AS lon, round(lat::DECIMAL(28,9), 6)::DOUBLE AS lat) FROM chosen"),
+    "newest_cells": _with("newest", "SELECT * REPLACE (round(lon::DECIMAL(28,9), 6)::DOUBLE AS lon, round(lat::DECIMAL(28,9), 6)::DOUBLE AS lat) FROM newest"),
     "province_tags": _with(
         "placed", f"SELECT {_CELL_KEY}, province AS province_name, island AS island_group FROM placed"
     ),
     "tower_master_build": _with(
         "placed",
         """SELECT substr(sha256(radio || '|' || mcc || '|' || net || '|' || area || '|' || cell), 1, 12) AS tower_id,
-            radio, mcc, net AS mnc, area, cell, round(lon, 6) AS lon, round(lat, 6) AS lat, "range" AS range_m, samples,
+            radio, mcc, net AS mnc, area, cell, round(lon::DECIMAL(28,9), 6)::DOUBLE AS lon, round(lat::DECIMAL(28,9), 6)::DOUBLE AS lat, "range" AS range_m, samples,
             changeable, CASE WHEN coalesce("range", 0) = 0 THEN 'suburban' WHEN "range" < 1000 THEN 'urban'
                 WHEN "range" <= 5000 THEN 'suburban' ELSE 'rural' END AS cell_type,
             province AS province_name, island AS island_group,
@@ -419,10 +420,10 @@ ORACLE: dict[str, str] = {
     "cell_sample_all": _with("newest", f"SELECT {_CELL_KEY} FROM newest"),
     "tower_upsert": _with(
         "towers",
-        """SELECT tower_id, radio, mcc, mnc, area, cell, round(lon, 6) AS lon, round(lat, 6) AS lat, range_m, samples,
+        """SELECT tower_id, radio, mcc, mnc, area, cell, round(lon::DECIMAL(28,9), 6)::DOUBLE AS lon, round(lat::DECIMAL(28,9), 6)::DOUBLE AS lat, range_m, samples,
             changeable, cell_type, 'Last' AS province_name, island_group FROM towers
         UNION ALL
-        SELECT 'new-' || tower_id, 'NR', mcc, mnc, area, cell, round(lon, 6), round(lat, 6), range_m, 1, changeable,
+        SELECT 'new-' || tower_id, 'NR', mcc, mnc, area, cell, round(lon::DECIMAL(28,9), 6)::DOUBLE, round(lat::DECIMAL(28,9), 6)::DOUBLE, range_m, 1, changeable,
             cell_type, 'First', island_group FROM towers""",
     ),
     "province_upsert": _with(
@@ -439,13 +440,13 @@ ORACLE: dict[str, str] = {
     ),
     "congestion_events": _with(
         "ev",
-        """SELECT tower_id, event_hour, round(prb, 6) AS prb_utilization, warn AS threshold_warn,
+        """SELECT tower_id, event_hour, round(prb::DECIMAL(28,9), 6)::DOUBLE AS prb_utilization, warn AS threshold_warn,
             crit AS threshold_critical, severity, false AS is_sensor_fault FROM ev""",
     ),
     "hotspot_summary": _with(
         "hot",
-        """SELECT tower_id, round(f7, 6) AS congestion_frequency_7d, round(f30, 6) AS congestion_frequency_30d,
-            round(mean_prb, 6) AS avg_prb_utilization, peak::INT AS peak_congestion_hour,
+        """SELECT tower_id, round(f7::DECIMAL(28,9), 6)::DOUBLE AS congestion_frequency_7d, round(f30::DECIMAL(28,9), 6)::DOUBLE AS congestion_frequency_30d,
+            round(mean_prb::DECIMAL(28,9), 6)::DOUBLE AS avg_prb_utilization, peak::INT AS peak_congestion_hour,
             hours AS total_affected_subscriber_hours FROM hot""",
     ),
     "hotspot_summary_repeated_hours": _with(
@@ -458,19 +459,19 @@ ORACLE: dict[str, str] = {
                 part >= (SELECT max(part) FROM twice) - 30 AS mo
             FROM twice t LEFT JOIN e ON e.tower_id = t.tower_id AND e.event_hour = t.event_hour)
         SELECT tower_id,
-            round(coalesce(100 * (count(DISTINCT hot_hour) FILTER (wk))::DOUBLE
-                / nullif(count(DISTINCT event_hour) FILTER (wk), 0), 0), 6) AS congestion_frequency_7d,
-            round(coalesce(100 * (count(DISTINCT hot_hour) FILTER (mo))::DOUBLE
-                / nullif(count(DISTINCT event_hour) FILTER (mo), 0), 0), 6) AS congestion_frequency_30d,
-            round(avg(prb), 6) AS avg_prb_utilization,
+            round((coalesce(100 * (count(DISTINCT hot_hour) FILTER (wk))::DOUBLE
+                / nullif(count(DISTINCT event_hour) FILTER (wk), 0), 0))::DECIMAL(28,9), 6)::DOUBLE AS congestion_frequency_7d,
+            round((coalesce(100 * (count(DISTINCT hot_hour) FILTER (mo))::DOUBLE
+                / nullif(count(DISTINCT event_hour) FILTER (mo), 0), 0))::DECIMAL(28,9), 6)::DOUBLE AS congestion_frequency_30d,
+            round(avg(prb)::DECIMAL(28,9), 6)::DOUBLE AS avg_prb_utilization,
             (mode() WITHIN GROUP (ORDER BY hour(hot_hour)))::INT AS peak_congestion_hour,
             count(DISTINCT hot_hour) AS total_affected_subscriber_hours
         FROM j GROUP BY tower_id""",
     ),
     "peak_hour_patterns": _with(
         "peaks",
-        """SELECT tower_id, h AS hour_of_day, round(mean_prb, 6) AS avg_prb_utilization,
-            round(rate, 6) AS congestion_occurrence_rate, days AS days_congested FROM peaks""",
+        """SELECT tower_id, h AS hour_of_day, round(mean_prb::DECIMAL(28,9), 6)::DOUBLE AS avg_prb_utilization,
+            round(rate::DECIMAL(28,9), 6)::DOUBLE AS congestion_occurrence_rate, days AS days_congested FROM peaks""",
     ),
     "network_health_snapshot": _with(
         "health", "SELECT tower_id, score AS health_score, subs AS connected_subscribers FROM health"
@@ -504,9 +505,9 @@ ORACLE: dict[str, str] = {
     "province_leaderboard_30d": _with("hot health towers", _province_board("f30")),
     "province_towers": _with(
         "towers scored readings hot",
-        f"""SELECT m.* EXCLUDE (island_group, lat, lon), round(lat, 6) AS lat, round(lon, 6) AS lon,
-            coalesce(round(f7, 6), 0) AS congestion_frequency_7d, coalesce(round(f30, 6), 0) AS congestion_frequency_30d,
-            coalesce(round(mean_prb, 6), 0) AS hotspot_avg_prb
+        f"""SELECT m.* EXCLUDE (island_group, lat, lon), round(lat::DECIMAL(28,9), 6)::DOUBLE AS lat, round(lon::DECIMAL(28,9), 6)::DOUBLE AS lon,
+            coalesce(round(f7::DECIMAL(28,9), 6)::DOUBLE, 0) AS congestion_frequency_7d, coalesce(round(f30::DECIMAL(28,9), 6)::DOUBLE, 0) AS congestion_frequency_30d,
+            coalesce(round(mean_prb::DECIMAL(28,9), 6)::DOUBLE, 0) AS hotspot_avg_prb
         FROM ({_tower_map('7 DAY')}) m LEFT JOIN hot USING (tower_id)""",
     ),
     "province_towers_view": _with(
@@ -517,46 +518,46 @@ ORACLE: dict[str, str] = {
     ),
     "map_scope_by_tower": _with(
         "towers scored readings",
-        f"""SELECT * REPLACE (round(lat, 6) AS lat, round(lon, 6) AS lon) FROM ({_tower_map('7 DAY')})
+        f"""SELECT * REPLACE (round(lat::DECIMAL(28,9), 6)::DOUBLE AS lat, round(lon::DECIMAL(28,9), 6)::DOUBLE AS lon) FROM ({_tower_map('7 DAY')})
         WHERE province_name = (SELECT province_name FROM towers WHERE tower_id = '1')""",
     ),
     "map_scope_by_province": _with(
         "towers scored readings",
-        f"""SELECT * REPLACE (round(lat, 6) AS lat, round(lon, 6) AS lon) FROM ({_tower_map('7 DAY')})
+        f"""SELECT * REPLACE (round(lat::DECIMAL(28,9), 6)::DOUBLE AS lat, round(lon::DECIMAL(28,9), 6)::DOUBLE AS lon) FROM ({_tower_map('7 DAY')})
         WHERE province_name = 'NATION_3'""",
     ),
     "latest_reading": _with(
         "readings",
-        """SELECT tower_id, event_hour, round(prb, 6) AS prb_utilization, subs AS connected_subscribers
+        """SELECT tower_id, event_hour, round(prb::DECIMAL(28,9), 6)::DOUBLE AS prb_utilization, subs AS connected_subscribers
         FROM readings WHERE NOT fault
         QUALIFY row_number() OVER (PARTITION BY tower_id ORDER BY event_hour DESC) = 1""",
     ),
     "tower_metadata": _with(
         "towers limits",
-        """SELECT tower_id, round(lat, 6) AS lat, round(lon, 6) AS lon, radio, mnc, cell_type, province_name,
+        """SELECT tower_id, round(lat::DECIMAL(28,9), 6)::DOUBLE AS lat, round(lon::DECIMAL(28,9), 6)::DOUBLE AS lon, radio, mnc, cell_type, province_name,
             island_group, warn AS prb_warn_pct, crit AS prb_critical_pct, slow AS latency_warn_ms
         FROM towers JOIN limits USING (cell_type)""",
     ),
     "prb_series": _with(
         "readings",
-        """SELECT tower_id, event_hour, round(prb, 6) AS prb_utilization, subs AS connected_subscribers
+        """SELECT tower_id, event_hour, round(prb::DECIMAL(28,9), 6)::DOUBLE AS prb_utilization, subs AS connected_subscribers
         FROM (SELECT *, max(event_hour) OVER (PARTITION BY tower_id) AS newest FROM readings)
         WHERE NOT fault AND event_hour >= newest - INTERVAL 7 DAY""",
     ),
     "event_history": _with(
         "impact",
         """SELECT tower_id, event_hour::DATE AS event_date, hour(event_hour)::INT AS hour, severity,
-            subs AS subscribers_affected, round(coalesce(minutes, 0), 6) AS degraded_minutes FROM impact""",
+            subs AS subscribers_affected, round((coalesce(minutes, 0))::DECIMAL(28,9), 6)::DOUBLE AS degraded_minutes FROM impact""",
     ),
     "peak_hour_profile": _with(
         "peaks",
-        """SELECT tower_id, h AS hour_of_day, round(mean_prb, 6) AS avg_prb_utilization,
-            round(rate, 6) AS congestion_occurrence_rate FROM peaks""",
+        """SELECT tower_id, h AS hour_of_day, round(mean_prb::DECIMAL(28,9), 6)::DOUBLE AS avg_prb_utilization,
+            round(rate::DECIMAL(28,9), 6)::DOUBLE AS congestion_occurrence_rate FROM peaks""",
     ),
     "prb_by_weekday_hour": _with(
         "readings",
         """SELECT tower_id, dayofweek(event_hour)::INT AS day_of_week, hour(event_hour)::INT AS hour_of_day,
-            round(avg(prb), 6) AS avg_prb FROM readings WHERE NOT fault GROUP BY ALL""",
+            round(avg(prb)::DECIMAL(28,9), 6)::DOUBLE AS avg_prb FROM readings WHERE NOT fault GROUP BY ALL""",
     ),
     "weekday_hour_grid": _with(
         "readings",
@@ -573,7 +574,7 @@ ORACLE: dict[str, str] = {
     "impact_totals": _with(
         "impact",
         """SELECT tower_id, count(DISTINCT event_hour) AS congestion_events,
-            sum(subs)::BIGINT AS total_affected_sessions, round(coalesce(sum(minutes), 0), 6) AS total_degraded_minutes,
+            sum(subs)::BIGINT AS total_affected_sessions, round((coalesce(sum(minutes), 0))::DECIMAL(28,9), 6)::DOUBLE AS total_degraded_minutes,
             sum(voice)::BIGINT AS voice_sessions, sum(data)::BIGINT AS data_sessions, sum(sms)::BIGINT AS sms_sessions
         FROM impact GROUP BY tower_id""",
     ),
@@ -588,7 +589,7 @@ ORACLE: dict[str, str] = {
     "active_alerts": _with(
         "earlier towers",
         f"""SELECT alert_id, tower_id, province_name, island_group, alert_type, alert_category, severity, message,
-            triggered_at, round(date_diff('microsecond', triggered_at, {NOW}) / 1e6 / 86400, 6) AS days_active
+            triggered_at, round((date_diff('microsecond', triggered_at, {NOW}) / 1e6 / 86400)::DECIMAL(28,9), 6)::DOUBLE AS days_active
         FROM earlier JOIN towers USING (tower_id) WHERE status = 'ACTIVE'""",
     ),
     "active_alerts_filtered": _with(
@@ -690,7 +691,7 @@ _SPANS = {"24h": "1 DAY", "7d": "7 DAY", "30d": "30 DAY"}
 for _name, _span in _SPANS.items():
     ORACLE[f"tower_map_{_name}"] = _with(
         "towers scored readings",
-        f"SELECT * REPLACE (round(lat, 6) AS lat, round(lon, 6) AS lon) FROM ({_tower_map(_span)})",
+        f"SELECT * REPLACE (round(lat::DECIMAL(28,9), 6)::DOUBLE AS lat, round(lon::DECIMAL(28,9), 6)::DOUBLE AS lon) FROM ({_tower_map(_span)})",
     )
     ORACLE[f"province_map_{_name}"] = _with(
         "towers scored readings",

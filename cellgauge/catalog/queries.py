@@ -1,5 +1,5 @@
-"""Name -> query. Floats are rounded to 6 places here, not in the library, so that two engines that add
-in a different order still compare equal."""
+"""Name -> query. Floats are rounded to 6 places here, not in the library, and through a decimal, so that
+two engines that add in a different order still compare equal."""
 
 from __future__ import annotations
 
@@ -40,7 +40,7 @@ def network(spark: SparkSession, sf_dir: str) -> Network:
 def rounded(df: DataFrame) -> DataFrame:
     return df.select(
         *(
-            F.round(f.name, 6).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name)
+            F.round(F.col(f.name).cast("decimal(28,9)"), 6).cast("double").alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name)
             for f in df.schema.fields
         )
     )

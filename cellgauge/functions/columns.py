@@ -127,17 +127,15 @@ def from_epoch_seconds(seconds) -> Column:
     return F.lit("1970-01-01").cast("timestamp_ntz") + since
 
 
-def hour_floor(ts) -> Column:
-    """Start of the hour by interval arithmetic. Unlike date_trunc it keeps TIMESTAMP_NTZ and so does
-    not depend on the session time zone."""
-    t = _col(ts)
+def at_hour(day, hour) -> Column:
     zero = F.lit(0)
-    return t - F.make_dt_interval(zero, zero, F.minute(t), F.extract(F.lit("SECOND"), t))
+    return _col(day).cast("timestamp_ntz") + F.make_dt_interval(zero, _col(hour), zero, zero.cast("decimal(18,6)"))
 
 
-def at_hour(day, hour) -> Column:
-    zero = F.lit(0)
-    return _col(day).cast("timestamp_ntz") + F.make_dt_interval(zero, _col(hour), zero, zero.cast("decimal(8,6)"))
+def hour_floor(ts) -> Column:
+    """Start of the hour. Unlike date_trunc it keeps TIMESTAMP_NTZ and so does not depend on the session
+    time zone."""
+    return at_hour(F.to_date(_col(ts)), F.hour(_col(ts)))
 
 
 def day_of_week(ts) -> Column:

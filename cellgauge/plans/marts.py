@@ -66,10 +66,11 @@ def hotspot_summary(scored: DataFrame, as_of: Column, unique_hours: bool = False
     This is the result of joining readings to their congestion events on tower and hour, worked out
     without the join: an hour with n readings of which c are congested gives n*c joined rows, or n when
     c is 0. ``unique_hours`` states that n is always 1 and saves the shuffle that would establish n."""
-    hours = _tower_hours(scored, unique_hours)
-    day, hot = F.to_date("event_hour"), F.col("congested") > 0
+    # One column holds the age, so the newest date is asked for once.
+    hours = _tower_hours(scored, unique_hours).withColumn("age", F.datediff(as_of, F.to_date("event_hour")))
+    hot = F.col("congested") > 0
     copies = F.greatest(F.col("congested"), F.lit(1))
-    in_week, in_month = day >= F.date_sub(as_of, 7), day >= F.date_sub(as_of, 30)
+    in_week, in_month = F.col("age") <= 7, F.col("age") <= 30
     by_hour = hours.groupBy("tower_id", F.hour("event_hour").alias("hour_of_day")).agg(
         F.count_if(in_week).alias("seen_7d"),
         F.count_if(in_week & hot).alias("hot_7d"),
