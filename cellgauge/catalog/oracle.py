@@ -677,13 +677,35 @@ ORACLE: dict[str, str] = {
         """SELECT tower_id, count(*) AS violations FROM raw_sessions
         WHERE tower_id NOT IN (SELECT tower_id FROM towers) GROUP BY 1""",
     ),
-    "quality_standard": """SELECT unnest([
-            'telemetry tower_id/event_hour not null', 'sessions subscriber_id/tower_id not null',
-            'events tower_id/severity not null', 'towers tower_id/cell_type not null', 'hotspots tower_id not null',
-            'subscribers subscriber_id not null', 'towers tower_id unique', 'hotspots tower_id unique',
-            'subscribers subscriber_id unique', 'telemetry tower_id/event_hour unique', 'events severity accepted',
-            'towers cell_type accepted', 'sessions service_type accepted', 'alerts status accepted']) AS check_name,
-        0::BIGINT AS violations""",
+    "quality_standard": _with(
+        "read_dirty sessions ev towers hot earlier",
+        """SELECT 'telemetry tower_id/event_hour not null' AS check_name, count(*) AS violations FROM read_dirty
+            WHERE tower_id IS NULL OR event_hour IS NULL
+        UNION ALL SELECT 'sessions subscriber_id/tower_id not null', count(*) FROM sessions
+            WHERE sub IS NULL OR tower_id IS NULL
+        UNION ALL SELECT 'events tower_id/severity not null', count(*) FROM ev
+            WHERE tower_id IS NULL OR severity IS NULL
+        UNION ALL SELECT 'towers tower_id/cell_type not null', count(*) FROM towers
+            WHERE tower_id IS NULL OR cell_type IS NULL
+        UNION ALL SELECT 'hotspots tower_id not null', count(*) FROM hot WHERE tower_id IS NULL
+        UNION ALL SELECT 'subscribers subscriber_id not null', count(*) FROM customer WHERE c_custkey IS NULL
+        UNION ALL SELECT 'towers tower_id unique', count(*) FROM
+            (SELECT 1 FROM towers GROUP BY tower_id HAVING count(*) > 1)
+        UNION ALL SELECT 'hotspots tower_id unique', count(*) FROM
+            (SELECT 1 FROM hot GROUP BY tower_id HAVING count(*) > 1)
+        UNION ALL SELECT 'subscribers subscriber_id unique', count(*) FROM
+            (SELECT 1 FROM customer GROUP BY c_custkey HAVING count(*) > 1)
+        UNION ALL SELECT 'telemetry tower_id/event_hour unique', count(*) FROM
+            (SELECT 1 FROM read_dirty GROUP BY tower_id, event_hour HAVING count(*) > 1)
+        UNION ALL SELECT 'events severity accepted', count(DISTINCT severity) FROM ev
+            WHERE severity NOT IN ('WARN', 'CRITICAL')
+        UNION ALL SELECT 'towers cell_type accepted', count(DISTINCT cell_type) FROM towers
+            WHERE cell_type NOT IN ('urban', 'suburban', 'rural')
+        UNION ALL SELECT 'sessions service_type accepted', count(DISTINCT service) FROM sessions
+            WHERE service NOT IN ('voice', 'data', 'SMS')
+        UNION ALL SELECT 'alerts status accepted', count(DISTINCT status) FROM earlier
+            WHERE status NOT IN ('ACTIVE', 'RESOLVED')""",
+    ),
 }
 
 _SPANS = {"24h": "1 DAY", "7d": "7 DAY", "30d": "30 DAY"}

@@ -422,7 +422,8 @@ def tower_metadata(spark, sf):
 
 @query
 def prb_series(spark, sf):
-    return serving.prb_series(network(spark, sf).telemetry)
+    n = network(spark, sf)
+    return serving.prb_series(n.telemetry, towers_fit=n.towers_fit)
 
 
 @query
@@ -632,12 +633,15 @@ def quality_orphan_towers(spark, sf):
 
 @query
 def quality_standard(spark, sf):
+    """The standing checks over telemetry that was cleaned without removing repeated hours."""
     n = network(spark, sf)
+    raw = b.dirty_telemetry(spark, sf).drop("event_id")
+    repeated = staging.clean_telemetry(raw, n.towers, towers_fit=n.towers_fit)
     return quality.standard_checks(
         {
             "towers": n.towers,
             "subscribers": b.bind_subscribers(spark, sf),
-            "telemetry": n.telemetry,
+            "telemetry": repeated,
             "sessions": n.sessions,
             "events": n.congestion_events,
             "hotspots": n.hotspot_summary,

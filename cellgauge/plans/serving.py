@@ -21,6 +21,7 @@ from cellgauge.functions.columns import (
     round_half_up,
     window_interval,
 )
+from cellgauge.operators.joins import spread_join
 from cellgauge.plans.scoring import has_profile
 
 TOWER_ATTRIBUTES = ("tower_id", "lat", "lon", "radio", "mnc", "cell_type", "province_name", "island_group")
@@ -216,16 +217,19 @@ def tower_metadata(towers: DataFrame, thresholds: DataFrame, tower_id: str | Non
     return _of_tower(towers.select(*TOWER_ATTRIBUTES), tower_id).join(limits, "cell_type")
 
 
-def prb_series(telemetry: DataFrame, tower_id: str | None = None, days: int = 7) -> DataFrame:
+def prb_series(
+    telemetry: DataFrame, tower_id: str | None = None, days: int = 7, towers_fit: bool | None = None
+) -> DataFrame:
     """PRB over the last days before the tower's own newest hour, which a faulty reading may set. The
-    newest hour comes from an aggregate, not a window, so a tower's readings are never gathered."""
-    rows = _of_tower(telemetry.select(
-        "tower_id", "event_hour", "prb_utilization", "connected_subscribers", "is_sensor_fault"
-    ), tower_id)
+    newest hour comes from an aggregate, not a window, so a tower's readings are never gathered; it is
+    broadcast where the tower table is known to fit."""
+    columns = ("tower_id", "event_hour", "prb_utilization", "connected_subscribers", "is_sensor_fault")
+    rows = _of_tower(telemetry.select(*columns), tower_id)
     newest = rows.groupBy("tower_id").agg(F.max("event_hour").alias("_newest"))
-    recent = rows.where(~F.col("is_sensor_fault")).join(newest, "tower_id").where(
-        F.col("event_hour") >= F.col("_newest") - F.expr(f"INTERVAL '{int(days)}' DAY")
-    )
+    valid = rows.where(~F.col("is_sensor_fault"))
+    recent = spread_join(
+        valid, newest, ["tower_id"], "inner", F.col("event_hour"), small_fits=towers_fit or tower_id is not None
+    ).where(F.col("event_hour") >= F.col("_newest") - F.expr(f"INTERVAL '{int(days)}' DAY"))
     out = recent.select("tower_id", "event_hour", "prb_utilization", "connected_subscribers")
     return out if tower_id is None else out.orderBy("event_hour")
 

@@ -74,8 +74,8 @@ def clean_sessions(
     """Complete sessions of known towers and subscribers, one per (subscriber, tower, start).
 
     The end may be missing. Of several copies the one with the earliest (end, service, bytes) stays,
-    a missing end first. Copies are dropped before the subscriber check: that needs a shuffle of its
-    own when the subscriber table is large, and then moves fewer rows."""
+    a missing end first. Ids are checked first, straight off the scan, so that a shuffled check needs
+    its key counts from one column of the input and not from deduplicated rows."""
     typed = raw.select(
         "subscriber_id",
         "tower_id",
@@ -88,8 +88,16 @@ def clean_sessions(
     known = spread_join(
         typed, towers.select("tower_id"), ["tower_id"], "left_semi", F.col("subscriber_id"), small_fits=towers_fit
     )
-    single = keep_first(
+    valid = spread_join(
         known,
+        subscribers.select("subscriber_id"),
+        ["subscriber_id"],
+        "left_semi",
+        F.col("session_start"),
+        small_fits=subscribers_fit,
+    )
+    single = keep_first(
+        valid,
         ["subscriber_id", "tower_id", "session_start"],
         [
             F.asc_nulls_first("session_end"),
@@ -98,15 +106,7 @@ def clean_sessions(
             F.asc_nulls_first("session_duration_min"),
         ],
     )
-    valid = spread_join(
-        single,
-        subscribers.select("subscriber_id"),
-        ["subscriber_id"],
-        "left_semi",
-        F.col("session_start"),
-        small_fits=subscribers_fit,
-    )
-    return valid.withColumn("partition_date", _stamp(partition_date, "session_start")).select(*SESSION_SCHEMA.names)
+    return single.withColumn("partition_date", _stamp(partition_date, "session_start")).select(*SESSION_SCHEMA.names)
 
 
 def rejected_sessions(raw: DataFrame) -> DataFrame:
