@@ -7,24 +7,31 @@ wanted hours are one 24-bit mask, so a session meets one row per day it touches,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgauge.functions.columns import at_hour, hour_floor
+from cellgauge.functions.columns import at_hour
 from cellgauge.operators.joins import BROADCAST_ROWS, TASK_ROWS, spread_join
 
 
 def hour_masks(tower_hours: DataFrame) -> DataFrame:
-    """(tower_id, day, hours): bit h of hours is set when the tower has that hour on that day."""
+    """(tower_id, day, hours): bit h of hours is set when the tower has that hour on that day. Days are
+    counted from 1970, as integers."""
     return (
-        tower_hours.select(
-            "tower_id", F.to_date("event_hour").alias("day"), F.expr("shiftleft(1, hour(event_hour))").alias("_bit")
-        )
+        tower_hours.select("tower_id", _day("event_hour").alias("day"), F.expr("shiftleft(1, hour(event_hour))").alias("_bit"))
         .groupBy("tower_id", "day")
         .agg(F.bit_or("_bit").alias("hours"))
     )
 
 
+def _day(ts) -> Column:
+    return F.unix_date(F.to_date(ts))
+
+
+def _midnight(day: Column) -> Column:
+    return F.date_from_unix_date(day).cast("timestamp_ntz")
+
+
 def sessions_in_hours(
     sessions: DataFrame,
     tower_hours: DataFrame,
@@ -34,25 +41,38 @@ def sessions_in_hours(
 ) -> DataFrame:
     """Every session once per wanted hour it overlaps, with that hour as ``event_hour``.
 
-    A NULL end never overlaps. Days outside the range of the wanted hours are cut before they are
-    unfolded; they cannot match."""
+    A NULL end never overlaps. Sessions outside the range of the wanted hours are filtered in the scan,
+    and days outside it are cut before they are unfolded; neither can match. Unless ``masks_fit`` tells
+    the size of the masks, one bounded job finds their number and range: it reads the wanted hours once
+    more, but spares the sessions, the larger table by far, a shuffle."""
     masks = hour_masks(tower_hours)
-    span = tower_hours.agg(
-        F.to_date(F.min("event_hour")).alias("first_day"), F.to_date(F.max("event_hour")).alias("last_day")
-    )
-    first_hour = hour_floor(F.col("session_start") - F.expr("INTERVAL 1 MICROSECOND"))
-    last_hour = hour_floor(F.col("session_end"))
+    if masks_fit is None:
+        found = masks.limit(max_rows + 1).agg(F.count("day"), F.min("day"), F.max("day")).first()
+        masks_fit = found[0] <= max_rows
+    else:
+        found = None
+    if found is not None and masks_fit:
+        first_day, last_day = F.lit(found[1]).cast("int"), F.lit(found[2]).cast("int")
+    else:
+        span = masks.agg(F.struct(F.min("day").alias("first"), F.max("day").alias("last")).alias("span")).scalar()
+        first_day, last_day = span.getField("first"), span.getField("last")
+    in_range = (F.col("session_start") <= _midnight(last_day + 1)) & (F.col("session_end") >= _midnight(first_day))
+    # The first hour touched is the one that ends at the start or holds it.
+    begin, end = F.col("session_start") - F.expr("INTERVAL 1 MICROSECOND"), F.col("session_end")
     runs = (
-        sessions.withColumn("_lo", first_hour)
-        .withColumn("_hi", last_hour)
-        .where(F.col("_lo") <= F.col("_hi"))
-        .withColumn("_from", F.greatest(F.to_date("_lo"), span.select("first_day").scalar()))
-        .withColumn("_to", F.least(F.to_date("_hi"), span.select("last_day").scalar()))
+        sessions.where(in_range)
+        .withColumns({"_d1": _day(begin), "_h1": F.hour(begin), "_d2": _day(end), "_h2": F.hour(end)})
+        .where((F.col("_d1") < F.col("_d2")) | ((F.col("_d1") == F.col("_d2")) & (F.col("_h1") <= F.col("_h2"))))
+        .withColumns({"_from": F.greatest(F.col("_d1"), first_day), "_to": F.least(F.col("_d2"), last_day)})
         .where(F.col("_from") <= F.col("_to"))
         .withColumn("day", F.explode(F.sequence("_from", "_to")))
-        .withColumn("_h1", F.when(F.col("day") == F.to_date("_lo"), F.hour("_lo")).otherwise(0))
-        .withColumn("_h2", F.when(F.col("day") == F.to_date("_hi"), F.hour("_hi")).otherwise(23))
-        .drop("_lo", "_hi", "_from", "_to")
+        .withColumns(
+            {
+                "_h1": F.when(F.col("day") == F.col("_d1"), F.col("_h1")).otherwise(0),
+                "_h2": F.when(F.col("day") == F.col("_d2"), F.col("_h2")).otherwise(23),
+            }
+        )
+        .drop("_d1", "_d2", "_from", "_to")
     )
     met = spread_join(
         runs,
@@ -64,9 +84,12 @@ def sessions_in_hours(
         task_rows=task_rows,
         small_fits=masks_fit,
     )
+    # Bits h1..h2. Most sessions meet no wanted hour and go before their hours are unfolded.
+    wanted = F.col("hours").bitwiseAND(F.expr("shiftleft(1, _h2 + 1) - shiftleft(1, _h1)"))
     return (
-        met.withColumn("_hour", F.explode(F.sequence("_h1", "_h2")))
+        met.where(wanted != 0)
+        .withColumn("_hour", F.explode(F.sequence("_h1", "_h2")))
         .where(F.getbit("hours", F.col("_hour")) == 1)
-        .withColumn("event_hour", at_hour("day", "_hour"))
+        .withColumn("event_hour", at_hour(F.date_from_unix_date("day"), "_hour"))
         .drop("_h1", "_h2", "_hour", "hours", "day")
     )
