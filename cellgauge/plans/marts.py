@@ -140,7 +140,6 @@ def subscriber_impact(events: DataFrame, sessions: DataFrame, **join_options) ->
     Sessions are first reduced to one row per event hour and subscriber. That spreads a busy tower-hour
     over its subscribers, and it makes every distinct count a plain count. A session counts in full in
     each hour it touches. Events without a session stay, with NULL minutes."""
-    busy = events.groupBy("tower_id", "event_hour", "severity").agg(F.count(F.lit(1)).alias("_copies"))
     slim = sessions.select(
         "subscriber_id", "tower_id", "session_start", "session_end", "session_duration_min", "service_type"
     )
@@ -159,16 +158,18 @@ def subscriber_impact(events: DataFrame, sessions: DataFrame, **join_options) ->
         F.sum("_minutes").alias("_minutes"),
         *(F.count_if(known & (F.col(f"_{s}") == 1)).alias(f"_{s}") for s in ("voice", "data", "SMS")),
     )
-    none = F.lit(0)
-    return busy.join(per_hour, ["tower_id", "event_hour"], "left").select(
-        "tower_id",
-        "event_hour",
-        "severity",
-        F.coalesce("_subscribers", none).alias("subscriber_count_affected"),
-        (F.col("_minutes") * F.col("_copies")).alias("degraded_session_minutes"),
-        F.coalesce("_voice", none).alias("voice_sessions"),
-        F.coalesce("_data", none).alias("data_sessions"),
-        F.coalesce("_SMS", none).alias("sms_sessions"),
+    # Grouping after the join keeps its partitioning. Equal events add up their minutes.
+    joined = events.select("tower_id", "event_hour", "severity").join(per_hour, ["tower_id", "event_hour"], "left")
+
+    def counted(column: str) -> Column:
+        return F.coalesce(F.max(column), F.lit(0))
+
+    return joined.groupBy("tower_id", "event_hour", "severity").agg(
+        counted("_subscribers").alias("subscriber_count_affected"),
+        F.sum("_minutes").alias("degraded_session_minutes"),
+        counted("_voice").alias("voice_sessions"),
+        counted("_data").alias("data_sessions"),
+        counted("_SMS").alias("sms_sessions"),
     )
 
 
@@ -182,12 +183,12 @@ def neighbour_impact(events: DataFrame, telemetry: DataFrame, pairs: DataFrame,
     sources = readings.join(congested, ["tower_id", "event_hour"], "left_semi").withColumnsRenamed(
         {"tower_id": "source_tower_id", "handover_count": "source_handovers"}
     )
-    fan_out = sources.join(pairs, "source_tower_id")
-    targets = readings.withColumnsRenamed(
-        {"tower_id": "neighbour_tower_id", "handover_count": "neighbour_handovers"}
-    )
-    surges = fan_out.join(targets, ["neighbour_tower_id", "event_hour"]).where(
-        F.col("neighbour_handovers") > F.col("source_handovers") * surge
+    # The second use takes the readings under their own names, or Spark would not see the same shuffle.
+    fan_out = sources.join(pairs, "source_tower_id").withColumnRenamed("neighbour_tower_id", "tower_id")
+    surges = (
+        fan_out.join(readings, ["tower_id", "event_hour"])
+        .where(F.col("handover_count") > F.col("source_handovers") * surge)
+        .withColumnsRenamed({"tower_id": "neighbour_tower_id", "handover_count": "neighbour_handovers"})
     )
     return (
         surges.select("source_tower_id", "neighbour_tower_id", "source_handovers", "neighbour_handovers")

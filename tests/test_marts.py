@@ -132,3 +132,27 @@ def test_views(seed, spark):
     create_views(seed)
     assert spark.sql("SELECT count(*) FROM stg_tower_telemetry WHERE is_sensor_fault").first()[0] == 8
     assert spark.sql("SELECT count(*) FROM stg_subscriber_sessions").first()[0] == 3
+
+
+def test_shuffled_profile_gives_the_same_scores(seed):
+    salted = scoring.score(seed.telemetry, seed.profile, profile_fits=False)
+    columns = ("tower_id", "event_hour", "severity", "health_score")
+    assert rows(salted, *columns) == rows(seed.scored, *columns)
+
+
+def test_neighbour_readings_are_shuffled_once(seed, spark, tmp_path):
+    def stored(name, df):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = marts.neighbour_impact(
+            stored("e", seed.congestion_events), stored("t", seed.telemetry), stored("p", seed.neighbour_pairs)
+        )
+        df.collect()
+        assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
