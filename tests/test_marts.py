@@ -148,10 +148,11 @@ def test_neighbour_readings_are_shuffled_once(seed, spark, tmp_path):
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        busy = seed.telemetry.withColumn("handover_count", F.when(F.col("tower_id") == T2, 99).otherwise(1))
         df = marts.neighbour_impact(
-            stored("e", seed.congestion_events), stored("t", seed.telemetry), stored("p", seed.neighbour_pairs)
+            stored("e", seed.congestion_events), stored("t", busy), stored("p", seed.neighbour_pairs)
         )
-        df.collect()
+        assert df.collect() == [(T1, T2, True)]
         assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
