@@ -39,7 +39,7 @@ def test_dated_tree(spark, seed, tmp_path):
     for day in days:
         one = seed.telemetry.where(F.col("partition_date") == F.lit(day)).drop("partition_date")
         one.coalesce(1).write.parquet(lake.dated_path(root, "raw", "tower_telemetry", day))
-    assert lake.dated_path("x", "raw", "opencellid", date(2025, 1, 5)) == "x/raw/opencellid/2025/01/05/data.parquet"
+    assert lake.dated_path("x", "raw", "cells", date(2025, 1, 5)) == "x/raw/cells/2025/01/05/data.parquet"
     some = lake.read_dated_tree(spark, root, "raw", "tower_telemetry", days[:1], TELEMETRY_SCHEMA)
     assert some.columns == TELEMETRY_SCHEMA.names and some.count() == 72
     with pytest.raises(ValueError):
