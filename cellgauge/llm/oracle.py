@@ -100,3 +100,70 @@ SELECT page_id, coalesce(told.host, '') AS host, coalesce(told.path, '') AS path
   coalesce(told.verdict, CASE WHEN contains(pages.url, '://') THEN spread.verdict END, 'allow') AS verdict
 FROM pages LEFT JOIN told USING (url) LEFT JOIN spread USING (node)
 """
+
+# --- op3: near duplicates --------------------------------------------------------------------
+
+SQL["op3_setsketch_neardup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i+4], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 4))) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY 1
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), root AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1
+)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN root USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+# --- op9: exact top-k ------------------------------------------------------------------------
+
+SQL["op9_threshold_top_k"] = """
+WITH fine AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM fine q JOIN fine c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
+# --- op10: repeated passages -----------------------------------------------------------------
+
+SQL["op10_maximal_repeats"] = """
+WITH d AS (
+  SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents
+), win AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s
+  FROM (SELECT doc_id, h, unnest(generate_series(0, len(h) // 2 - 100)) AS p FROM d WHERE len(h) >= 200)
+), later AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM win) WHERE k > 1
+), begun AS (
+  SELECT doc_id, p, p - max(p) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM later
+), runs AS (
+  SELECT doc_id, p, sum(CASE WHEN gap IS NULL OR gap > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM begun
+), spans AS (
+  SELECT doc_id, r, min(p) AS a, max(p) + 100 AS b FROM runs GROUP BY ALL
+), kept AS (
+  SELECT doc_id, r, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY r) AS next FROM spans
+), cut AS (
+  SELECT d.doc_id, count(r)::BIGINT AS n_spans, coalesce(sum(b - a), 0)::BIGINT AS n_removed,
+    CASE WHEN count(r) = 0 THEN any_value(h) ELSE substr(any_value(h), 1, 2 * min(a)::BIGINT) || string_agg(
+      CASE WHEN next IS NULL THEN substr(h, 2 * b + 1) ELSE substr(h, 2 * b + 1, 2 * (next - b)) END, '' ORDER BY r) END AS left_hex,
+    any_value(len(h) // 2)::BIGINT AS n_bytes
+  FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id
+)
+SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(left_hex)) AS kept_sha256 FROM cut
+"""
