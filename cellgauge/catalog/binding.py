@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 from cellgauge.functions.columns import hour_floor, sensor_fault
 from cellgauge.network import Network
 from cellgauge.operators.joins import fits, spread_join
-from cellgauge.schemas import ALERT_SCHEMA, SESSION_SCHEMA, TELEMETRY_SCHEMA, TOWER_SCHEMA, default_thresholds
+from cellgauge.schemas import (
+    ALERT_SCHEMA,
+    SESSION_SCHEMA,
+    SUBSCRIBER_SCHEMA,
+    TELEMETRY_SCHEMA,
+    TOWER_SCHEMA,
+    default_thresholds,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,7 +98,7 @@ def bind_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower("c_mktsegment").alias("plan_tier"),
         F.col("c_nationkey").cast("string").alias("home_region"),
         F.lit(None).cast("timestamp_ntz").alias("seeded_at"),
-    )
+    ).select(*SUBSCRIBER_SCHEMA.names)
 
 
 def raw_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,16 +146,18 @@ def dirty_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(40.0) + e % 21).alias("throughput_mbps"),
         (F.lit(5.0) + e % 60).alias("latency_ms"),
         ((e % 50) / F.lit(10.0)).alias("dropped_call_rate"),
-        F.when(e % 83 != 0, (e % 40).cast("double")).alias("handover_count"),
+        # One in 211 is beyond a 32-bit counter.
+        F.when(e % 83 != 0, F.when(e % 211 == 0, 3e9).otherwise((e % 40).cast("double"))).alias("handover_count"),
         (e % 97 + 1).cast("double").alias("connected_subscribers"),
         "event_id",
     )
 
 
 def dirty_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions as delivered, with repeated ones and missing fields."""
-    clean = raw_sessions(spark, sf_dir)
+    """Sessions as delivered, with repeated ones, missing fields and byte counts that no double holds."""
     e = F.col("event_id")
+    large = F.when(e % 73 == 0, F.lit(9007199254740993)).otherwise(F.lit(0))
+    clean = raw_sessions(spark, sf_dir).withColumn("bytes_transferred", F.col("bytes_transferred") + large)
     again = clean.where(e % 10 == 0).withColumns(
         {
             "service_type": F.when(e % 30 != 0, "voice"),

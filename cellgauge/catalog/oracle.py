@@ -57,7 +57,8 @@ _PARTS: dict[str, tuple[str, str]] = {
             CASE WHEN event_id % 101 = 0 THEN 'not a time'
                 ELSE strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') END AS event_hour,
             CASE WHEN event_id % 97 = 0 THEN 'n/a' ELSE value::VARCHAR END AS prb,
-            CASE WHEN event_id % 83 <> 0 THEN event_id % 40 END AS handovers, (1 + event_id % 97)::INT AS subs,
+            CASE WHEN event_id % 83 <> 0 THEN CASE WHEN event_id % 211 = 0 THEN 3000000000 ELSE event_id % 40 END END
+                AS handovers, (1 + event_id % 97)::INT AS subs,
             (5 + event_id % 60)::DOUBLE AS lat_ms, (event_id % 50)::DOUBLE / 10 AS dropped,
             (40 + event_id % 21)::DOUBLE AS thr
         FROM events""",
@@ -67,15 +68,18 @@ _PARTS: dict[str, tuple[str, str]] = {
         """SELECT tower_id, try_cast(event_hour AS TIMESTAMP) AS event_hour, try_cast(prb AS DOUBLE) AS prb, thr,
             lat_ms, dropped, coalesce(handovers, 0)::INT AS handovers, subs
         FROM dirty_readings
-        WHERE tower_id IN (SELECT tower_id FROM towers) AND try_cast(event_hour AS TIMESTAMP) IS NOT NULL""",
+        WHERE tower_id IN (SELECT tower_id FROM towers) AND try_cast(event_hour AS TIMESTAMP) IS NOT NULL
+            AND coalesce(handovers, 0) <= 2147483647""",
     ),
     "dirty_sessions": (
         "raw_sessions",
-        """SELECT sub, tower_id, s_start, s_end, mins, service, bytes FROM raw_sessions
-        UNION ALL
-        SELECT sub, tower_id, s_start, CASE WHEN event_id % 20 <> 0 THEN s_end END, mins + 1,
-            CASE WHEN event_id % 30 <> 0 THEN 'voice' END, bytes
-        FROM raw_sessions WHERE event_id % 10 = 0""",
+        """SELECT * EXCLUDE (event_id)
+            REPLACE (bytes + CASE WHEN event_id % 73 = 0 THEN 9007199254740993 ELSE 0 END AS bytes) FROM (
+            SELECT event_id, sub, tower_id, s_start, s_end, mins, service, bytes FROM raw_sessions
+            UNION ALL
+            SELECT event_id, sub, tower_id, s_start, CASE WHEN event_id % 20 <> 0 THEN s_end END, mins + 1,
+                CASE WHEN event_id % 30 <> 0 THEN 'voice' END, bytes
+            FROM raw_sessions WHERE event_id % 10 = 0)""",
     ),
     "earlier": (
         "towers",
@@ -124,6 +128,7 @@ _PARTS: dict[str, tuple[str, str]] = {
         """SELECT tower_id, round(avg(health)::DECIMAL(18,9), 1)::DOUBLE AS score, max(subs) AS subs
         FROM scored WHERE part = (SELECT max(part) FROM readings) GROUP BY tower_id""",
     ),
+    "ev_later": ("ev", "SELECT * REPLACE (event_hour + INTERVAL 30 MINUTE AS event_hour) FROM ev"),
     "impact": (
         "ev sessions",
         """SELECT tower_id, event_hour, severity, count(DISTINCT sub) AS subs, sum(mins) AS minutes,
@@ -205,11 +210,12 @@ _PARTS: dict[str, tuple[str, str]] = {
             WHEN 'Papua' THEN 'Papua' END AS island FROM tagged""",
     ),
     "draw": (
-        "newest",
+        "newest chosen",
         """SELECT radio, mcc, net, area, cell, CASE WHEN radio IN ('LTE','UMTS','GSM')
-                AND (net IN (1,8,11,21) OR count(*) FILTER (net IN (1,8,11,21)) OVER (PARTITION BY radio) < {third})
+                AND (net IN (1,8,11,21)
+                    OR (SELECT count(*) FROM chosen c WHERE c.radio = newest.radio AND c.net IN (1,8,11,21)) < {third})
                 THEN 0 ELSE 1 END AS prio,
-            sha256(concat_ws('|', radio, mcc, net, area, cell, '7')) AS digest
+            sha256(concat_ws('|', radio, mcc, net, area, cell, '{seed}')) AS digest
         FROM newest""",
     ),
 }
@@ -266,8 +272,8 @@ def _hotspot_board(column: str) -> str:
 
 
 def _province_board(column: str) -> str:
-    return f"""SELECT row_number() OVER (ORDER BY avg_congestion_frequency_pct DESC, province_name)::INT AS rank, *
-    FROM (SELECT province_name, max(island_group) AS island_group,
+    return f"""SELECT row_number() OVER (ORDER BY mean DESC, province_name)::INT AS rank, * EXCLUDE (mean)
+    FROM (SELECT province_name, avg({column})::DECIMAL(28,9) AS mean, max(island_group) AS island_group,
             {_HALF_UP.format(f'avg({column})')} AS avg_congestion_frequency_pct, count(*) AS tower_count,
             count(*) FILTER ({column} > 0) AS congested_towers,
             {_HALF_UP.format(f'(count(*) FILTER ({column} > 0))::DOUBLE / count(*) * 100')} AS congestion_rate_pct,
@@ -347,7 +353,8 @@ ORACLE: dict[str, str] = {
     ),
     "telemetry_rejects": _with(
         "dirty_readings",
-        "SELECT event_id, event_hour FROM dirty_readings WHERE try_cast(event_hour AS TIMESTAMP) IS NULL",
+        """SELECT event_id, event_hour FROM dirty_readings
+        WHERE try_cast(event_hour AS TIMESTAMP) IS NULL OR handovers > 2147483647""",
     ),
     "sessions_clean": _with(
         "dirty_sessions towers",
@@ -410,12 +417,19 @@ ORACLE: dict[str, str] = {
             province AS province_name, island AS island_group,
             TIMESTAMP '1970-01-01' + to_seconds(updated) AS last_updated FROM placed""",
     ),
-    "cell_sample": _with("draw", f"SELECT {_CELL_KEY} FROM draw ORDER BY prio, digest LIMIT 300", third="100"),
+    "cell_sample": _with("draw", f"SELECT {_CELL_KEY} FROM draw ORDER BY prio, digest LIMIT 300", third="100", seed="7"),
+    "cell_sample_default_seed": _with(
+        "draw", f"SELECT {_CELL_KEY} FROM draw ORDER BY prio, digest LIMIT 300", third="100", seed="42"
+    ),
+    "cell_sample_zero_seed": _with(
+        "draw", f"SELECT {_CELL_KEY} FROM draw ORDER BY prio, digest LIMIT 300", third="100", seed="0"
+    ),
     "cell_sample_top_up": _with(
         "draw",
         f"""SELECT {_CELL_KEY} FROM draw ORDER BY prio, digest
         LIMIT (SELECT count(*) + 50 FROM newest WHERE radio IN ('LTE', 'UMTS', 'GSM'))""",
         third="(SELECT (count(*) + 50) // 3 FROM newest WHERE radio IN ('LTE', 'UMTS', 'GSM'))",
+        seed="7",
     ),
     "cell_sample_all": _with("newest", f"SELECT {_CELL_KEY} FROM newest"),
     "tower_upsert": _with(
@@ -426,6 +440,19 @@ ORACLE: dict[str, str] = {
         SELECT 'new-' || tower_id, 'NR', mcc, mnc, area, cell, round(lon::DECIMAL(28,9), 6)::DOUBLE, round(lat::DECIMAL(28,9), 6)::DOUBLE, range_m, 1, changeable,
             cell_type, 'First', island_group FROM towers""",
     ),
+    "tower_upsert_truncated": _with(
+        "towers",
+        """SELECT tower_id, radio, mcc, mnc, area, cell, round(lon::DECIMAL(28,9), 6)::DOUBLE AS lon, round(lat::DECIMAL(28,9), 6)::DOUBLE AS lat,
+            range_m, samples, changeable, cell_type, 'Only' AS province_name, island_group FROM towers WHERE k % 2 = 0""",
+    ),
+    "cell_rejects": "SELECT 'bad,' || o_orderkey AS line FROM orders WHERE o_orderkey % 17 = 0",
+    "lake_row_counts": _with("readings", "SELECT part AS partition_date, count(*) AS row_count FROM readings GROUP BY 1"),
+    "telemetry_clean_fixed_date": _with(
+        "read_dirty",
+        "SELECT * REPLACE (DATE '2024-01-15' AS partition_date) FROM (SELECT "
+        + _READING_COLUMNS.format(prb="prb", fault="coalesce(prb > 100, false)")
+        + " FROM read_dirty)",
+    ),
     "province_upsert": _with(
         "towers",
         f"""SELECT coalesce(id, ('0x' || substr(sha256(province_name), 1, 15))::BIGINT) AS province_id, province_name,
@@ -658,14 +685,18 @@ ORACLE: dict[str, str] = {
     ),
     "quality_telemetry_dates": _with(
         "readings towers",
-        """SELECT part AS partition_date, count(*) AS actual_rows, (SELECT count(*) * 24 FROM towers) AS expected_rows
-        FROM readings GROUP BY 1 HAVING actual_rows <> expected_rows""",
+        """SELECT day::DATE AS partition_date, count(tower_id) AS actual_rows,
+            (SELECT count(*) * 24 FROM towers) AS expected_rows
+        FROM (SELECT unnest(generate_series(min(part)::TIMESTAMP, max(part)::TIMESTAMP, INTERVAL 1 DAY)) AS day FROM readings)
+        LEFT JOIN readings ON part = day::DATE GROUP BY 1 HAVING actual_rows <> expected_rows""",
     ),
     "quality_session_dates": _with(
         "sessions",
-        """SELECT s_start::DATE AS partition_date, count(*) AS actual_rows,
+        """SELECT day::DATE AS partition_date, count(sub) AS actual_rows,
             (SELECT count(*) * 3 FROM customer) AS expected_rows
-        FROM sessions GROUP BY 1 HAVING actual_rows < expected_rows * 0.95""",
+        FROM (SELECT unnest(generate_series(min(s_start)::DATE::TIMESTAMP, max(s_start)::DATE::TIMESTAMP, INTERVAL 1 DAY))
+            AS day FROM sessions)
+        LEFT JOIN sessions ON s_start::DATE = day::DATE GROUP BY 1 HAVING actual_rows < expected_rows * 0.95""",
     ),
     "quality_tower_master": _with(
         "towers",
@@ -704,7 +735,14 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'sessions service_type accepted', count(DISTINCT service) FROM sessions
             WHERE service NOT IN ('voice', 'data', 'SMS')
         UNION ALL SELECT 'alerts status accepted', count(DISTINCT status) FROM earlier
-            WHERE status NOT IN ('ACTIVE', 'RESOLVED')""",
+            WHERE status NOT IN ('ACTIVE', 'RESOLVED')
+        UNION ALL SELECT 'telemetry prb range', count(*) FROM (SELECT count(*) AS n FROM read_dirty WHERE prb < 0) WHERE n > 0
+        UNION ALL SELECT 'events tower known', count(DISTINCT tower_id) FROM ev
+            WHERE tower_id NOT IN (SELECT tower_id FROM towers)
+        UNION ALL SELECT 'sessions tower known', count(DISTINCT tower_id) FROM sessions
+            WHERE tower_id NOT IN (SELECT tower_id FROM towers)
+        UNION ALL SELECT 'events threshold defined', count(*) FROM ev JOIN towers USING (tower_id)
+            WHERE cell_type NOT IN ('urban', 'suburban', 'rural')""",
     ),
 }
 
@@ -725,3 +763,20 @@ for _name, _span in _SPANS.items():
             {_EVEN.format('(count(*) FILTER (health_score < 40))::DOUBLE / count(*) * 100')} AS congestion_rate
         FROM ({_tower_map(_span)}) GROUP BY ALL""",
     )
+
+_later = _PARTS["impact"][1].replace("FROM ev ", "FROM ev_later ev ").replace("FROM ev\n", "FROM ev_later ev\n")
+_PARTS["impact_later"] = ("ev_later sessions", _later)
+ORACLE["subscriber_impact_offset_hours"] = _with("impact_later", f"SELECT {_IMPACT_ROWS} FROM impact_later")
+ORACLE["subscriber_impact_refreshed"] = ORACLE["subscriber_impact"]
+ORACLE["province_geojson_document"] = ORACLE["province_geojson_bounds"]
+ORACLE["tower_metadata_from_csv"] = ORACLE["tower_metadata"]
+for _name in (
+    "latest_reading tower_metadata prb_series event_history peak_hour_profile prb_by_weekday_hour impact_totals".split()
+):
+    ORACLE[f"{_name}_of_tower"] = f"SELECT * FROM ({ORACLE[_name]}) WHERE tower_id = '1'"
+ORACLE["neighbour_list_of_tower"] = f"SELECT * FROM ({ORACLE['neighbour_list']}) WHERE source_tower_id = '1'"
+_TOTALS = "total_affected_sessions, 0::DOUBLE AS total_degraded_minutes, 0::BIGINT AS voice_sessions, 0::BIGINT AS data_sessions"
+ORACLE["impact_totals_of_no_tower"] = (
+    f"SELECT count(*) AS congestion_events, 0::BIGINT AS {_TOTALS}, 0::BIGINT AS sms_sessions FROM supplier WHERE s_suppkey < 0"
+)
+ORACLE["impact_totals_of_tower"] = f"SELECT * EXCLUDE (tower_id) FROM ({ORACLE['impact_totals_of_tower']})"

@@ -4,8 +4,8 @@ two engines that add in a different order still compare equal."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
-from functools import cache
+from dataclasses import replace
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,25 +16,29 @@ from cellgauge.functions import columns as c
 from cellgauge.network import Network
 from cellgauge.plans import alerts as al
 from cellgauge.plans import marts, quality, reference_data, scoring, serving, staging
-from cellgauge.schemas import CELL_TYPES, SERVICE_TYPES, SEVERITIES, TELEMETRY_SCHEMA, default_thresholds
+from cellgauge.schemas import (
+    CELL_TYPES,
+    SERVICE_TYPES,
+    SEVERITIES,
+    TELEMETRY_SCHEMA,
+    THRESHOLD_SCHEMA,
+    default_thresholds,
+)
 from cellgauge.sources import cells as cell_source
 from cellgauge.sources import lake
 
 AS_OF = datetime(2024, 2, 1, 12, 0, 0)
 # Levels the bound data reaches; the defaults of the rules leave some branches without a row.
+ONE_TOWER = "1"
 LOW_WARN, LOW_CRITICAL, LOW_RATE, LOW_DAYS = 20.0, 40.0, 50.0, 2
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 
-@cache
-def _network(application: str, spark: SparkSession, sf_dir: str) -> Network:
-    return b.bind_network(spark, sf_dir)
-
-
 def network(spark: SparkSession, sf_dir: str) -> Network:
-    return _network(spark.sparkContext.applicationId, spark, sf_dir)
+    """Bound anew for each query, so sizes are those of the data as it is now."""
+    return b.bind_network(spark, sf_dir)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -90,6 +94,48 @@ def province_geojson_bounds(spark, sf):
     return cell_source.province_bounds(cell_source.read_provinces(spark, path, one_document=False))
 
 
+@query
+def province_geojson_document(spark, sf):
+    """Provinces written as one GeoJSON document, as such files usually come, and read back."""
+    path = lake.scratch_path(spark, "provinces")
+    feature = F.struct(
+        F.struct(F.col("province_name").alias("NAME_1")).alias("properties"),
+        F.struct(F.lit("MultiPolygon").alias("type"), F.col("polygons").alias("coordinates")).alias("geometry"),
+    )
+    document = b.bind_provinces(spark, sf).agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("value"))
+    document.write.text(path)
+    return cell_source.province_bounds(cell_source.read_provinces(spark, path))
+
+
+@query
+def cell_rejects(spark, sf):
+    """Lines of a cell file that are not cells."""
+    path = lake.scratch_path(spark, "cell-lines")
+    order = F.col("o_orderkey")
+    broken = b.table(spark, sf, "orders").where(order % 17 == 0).select(F.concat(F.lit("bad,"), order).alias("value"))
+    cells = b.bind_cells(spark, sf)
+    cells.select(F.to_csv(F.struct(*cells.columns)).alias("value")).unionByName(broken).write.text(path)
+    return cell_source.rejected_cells(spark, path)
+
+
+@query
+def tower_metadata_from_csv(spark, sf):
+    """Towers with thresholds that came as a CSV file."""
+    path = lake.scratch_path(spark, "thresholds")
+    default_thresholds(spark).select(*THRESHOLD_SCHEMA.names).coalesce(1).write.option("header", True).csv(path)
+    return serving.tower_metadata(network(spark, sf).towers, cell_source.read_thresholds(spark, path))
+
+
+@query
+def lake_row_counts(spark, sf):
+    """Rows of the table as written, of each date, by footers."""
+    path = lake.scratch_path(spark, "telemetry")
+    lake.write_dates(network(spark, sf).telemetry, path)
+    days = lake.partition_dates(lake.read_dates(spark, path, TELEMETRY_SCHEMA))
+    counts = [(d, lake.row_count(spark, path, TELEMETRY_SCHEMA, d)) for d in days]
+    return spark.createDataFrame(counts, "partition_date DATE, row_count BIGINT")
+
+
 @query
 def partition_volume(spark, sf):
     return serving.partition_volume(network(spark, sf).telemetry)
@@ -125,6 +171,13 @@ def telemetry_clean_unique_hours(spark, sf):
     )
 
 
+@query
+def telemetry_clean_fixed_date(spark, sf):
+    n = network(spark, sf)
+    raw = b.dirty_telemetry(spark, sf).drop("event_id")
+    return staging.clean_telemetry(raw, n.towers, partition_date=date(2024, 1, 15), towers_fit=n.towers_fit)
+
+
 @query
 def telemetry_rejects(spark, sf):
     return staging.rejected_telemetry(b.dirty_telemetry(spark, sf)).select("event_id", "event_hour")
@@ -237,6 +290,16 @@ def cell_sample(spark, sf):
     return _sample(spark, sf, 300, seed=7)
 
 
+@query
+def cell_sample_default_seed(spark, sf):
+    return _sample(spark, sf, 300)
+
+
+@query
+def cell_sample_zero_seed(spark, sf):
+    return _sample(spark, sf, 300, seed=0)
+
+
 @query
 def cell_sample_top_up(spark, sf):
     """More rows than the favoured radios hold, so the others fill up. Taken by the path for large n."""
@@ -262,6 +325,14 @@ def tower_upsert(spark, sf):
     return out.drop("last_updated", "seeded_at")
 
 
+@query
+def tower_upsert_truncated(spark, sf):
+    """A master emptied before the batch, which names every other tower."""
+    towers = b.bind_towers(spark, sf)
+    batch = towers.where(F.col("cell") % 2 == 0).withColumn("province_name", F.lit("Only"))
+    return reference_data.upsert_towers(towers, batch, [F.col("samples")]).drop("last_updated", "seeded_at")
+
+
 @query
 def province_upsert(spark, sf):
     """A master that holds half of the provinces with an old island group and one that is gone."""
@@ -340,11 +411,33 @@ def subscriber_impact(spark, sf):
     return network(spark, sf).subscriber_impact
 
 
+@query
+def subscriber_impact_offset_hours(spark, sf):
+    """Impact of events at half past the hour."""
+    n = network(spark, sf)
+    later = n.congestion_events.withColumn("event_hour", F.col("event_hour") + F.expr("INTERVAL 30 MINUTES"))
+    return marts.subscriber_impact(later, n.sessions)
+
+
 @query
 def neighbour_impact(spark, sf):
     return network(spark, sf).neighbour_impact
 
 
+@query
+def subscriber_impact_refreshed(spark, sf):
+    """Marts of the first half of January as tables, then the later dates worked out and added."""
+    from cellgauge.network import build_marts, refresh_dates
+
+    n, path, root = network(spark, sf), lake.scratch_path(spark, "telemetry"), lake.scratch_path(spark, "marts")
+    lake.write_dates(n.telemetry, path)
+    whole = replace(n, telemetry=lake.read_dates(spark, path, TELEMETRY_SCHEMA), dates=None)
+    first = replace(n, telemetry=lake.read_dates(spark, path, TELEMETRY_SCHEMA, last=date(2024, 1, 14)), dates=None)
+    rows = build_marts(first, root)["subscriber_impact"].columns
+    refresh_dates(whole, root, date(2024, 1, 15), whole.dates[1])
+    return spark.read.parquet(f"{root}/subscriber_impact").select(*rows)
+
+
 @query
 def mart_row_counts(spark, sf):
     """All marts written as tables in dependency order, then counted."""
@@ -357,7 +450,7 @@ def mart_row_counts(spark, sf):
 
 
 def _tower_map(n: Network, window: str) -> DataFrame:
-    return serving.tower_map(n.towers, n.scored, serving.newest_hour(n.telemetry), window)
+    return serving.tower_map(n.towers, n.scored, n.newest_hour, window, n.stamped)
 
 
 def _province_map(n: Network, window: str) -> DataFrame:
@@ -423,7 +516,8 @@ def tower_metadata(spark, sf):
 @query
 def prb_series(spark, sf):
     n = network(spark, sf)
-    return serving.prb_series(n.telemetry, towers_fit=n.towers_fit)
+    # Bound telemetry holds known towers only, so the tower table bounds its towers.
+    return serving.prb_series(n.telemetry, newest_fits=n.towers_fit)
 
 
 @query
@@ -458,6 +552,21 @@ def impact_totals(spark, sf):
     return serving.impact_totals(network(spark, sf).subscriber_impact)
 
 
+# The same reports about one tower, and about one that has no data.
+for _name, _report in {
+    "latest_reading": lambda n, t: serving.latest_reading(n.telemetry, t),
+    "tower_metadata": lambda n, t: serving.tower_metadata(n.towers, n.thresholds, t),
+    "prb_series": lambda n, t: serving.prb_series(n.telemetry, t),
+    "event_history": lambda n, t: serving.event_history_view(serving.event_history(n.congestion_events, n.subscriber_impact, t)),
+    "peak_hour_profile": lambda n, t: serving.peak_hour_profile(n.peak_hour_patterns, t),
+    "prb_by_weekday_hour": lambda n, t: serving.prb_by_weekday_hour(n.telemetry, t),
+    "neighbour_list": lambda n, t: serving.neighbour_list_view(serving.neighbour_list(n.neighbour_impact, n.towers, t)),
+    "impact_totals": lambda n, t: serving.impact_totals(n.subscriber_impact, t),
+}.items():
+    register(f"{_name}_of_tower", lambda spark, sf, report=_report: report(network(spark, sf), ONE_TOWER))
+register("impact_totals_of_no_tower", lambda spark, sf: serving.impact_totals(network(spark, sf).subscriber_impact, "none"))
+
+
 @query
 def province_choices(spark, sf):
     return serving.provinces(network(spark, sf).towers)
@@ -646,5 +755,6 @@ def quality_standard(spark, sf):
             "events": n.congestion_events,
             "hotspots": n.hotspot_summary,
             "alerts": b.bind_alerts(n.towers),
+            "thresholds": n.thresholds,
         }
     )

@@ -7,7 +7,19 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Earth radius of the distance rule, hex digits of a tower id.
 EARTH_RADIUS_M = 6371000.0
+TOWER_KEY_DIGITS = 12
+
+# Cell types by range in metres.
+URBAN_BELOW_M, SUBURBAN_TO_M = 1000, 5000
+
+# Weights of the health score and the lower bounds of its bands.
+PRB_EXCESS_WEIGHT, LATENCY_DIVISOR, DROPPED_WEIGHT = 1.5, 10, 10
+GOOD_FROM, WARN_FROM = 70, 40
+
+# Marker size without subscribers, smallest, largest, and size per subscriber.
+EMPTY_MARKER, SMALLEST_MARKER, LARGEST_MARKER, MARKER_PER_SUBSCRIBER = 400.0, 300.0, 2500.0, 1.5
 
 # Look-back windows offered by the reports.
 WINDOWS = {"24h": "1 DAY", "7d": "7 DAYS", "30d": "30 DAYS"}
@@ -32,15 +44,15 @@ def _col(c) -> Column:
 def tower_key(radio, mcc, net, area, cell) -> Column:
     """Stable tower id: the first 12 hex digits of SHA-256 over the pipe-joined cell identity."""
     parts = [_col(c).cast("string") for c in (radio, mcc, net, area, cell)]
-    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 12)
+    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, TOWER_KEY_DIGITS)
 
 
 def cell_type(range_m) -> Column:
     r = _col(range_m)
     return (
         F.when(r.isNull() | (r == 0), "suburban")
-        .when(r < 1000, "urban")
-        .when(r <= 5000, "suburban")
+        .when(r < URBAN_BELOW_M, "urban")
+        .when(r <= SUBURBAN_TO_M, "suburban")
         .otherwise("rural")
     )
 
@@ -54,8 +66,8 @@ def health_score(prb, warn, latency, dropped, strict_nulls: bool = False) -> Col
     """0-100 score. A missing input leaves 100, since LEAST and GREATEST skip NULL; ``strict_nulls``
     gives NULL instead."""
     p, w, lat, drop = _col(prb), _col(warn), _col(latency), _col(dropped)
-    excess = F.greatest(F.lit(0.0), (p - w) * 1.5)
-    raw = F.lit(100.0) - excess - lat / 10 - drop * 10
+    excess = F.greatest(F.lit(0.0), (p - w) * PRB_EXCESS_WEIGHT)
+    raw = F.lit(100.0) - excess - lat / LATENCY_DIVISOR - drop * DROPPED_WEIGHT
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))
     if strict_nulls:
         return F.when(p.isNotNull() & w.isNotNull() & raw.isNotNull(), score)
@@ -66,16 +78,16 @@ def health_band(score) -> Column:
     s = _col(score)
     return (
         F.when(s.isNull(), "unknown")
-        .when(s >= 70, "good")
-        .when(s >= 40, "warn")
+        .when(s >= GOOD_FROM, "good")
+        .when(s >= WARN_FROM, "warn")
         .otherwise("critical")
     )
 
 
 def marker_size(subscribers) -> Column:
     n = _col(subscribers)
-    return F.when(n.isNull() | (n <= 0), F.lit(400.0)).otherwise(
-        F.least(F.lit(2500.0), F.greatest(F.lit(300.0), n * 1.5))
+    return F.when(n.isNull() | (n <= 0), F.lit(EMPTY_MARKER)).otherwise(
+        F.least(F.lit(LARGEST_MARKER), F.greatest(F.lit(SMALLEST_MARKER), n * MARKER_PER_SUBSCRIBER))
     )
 
 
@@ -99,9 +111,33 @@ def to_number(c, is_text: bool = False) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def _whole(c, is_text: bool) -> Column:
+    """Whole part as a decimal of 38 digits, so that no integer passes through a double."""
+    x = _col(c)
+    if is_text:
+        readable = to_number(c, True).isNotNull()
+        exact = x.try_cast("decimal(38,6)")
+        return F.when(readable, F.coalesce(exact, to_number(c, True).try_cast("decimal(38,6)")))
+    # A double has no digits to keep beyond its own; other numbers cast exactly.
+    return F.when(~F.isnan(x.try_cast("double")), x.try_cast("decimal(38,6)"))
+
+
+def _truncated(c, is_text: bool) -> Column:
+    x = _whole(c, is_text)
+    return F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x))
+
+
 def to_counter(c, is_text: bool = False, width: str = "int") -> Column:
-    """Whole number, truncated; missing or unreadable counts as 0."""
-    return F.coalesce(to_number(c, is_text).try_cast(width), F.lit(0).cast(width))
+    """Whole number, truncated; missing or unreadable counts as 0. One out of range is NULL, see
+    :func:`counter_overflow`."""
+    wanted = _truncated(c, is_text).try_cast(width)
+    return F.when(counter_overflow(c, is_text, width), F.lit(None)).otherwise(F.coalesce(wanted, F.lit(0).cast(width)))
+
+
+def counter_overflow(c, is_text: bool = False, width: str = "int") -> Column:
+    """Whether the field is a number that the counter's type cannot hold."""
+    number = to_number(c, is_text)
+    return number.isNotNull() & _truncated(c, is_text).try_cast(width).isNull()
 
 
 def sensor_fault(prb) -> Column:

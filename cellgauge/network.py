@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cellgauge.functions.columns import ntz
+from cellgauge.operators.intervals import masks_fit
 from cellgauge.operators.joins import fits
 from cellgauge.operators.spatial import neighbour_pairs
 from cellgauge.plans import marts, scoring
-from cellgauge.sources.lake import PARTITION
+from cellgauge.plans.serving import newest_hour
+from cellgauge.sources.lake import PARTITION, partition_dates
 
 MARTS = (
     "congestion_events",
@@ -25,10 +30,14 @@ MARTS = (
 
 @dataclass
 class Network:
-    """Cleaned tables. Every property is a lazy plan; only the size of the tower table is measured, once,
-    to settle whether joins may broadcast it.
+    """Cleaned tables. Marts are plans that nothing has run yet; what is asked of the data before is the
+    size of the tower table, once, to settle whether joins may broadcast it, the newest hour and valid day of the
+    newest partition if they are asked for, and the sizes that shuffled joins of large tables need.
 
-    ``unique_hours`` states that telemetry has one row per tower and hour (a quality check tells)."""
+    ``unique_hours`` states that telemetry has one row per tower and hour (a quality check tells),
+    ``stamped`` that partition dates come from the hours, ``hourly`` that events are on the hour.
+    ``dates`` are the first and last partition date; a table read from date partitions tells them by its
+    listing. Where they are unknown, bounds are scalar subqueries."""
 
     towers: DataFrame
     thresholds: DataFrame
@@ -36,10 +45,15 @@ class Network:
     sessions: DataFrame
     unique_hours: bool = False
     towers_fit: bool | None = None
+    stamped: bool = True
+    hourly: bool = True
+    dates: tuple[date, date] | None = None
 
     def __post_init__(self):
         if self.towers_fit is None:
             self.towers_fit = fits(self.towers.select("tower_id"))
+        if self.dates is None and (found := partition_dates(self.telemetry)):
+            self.dates = found[0], found[-1]
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -49,13 +63,27 @@ class Network:
     def scored(self) -> DataFrame:
         return scoring.score(self.telemetry, self.profile, self.towers_fit)
 
-    @property
+    @cached_property
     def last_valid_day(self) -> Column:
+        """From the newest partition alone, if it has a reading without sensor fault."""
+        if self.dates is not None and self.stamped:
+            newest = self.telemetry.where((F.col(PARTITION) == F.lit(self.dates[1])) & ~F.col("is_sensor_fault"))
+            if not newest.isEmpty():
+                return F.lit(self.dates[1])
         return marts.last_valid_day(self.telemetry)
 
     @property
     def last_partition(self) -> Column:
-        return marts.last_partition(self.telemetry)
+        return marts.last_partition(self.telemetry) if self.dates is None else F.lit(self.dates[1])
+
+    @cached_property
+    def newest_hour(self) -> Column:
+        """From the newest partition alone, as a literal that makes the windows' partition bounds static; where
+        partitions are unknown, a scalar subquery."""
+        if self.dates is None or not self.stamped:
+            return newest_hour(self.telemetry)
+        newest = self.telemetry.where(F.col(PARTITION) == F.lit(self.dates[1])).agg(F.max("event_hour")).first()[0]
+        return ntz(newest)
 
     @cached_property
     def congestion_events(self) -> DataFrame:
@@ -67,7 +95,7 @@ class Network:
 
     @cached_property
     def peak_hour_patterns(self) -> DataFrame:
-        return marts.peak_hour_patterns(self.scored, self.last_partition)
+        return marts.peak_hour_patterns(self.scored, self.last_partition, self.stamped)
 
     @cached_property
     def network_health_snapshot(self) -> DataFrame:
@@ -79,7 +107,24 @@ class Network:
 
     @cached_property
     def subscriber_impact(self) -> DataFrame:
-        return marts.subscriber_impact(self.congestion_events, self.sessions)
+        return marts.subscriber_impact(self.congestion_events, self.sessions, **self.session_options)
+
+    @property
+    def session_options(self) -> dict:
+        """How sessions meet events: the days, and whether a mask for each tower and day may be broadcast. The
+        tower table bounds the towers, since events are of known towers only. Without a listing the days
+        are read from the one column."""
+        if not self.stamped:
+            return {}
+        span = self.dates or tuple(self.telemetry.agg(F.min(PARTITION), F.max(PARTITION)).first())
+        if span[0] is None:
+            return {}
+        days = (span[1] - span[0]).days + 1
+        return {"days": span, "masks_fit": bool(self.towers_fit) and masks_fit(self.tower_count, days, self.hourly)}
+
+    @cached_property
+    def tower_count(self) -> int:
+        return self.towers.count()
 
     @cached_property
     def neighbour_pairs(self) -> DataFrame:
@@ -94,7 +139,8 @@ def build_marts(network: Network, root: str) -> dict[str, DataFrame]:
     """Write the marts as Parquet under root and return them as read back.
 
     Congestion events and neighbour pairs are written first; the marts that follow read those tables
-    instead of working them out again."""
+    instead of working them out again. The marts with one row per event are partitioned by date;
+    :func:`refresh_dates` replaces single dates of them."""
     spark: SparkSession = network.towers.sparkSession
 
     def stored(name: str, df: DataFrame, by_date: bool = False) -> DataFrame:
@@ -117,7 +163,7 @@ def build_marts(network: Network, root: str) -> dict[str, DataFrame]:
         "neighbour_impact": stored(
             "neighbour_impact", marts.neighbour_impact(events, network.telemetry, pairs)
         ),
-        "subscriber_impact": stored("subscriber_impact", marts.subscriber_impact(events, network.sessions)),
+        "subscriber_impact": stored("subscriber_impact", _impact(events, network), by_date=True).drop(PARTITION),
         "network_health_snapshot": health,
         "province_summary": stored(
             "province_summary", marts.province_summary(network.towers, hotspots, health)
@@ -125,6 +171,43 @@ def build_marts(network: Network, root: str) -> dict[str, DataFrame]:
     }
 
 
+def _impact(events: DataFrame, network: Network) -> DataFrame:
+    rows = marts.subscriber_impact(events, network.sessions, **network.session_options)
+    return rows.withColumn(PARTITION, F.to_date("event_hour"))
+
+
+def refresh_dates(network: Network, root: str, first: date, last: date) -> None:
+    """Work the event-grained marts out again for the dates from first to last and replace those partitions,
+    whole and idempotent; other dates are neither read nor written. Dates that have lost all events are
+    emptied. Needs a network whose partition dates come from the hours."""
+    if not network.stamped:
+        raise ValueError("partition dates do not follow the hours")
+    spark: SparkSession = network.towers.sparkSession
+    day = F.col(PARTITION).between(F.lit(first), F.lit(last))
+    hot = network.scored.where(day & F.col("severity").isNotNull()).select(*marts.EVENT_COLUMNS, PARTITION)
+    _replace(spark, hot, f"{root}/congestion_events", first, last)
+    events = spark.read.parquet(f"{root}/congestion_events").where(day)
+    # A session of these dates may have begun long before; only its end is bounded.
+    sessions = network.sessions.where(F.col("session_end") >= F.lit(first).cast("timestamp_ntz"))
+    part = replace(network, sessions=sessions, dates=(first, last))
+    _replace(spark, _impact(events, part), f"{root}/subscriber_impact", first, last)
+
+
+def _replace(spark: SparkSession, df: DataFrame, path: str, first: date, last: date) -> None:
+    (
+        df.hint("rebalance", PARTITION)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(PARTITION)
+        .parquet(path)
+    )
+    # A dynamic overwrite leaves dates alone that have no row any more.
+    stored, kept = spark.read.parquet(path), {r[0] for r in df.select(PARTITION).distinct().collect()}
+    for gone in (d for d in partition_dates(stored) if first <= d <= last and d not in kept):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{PARTITION}={gone:%Y-%m-%d}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def create_views(network: Network) -> None:
     """Staging tables as temporary views with fixed columns, for SQL users."""
     from cellgauge.schemas import SESSION_SCHEMA, TELEMETRY_SCHEMA

@@ -1,29 +1,40 @@
 """Sessions that overlap given tower-hours, without a range join.
 
-Event hours are whole hours, so "starts no later than the hour's end and ends no earlier than its
-start" is the same as a run of whole hours per session. The run is cut by day. Per tower and day the
-wanted hours are one 24-bit mask, so a session meets one row per day it touches, by equality.
-"""
+An event at any time t lasts one hour. A session overlaps it, ends included, when t is between the
+session's start less one hour and its end. That stretch is cut by day. Per tower and day the wanted
+times are kept as a list next to a 24-bit mask of their hours, so a session meets one row for each day
+of its stretch, by equality; the mask drops most sessions, and the exact times decide."""
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgauge.functions.columns import at_hour
-from cellgauge.operators.joins import BROADCAST_ROWS, TASK_ROWS, spread_join
+from cellgauge.operators.joins import BROADCAST_BYTES, TASK_ROWS, salted_join
+
+_EPOCH = date(1970, 1, 1)
 
 
 def hour_masks(tower_hours: DataFrame) -> DataFrame:
-    """(tower_id, day, hours): bit h of hours is set when the tower has that hour on that day. Days are
-    counted from 1970, as integers."""
+    """(tower_id, day, hours, times): the distinct event times of a tower on a day, and a mask in which bit
+    h is set when one of them is in hour h. Days are counted from 1970, as integers."""
     return (
-        tower_hours.select("tower_id", _day("event_hour").alias("day"), F.expr("shiftleft(1, hour(event_hour))").alias("_bit"))
+        tower_hours.select(
+            "tower_id", "event_hour", _day("event_hour").alias("day"), F.expr("shiftleft(1, hour(event_hour))").alias("_bit")
+        )
         .groupBy("tower_id", "day")
-        .agg(F.bit_or("_bit").alias("hours"))
+        .agg(F.bit_or("_bit").alias("hours"), F.collect_set("event_hour").alias("times"))
     )
 
 
+def masks_fit(towers: int, days: int, hourly: bool = True) -> bool:
+    """Whether the masks of so many towers and days may be broadcast, by their largest possible size: 24
+    times of a tower and day if events are on the hour, else no bound is known."""
+    return hourly and towers * days * (64 + 24 * 8) <= BROADCAST_BYTES
+
+
 def _day(ts) -> Column:
     return F.unix_date(F.to_date(ts))
 
@@ -35,34 +46,30 @@ def _midnight(day: Column) -> Column:
 def sessions_in_hours(
     sessions: DataFrame,
     tower_hours: DataFrame,
-    max_rows: int = BROADCAST_ROWS,
+    days: tuple[date, date] | None = None,
+    masks_fit: bool = False,
     task_rows: int = TASK_ROWS,
-    masks_fit: bool | None = None,
 ) -> DataFrame:
-    """Every session once per wanted hour it overlaps, with that hour as ``event_hour``.
+    """Every session once per wanted time it overlaps, with that time as ``event_hour``.
 
-    A NULL end never overlaps. Sessions outside the range of the wanted hours are filtered in the scan,
-    and days outside it are cut before they are unfolded; neither can match. Unless ``masks_fit`` tells
-    the size of the masks, one bounded job finds their number and range: it reads the wanted hours once
-    more, but spares the sessions, the larger table by far, a shuffle."""
+    A NULL end never overlaps. Sessions outside the range of the wanted days are filtered in the scan, and
+    days outside it are cut before they are unfolded; neither can match. ``days`` passes the range
+    on where it is known, else it is a scalar subquery. ``masks_fit`` says that the masks may be
+    broadcast, see :func:`masks_fit`; no job is run here to find out."""
     masks = hour_masks(tower_hours)
-    if masks_fit is None:
-        found = masks.limit(max_rows + 1).agg(F.count("day"), F.min("day"), F.max("day")).first()
-        masks_fit = found[0] <= max_rows
-    else:
-        found = None
-    if found is not None and masks_fit:
-        first_day, last_day = F.lit(found[1]).cast("int"), F.lit(found[2]).cast("int")
+    if days is not None:
+        first_day, last_day = (F.lit((d - _EPOCH).days) for d in days)
     else:
         span = masks.agg(F.struct(F.min("day").alias("first"), F.max("day").alias("last")).alias("span")).scalar()
         first_day, last_day = span.getField("first"), span.getField("last")
-    in_range = (F.col("session_start") <= _midnight(last_day + 1)) & (F.col("session_end") >= _midnight(first_day))
-    # The first hour touched is the one that ends at the start or holds it.
-    begin, end = F.col("session_start") - F.expr("INTERVAL 1 MICROSECOND"), F.col("session_end")
+    earliest = F.col("session_start") - F.expr("INTERVAL 1 HOUR")
+    # An event of the last day may last an hour into the next one.
+    in_range = (earliest < _midnight(last_day + 1)) & (F.col("session_end") >= _midnight(first_day))
     runs = (
-        sessions.where(in_range)
-        .withColumns({"_d1": _day(begin), "_h1": F.hour(begin), "_d2": _day(end), "_h2": F.hour(end)})
-        .where((F.col("_d1") < F.col("_d2")) | ((F.col("_d1") == F.col("_d2")) & (F.col("_h1") <= F.col("_h2"))))
+        sessions.where(in_range & (F.col("session_start") <= F.col("session_end") + F.expr("INTERVAL 1 HOUR")))
+        .withColumns(
+            {"_d1": _day(earliest), "_h1": F.hour(earliest), "_d2": _day("session_end"), "_h2": F.hour("session_end")}
+        )
         .withColumns({"_from": F.greatest(F.col("_d1"), first_day), "_to": F.least(F.col("_d2"), last_day)})
         .where(F.col("_from") <= F.col("_to"))
         .withColumn("day", F.explode(F.sequence("_from", "_to")))
@@ -74,22 +81,14 @@ def sessions_in_hours(
         )
         .drop("_d1", "_d2", "_from", "_to")
     )
-    met = spread_join(
-        runs,
-        masks,
-        ["tower_id", "day"],
-        "inner",
-        F.col("subscriber_id"),
-        max_rows=max_rows,
-        task_rows=task_rows,
-        small_fits=masks_fit,
-    )
-    # Bits h1..h2. Most sessions meet no wanted hour and go before their hours are unfolded.
+    on = ["tower_id", "day"]
+    if masks_fit:
+        met = runs.join(F.broadcast(masks), on)
+    else:
+        met = salted_join(runs, masks, on, "inner", F.col("subscriber_id"), task_rows)
+    # Bits h1..h2. Most sessions meet no wanted hour and go before their times are unfolded.
     wanted = F.col("hours").bitwiseAND(F.expr("shiftleft(1, _h2 + 1) - shiftleft(1, _h1)"))
+    exact = F.filter("times", lambda t: (t >= earliest) & (t <= F.col("session_end")))
     return (
-        met.where(wanted != 0)
-        .withColumn("_hour", F.explode(F.sequence("_h1", "_h2")))
-        .where(F.getbit("hours", F.col("_hour")) == 1)
-        .withColumn("event_hour", at_hour(F.date_from_unix_date("day"), "_hour"))
-        .drop("_h1", "_h2", "_hour", "hours", "day")
+        met.where(wanted != 0).withColumn("event_hour", F.explode(exact)).drop("_h1", "_h2", "hours", "times", "day")
     )

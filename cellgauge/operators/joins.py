@@ -16,32 +16,38 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-# Dimension rows are some tens of bytes wide, so this stays well under 100 MB per executor.
+# A broadcast side may have so many rows and, strings measured, so many bytes.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
+# Bytes of a row and of each column besides the bytes of strings.
+ROW_BYTES, COLUMN_BYTES = 16, 16
 # Rows of one key that a single task may take before the key is salted.
 TASK_ROWS = 5_000_000
-# Hot keys considered. A key outside the largest 10,000 holds less than 1/10,000 of the rows.
-HOT_KEYS = 10_000
+# Rows without a key match nothing and are dealt over so many salts.
+NULL_SALTS = 10_000
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most max_rows rows. Reads no more than one row past the limit."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if fits(df, max_rows) else df
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most max_rows rows and max_bytes bytes. One job that reads no more than one row
+    past the limit. Tables with nested columns are not measured and never fit."""
+    if any(isinstance(f.dataType, (ArrayType, MapType, StructType)) for f in df.schema):
+        return False
+    text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, (StringType, BinaryType))]
+    wide = F.lit(ROW_BYTES + COLUMN_BYTES * len(df.columns)).cast("long")
+    for length in text:
+        wide = wide + length
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(wide), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes
 
 
 def hot_keys(df: DataFrame, on: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
-    """Keys with more than task_rows rows and the number of salts they need; at most HOT_KEYS rows."""
+    """All keys with more than task_rows rows and the number of salts they need: at most one row for
+    every task_rows rows of df."""
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    return (
-        counts.where(F.col("_rows") > task_rows)
-        .orderBy(F.desc("_rows"), *on)
-        .limit(HOT_KEYS)
-        .select(*on, F.ceil(F.col("_rows") / task_rows).cast("int").alias("_salts"))
+    return counts.where(F.col("_rows") > task_rows).select(
+        *on, F.ceil(F.col("_rows") / task_rows).cast("int").alias("_salts")
     )
 
 
@@ -70,14 +76,18 @@ def spread_join(
 def salted_join(
     big: DataFrame, small: DataFrame, on: list[str], how: str, salt_by: Column, task_rows: int = TASK_ROWS
 ) -> DataFrame:
-    hot = F.broadcast(hot_keys(big, on, task_rows))
+    """Join on the key plus a salt. The salts of hot keys are broadcast if they fit; else both sides meet
+    them by a shuffle."""
+    hot = hot_keys(big, on, task_rows)
+    if fits(hot):
+        hot = F.broadcast(hot)
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     no_key = reduce(or_, [F.col(k).isNull() for k in on])
     # A row without a key matches nothing, so it may go anywhere.
     left = (
         big.withColumn("_spread", F.xxhash64(salt_by))
         .join(hot, on, "left")
-        .withColumn("_salt", F.pmod(F.col("_spread"), F.when(no_key, HOT_KEYS).otherwise(salts)).cast("int"))
+        .withColumn("_salt", F.pmod(F.col("_spread"), F.when(no_key, NULL_SALTS).otherwise(salts)).cast("int"))
         .drop("_spread", "_salts")
     )
     right = (

@@ -12,6 +12,10 @@ from cellgauge.operators.joins import BROADCAST_ROWS, spread_join
 
 # A source row meets every tower of its grid cell, so hot cells are split into small pieces.
 PAIR_TASK_ROWS = 20_000
+# A point meets the edges of its feature and latitude band, some tens to thousands.
+POINT_TASK_ROWS = 50_000
+# Side of the grid cells that find bounding boxes, in latitude bands.
+BOX_BANDS = 10
 
 
 def _row_height(radius_m: float) -> float:
@@ -106,6 +110,37 @@ def neighbour_pairs(
     )
 
 
+def polygon_candidates(
+    points: DataFrame,
+    edges: DataFrame,
+    key: list[str],
+    name: str,
+    band_degrees: float,
+    max_rows: int = BROADCAST_ROWS,
+    task_rows: int = POINT_TASK_ROWS,
+) -> DataFrame:
+    """Each point with the edges that the exact test needs: those at its own latitude, of features whose
+    bounding box holds it. Boxes are found by grid cells in both axes, edges by feature and latitude band."""
+    cell = lambda v: F.floor(v / (band_degrees * BOX_BANDS))
+    band = lambda y: F.floor(y / band_degrees)
+    edges = edges.withColumn("_feature", F.xxhash64("feature_id" if "feature_id" in edges.columns else name))
+    west, east, south, north = F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2")
+    boxes = edges.groupBy("_feature", name).agg(
+        F.min(west).alias("_w"), F.max(east).alias("_e"), F.min(south).alias("_s"), F.max(north).alias("_n")
+    )
+    boxes = boxes.withColumn("_cx", F.explode(F.sequence(cell(F.col("_w")), cell(F.col("_e"))))).withColumn(
+        "_cy", F.explode(F.sequence(cell(F.col("_s")), cell(F.col("_n"))))
+    )
+    spots = points.select(*key, F.col("lon").alias("_px"), F.col("lat").alias("_py"))
+    spots = spots.withColumns({"_cx": cell(F.col("_px")), "_cy": cell(F.col("_py"))})
+    salt = F.struct(*key)
+    boxed = spread_join(spots, boxes, ["_cx", "_cy"], "inner", salt, max_rows=max_rows, task_rows=task_rows)
+    boxed = boxed.where(F.col("_px").between(F.col("_w"), F.col("_e")) & F.col("_py").between(F.col("_s"), F.col("_n")))
+    boxed = boxed.drop("_cx", "_cy", "_w", "_e", "_s", "_n").withColumn("_band", band(F.col("_py")))
+    banded = edges.select("_feature", "x1", "y1", "x2", "y2", F.explode(F.sequence(band(south), band(north))).alias("_band"))
+    return spread_join(boxed, banded, ["_feature", "_band"], "inner", salt, max_rows=max_rows, task_rows=task_rows)
+
+
 def point_in_polygon(
     points: DataFrame,
     edges: DataFrame,
@@ -113,20 +148,14 @@ def point_in_polygon(
     name: str = "province_name",
     band_degrees: float = 0.05,
     max_rows: int = BROADCAST_ROWS,
+    task_rows: int = POINT_TASK_ROWS,
 ) -> DataFrame:
     """(key..., name) for every point strictly inside a named area; the first name when areas overlap.
 
-    ``edges`` has (name, x1, y1, x2, y2), all rings of all parts; holes work by parity. Edges are
-    indexed by latitude band, so a point meets only edges at its own latitude. A point on an edge is
-    not inside."""
-    band = lambda y: F.floor(y / band_degrees)
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    banded = edges.withColumn("_band", F.explode(F.sequence(band(low), band(high))))
-    spots = points.select(*key, F.col("lon").alias("_px"), F.col("lat").alias("_py")).withColumn(
-        "_band", band(F.col("_py"))
-    )
-    met = spread_join(spots, banded, ["_band"], "inner", F.struct(*key), max_rows=max_rows)
-
+    ``edges`` has (name, x1, y1, x2, y2), all rings of all parts, and ``feature_id`` if a name may stand
+    for several features; without it a name is one feature. Holes work by parity within a feature, and
+    features that overlap do not cancel each other. A point on an edge of a feature is not inside it."""
+    met = polygon_candidates(points, edges, key, name, band_degrees, max_rows, task_rows)
     px, py = F.col("_px"), F.col("_py")
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     crosses = ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)
@@ -139,7 +168,7 @@ def point_in_polygon(
         met.withColumn("_cross", F.coalesce(crosses, F.lit(False)).cast("int"))
         .withColumn("_touch", touches.cast("int"))
         .where((F.col("_cross") == 1) | (F.col("_touch") == 1))
-        .groupBy(*key, name)
+        .groupBy(*key, "_feature", name)
         .agg(F.sum("_cross").alias("_crossings"), F.max("_touch").alias("_touched"))
         .where((F.col("_crossings") % 2 == 1) & (F.col("_touched") == 0))
     )

@@ -15,6 +15,7 @@ from cellgauge.functions.columns import ntz, percent_text
 from cellgauge.operators.dedupe import keep_first
 from cellgauge.schemas import ALERT_SCHEMA
 
+# Columns of a new alert. The categories, types and messages below are fixed values too.
 NEW_COLUMNS = ("tower_id", "alert_type", "alert_category", "severity", "message", "triggered_at", "status")
 
 

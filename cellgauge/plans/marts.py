@@ -2,7 +2,9 @@
 
 Look-back windows count calendar dates back from the newest date, inclusive: "7 days" is 8 dates.
 The newest date is a scalar subquery by default; pass ``F.lit(date)`` where it is known, and partition
-pruning becomes static. Marts carry no row order; reports sort what they show.
+pruning becomes static. Cleaned tables take the partition date from the hour, so a bound on hours is a
+bound on dates too; for tables stamped with another date pass ``stamped=False``. Marts carry no row
+order; reports sort what they show.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from cellgauge.functions.columns import percent_of, ratio, round_half_up
 from cellgauge.operators.intervals import sessions_in_hours
 from cellgauge.plans.scoring import has_profile
 
+# Columns of a congestion event, in order.
 EVENT_COLUMNS = (
     "tower_id",
     "event_hour",
@@ -25,6 +28,11 @@ EVENT_COLUMNS = (
 )
 
 
+def from_day(df: DataFrame, day: Column, stamped: bool = True) -> DataFrame:
+    """Partitions from a day on, where the table has them; a step before the bound on the hour itself."""
+    return df.where(F.col("partition_date") >= day) if stamped and "partition_date" in df.columns else df
+
+
 def last_valid_day(telemetry: DataFrame) -> Column:
     """Newest event date among readings without sensor fault."""
     newest = telemetry.where(~F.col("is_sensor_fault")).agg(F.max("event_hour"))
@@ -97,8 +105,8 @@ def hotspot_summary(scored: DataFrame, as_of: Column, unique_hours: bool = False
     )
 
 
-def peak_hour_patterns(scored: DataFrame, as_of: Column) -> DataFrame:
-    recent = scored.where((F.col("event_hour") >= F.date_sub(as_of, 30).cast("timestamp_ntz")) & has_profile())
+def peak_hour_patterns(scored: DataFrame, as_of: Column, stamped: bool = True) -> DataFrame:
+    recent = from_day(scored, F.date_sub(as_of, 30), stamped).where((F.col("event_hour") >= F.date_sub(as_of, 30).cast("timestamp_ntz")) & has_profile())
     congested = F.coalesce(F.col("prb_utilization") >= F.col("threshold_warn"), F.lit(False))
     return recent.groupBy("tower_id", F.hour("event_hour").alias("hour_of_day")).agg(
         F.avg("prb_utilization").alias("avg_prb_utilization"),

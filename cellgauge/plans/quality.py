@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgauge.operators.joins import spread_join
+from cellgauge.plans.scoring import tower_profile
 from cellgauge.schemas import ALERT_STATUSES, CELL_TYPES, SERVICE_TYPES, SEVERITIES
 
 
@@ -61,7 +63,8 @@ def missing_tower_hours(telemetry: DataFrame, towers: DataFrame) -> DataFrame:
     them; the spine is 24 times smaller than complete telemetry."""
     span = telemetry.agg(F.min("partition_date").alias("first"), F.max("partition_date").alias("last"))
     days = F.sequence(span.select("first").scalar(), span.select("last").scalar())
-    spine = towers.select("tower_id").withColumn("partition_date", F.explode(days))
+    # A tower table of few files still gives many tasks before each tower is repeated for every date.
+    spine = towers.select("tower_id").repartition("tower_id").withColumn("partition_date", F.explode(days))
     seen = (
         telemetry.select("tower_id", "partition_date", F.expr("shiftleft(1, hour(event_hour))").alias("_bit"))
         .groupBy("tower_id", "partition_date")
@@ -75,19 +78,39 @@ def missing_tower_hours(telemetry: DataFrame, towers: DataFrame) -> DataFrame:
     )
 
 
-def incomplete_telemetry_dates(telemetry: DataFrame, towers: DataFrame) -> DataFrame:
-    """Partition dates whose row count is not exactly towers x 24."""
+def rows_by_date(df: DataFrame, first: date | None = None, last: date | None = None) -> DataFrame:
+    """(partition_date, actual_rows) for every date from first to last, 0 where there is no row. Without
+    bounds the table's own first and last date count."""
+    counted = df.groupBy("partition_date").agg(F.count(F.lit(1)).alias("actual_rows"))
+    # One row for each date: cheap to ask for bounds and to lay out in one task.
+    span = counted.agg(F.min("partition_date").alias("first"), F.max("partition_date").alias("last"))
+    bound = [F.col(n) if d is None else F.lit(d) for n, d in (("first", first), ("last", last))]
+    known = span.where(bound[0].isNotNull() & bound[1].isNotNull() & (bound[0] <= bound[1]))
+    spine = known.select(F.explode(F.sequence(*bound)).alias("partition_date"))
+    return spine.join(counted, "partition_date", "left").fillna(0, ["actual_rows"])
+
+
+def incomplete_telemetry_dates(
+    telemetry: DataFrame, towers: DataFrame, first: date | None = None, last: date | None = None
+) -> DataFrame:
+    """Dates whose row count is not exactly towers x 24, dates without any row among them."""
     expected = towers.agg(F.count(F.lit(1)) * 24).scalar()
-    rows = telemetry.groupBy("partition_date").agg(F.count(F.lit(1)).alias("actual_rows"))
-    return rows.withColumn("expected_rows", expected).where(F.col("actual_rows") != F.col("expected_rows"))
+    rows = rows_by_date(telemetry, first, last).withColumn("expected_rows", expected)
+    return rows.where(F.col("actual_rows") != F.col("expected_rows"))
 
 
 def incomplete_session_dates(
-    sessions: DataFrame, subscribers: DataFrame, per_subscriber: int = 3, tolerance: float = 0.95
+    sessions: DataFrame,
+    subscribers: DataFrame,
+    per_subscriber: int = 3,
+    tolerance: float = 0.95,
+    first: date | None = None,
+    last: date | None = None,
 ) -> DataFrame:
-    """Partition dates with fewer rows than ``tolerance`` x subscribers x ``per_subscriber``."""
+    """Dates with fewer rows than ``tolerance`` x subscribers x ``per_subscriber``, dates without any row
+    among them."""
     expected = subscribers.agg(F.count(F.lit(1)) * per_subscriber).scalar()
-    rows = sessions.groupBy("partition_date").agg(F.count(F.lit(1)).alias("actual_rows"))
+    rows = rows_by_date(sessions, first, last)
     return rows.withColumn("expected_rows", expected).where(
         F.col("actual_rows") < F.col("expected_rows") * F.lit(tolerance)
     )
@@ -106,7 +129,8 @@ def tower_master_problems(towers: DataFrame, expected_count: int | Column) -> Da
 def standard_checks(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(check_name, violations), one row per standing check, zero included.
 
-    Expects towers, subscribers, telemetry, sessions, events, hotspots and alerts."""
+    Expects towers, subscribers, telemetry, sessions, events, hotspots and alerts; with thresholds also
+    the events without any."""
 
     def total(name: str, found: DataFrame) -> DataFrame:
         return found.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check_name"), "violations")
@@ -133,5 +157,11 @@ def standard_checks(tables: Mapping[str, DataFrame]) -> DataFrame:
         accepted("towers", "cell_type", CELL_TYPES),
         accepted("sessions", "service_type", SERVICE_TYPES),
         accepted("alerts", "status", ALERT_STATUSES),
+        total("telemetry prb range", prb_out_of_range(tables["telemetry"])),
+        total("events tower known", orphans(tables["events"], tables["towers"], "tower_id", F.col("tower_id"))),
+        total("sessions tower known", orphans(tables["sessions"], tables["towers"], "tower_id", F.col("tower_id"))),
     ]
+    if "thresholds" in tables:
+        profile = tower_profile(tables["towers"], tables["thresholds"])
+        parts.append(total("events threshold defined", events_without_threshold(tables["events"], profile)))
     return reduce(DataFrame.unionByName, parts)

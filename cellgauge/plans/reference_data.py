@@ -12,7 +12,7 @@ from cellgauge.functions.columns import cell_type, from_epoch_seconds, ntz, towe
 from cellgauge.operators.dedupe import keep_first
 from cellgauge.operators.sampling import TOP_N_ROWS, take_by_hash
 from cellgauge.operators.spatial import point_in_polygon
-from cellgauge.schemas import SAMPLE_MNCS, SAMPLE_RADIOS, TOWER_SCHEMA, island_groups
+from cellgauge.schemas import PROVINCE_SCHEMA, SAMPLE_MNCS, SAMPLE_RADIOS, TOWER_SCHEMA, island_groups
 
 CELL_KEY = ["radio", "mcc", "net", "area", "cell"]
 DEFAULT_SEED = 42
@@ -46,7 +46,8 @@ def sample_cells(
     """n distinct cells, the same for the same seed; n <= 0 gives all.
 
     Favoured radios come first. Within a favoured radio only the favoured operators count, when they
-    have at least a third of n cells; otherwise the whole radio does. The remaining cells fill up."""
+    have at least a third of n rows of the input, repeats included; otherwise the whole radio does. The
+    remaining cells fill up."""
     unique = newest_cells(cells)
     if n <= 0:
         return unique
@@ -54,7 +55,7 @@ def sample_cells(
     mnc_hit = F.col("net").isin(*mncs)
     # At most one row per favoured radio.
     supply = (
-        unique.where(F.col("radio").isin(*radios))
+        cells.where(F.col("radio").isin(*radios))
         .groupBy("radio")
         .agg((F.count_if(mnc_hit) >= n // 3).alias("_mnc_only"))
     )
@@ -133,4 +134,4 @@ def upsert_provinces(current: DataFrame, towers: DataFrame, added_at: datetime |
         "province_name",
         F.when(F.col("_seen").isNull(), F.col("island_group")).otherwise(F.col("_island")).alias("island_group"),
         F.when(fresh, ntz(added_at)).otherwise(F.col("added_at")).alias("added_at"),
-    )
+    ).select(*PROVINCE_SCHEMA.names)

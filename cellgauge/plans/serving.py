@@ -22,8 +22,10 @@ from cellgauge.functions.columns import (
     window_interval,
 )
 from cellgauge.operators.joins import spread_join
+from cellgauge.plans.marts import from_day
 from cellgauge.plans.scoring import has_profile
 
+# The columns of the reports, here and in the select lists below.
 TOWER_ATTRIBUTES = ("tower_id", "lat", "lon", "radio", "mnc", "cell_type", "province_name", "island_group")
 ALL = "All"
 
@@ -54,11 +56,13 @@ def _ranked(df: DataFrame, *order: Column) -> DataFrame:
 
 
 def newest_hour(telemetry: DataFrame) -> Column:
+    """Newest hour of all readings, as a scalar subquery."""
     return telemetry.agg(F.max("event_hour")).scalar()
 
 
-def _window_metrics(scored: DataFrame, newest: Column, window: str) -> DataFrame:
-    recent = scored.where((F.col("event_hour") >= newest - window_interval(window)) & has_profile())
+def _window_metrics(scored: DataFrame, newest: Column, window: str, stamped: bool = True) -> DataFrame:
+    first_day = F.to_date(newest - window_interval(window))
+    recent = from_day(scored, first_day, stamped).where((F.col("event_hour") >= newest - window_interval(window)) & has_profile())
     return recent.groupBy("tower_id").agg(
         round_half_up(F.avg("health_score")).alias("health_score"),
         F.max("connected_subscribers").alias("connected_subscribers"),
@@ -66,10 +70,13 @@ def _window_metrics(scored: DataFrame, newest: Column, window: str) -> DataFrame
     )
 
 
-def tower_map(towers: DataFrame, scored: DataFrame, newest: Column, window: str = "7d") -> DataFrame:
+def tower_map(
+    towers: DataFrame, scored: DataFrame, newest: Column, window: str = "7d", stamped: bool = True
+) -> DataFrame:
     """Every tower with its mean health, peak subscribers and mean PRB in the window. Readings are
-    reduced to one row per tower before they meet the tower table."""
-    return towers.select(*TOWER_ATTRIBUTES).join(_window_metrics(scored, newest, window), "tower_id", "left")
+    reduced to one row per tower before they meet the tower table. Only the window's dates are read."""
+    metrics = _window_metrics(scored, newest, window, stamped)
+    return towers.select(*TOWER_ATTRIBUTES).join(metrics, "tower_id", "left")
 
 
 def province_map(tower_rows: DataFrame, congested_below: float = 40.0) -> DataFrame:
@@ -153,7 +160,8 @@ def province_leaderboard(
         .withColumn("congestion_rate", round_half_up(percent_of("congested_tower_count", "tower_count")))
         .withColumn("avg_congestion_frequency", round_half_up("_mean"))
     )
-    order = (F.desc_nulls_last("avg_congestion_frequency"), F.asc("province_name"))
+    # The mean before rounding decides; as a decimal it does not depend on the order of addition.
+    order = (F.desc_nulls_last(F.col("_mean").cast("decimal(28,9)")), F.asc("province_name"))
     return _ranked(out, *order).drop("_mean").orderBy("rank")
 
 
@@ -218,18 +226,25 @@ def tower_metadata(towers: DataFrame, thresholds: DataFrame, tower_id: str | Non
 
 
 def prb_series(
-    telemetry: DataFrame, tower_id: str | None = None, days: int = 7, towers_fit: bool | None = None
+    telemetry: DataFrame,
+    tower_id: str | None = None,
+    days: int = 7,
+    newest_fits: bool | None = None,
+    stamped: bool = True,
 ) -> DataFrame:
     """PRB over the last days before the tower's own newest hour, which a faulty reading may set. The
-    newest hour comes from an aggregate, not a window, so a tower's readings are never gathered; it is
-    broadcast where the tower table is known to fit."""
+    newest hour comes from an aggregate, not a window, so a tower's readings are never gathered. Dates
+    before the window of the tower that fell silent first are not read. ``newest_fits`` tells that one row
+    for each tower of telemetry may be broadcast; otherwise it is measured."""
     columns = ("tower_id", "event_hour", "prb_utilization", "connected_subscribers", "is_sensor_fault")
     rows = _of_tower(telemetry.select(*columns), tower_id)
     newest = rows.groupBy("tower_id").agg(F.max("event_hour").alias("_newest"))
-    valid = rows.where(~F.col("is_sensor_fault"))
+    span = F.expr(f"INTERVAL '{int(days)}' DAY")
+    first_day = F.to_date(newest.agg(F.min("_newest")).scalar() - span)
+    valid = from_day(_of_tower(telemetry, tower_id), first_day, stamped).where(~F.col("is_sensor_fault")).select(*columns)
     recent = spread_join(
-        valid, newest, ["tower_id"], "inner", F.col("event_hour"), small_fits=towers_fit or tower_id is not None
-    ).where(F.col("event_hour") >= F.col("_newest") - F.expr(f"INTERVAL '{int(days)}' DAY"))
+        valid, newest, ["tower_id"], "inner", F.col("event_hour"), small_fits=newest_fits or tower_id is not None or None
+    ).where(F.col("event_hour") >= F.col("_newest") - span)
     out = recent.select("tower_id", "event_hour", "prb_utilization", "connected_subscribers")
     return out if tower_id is None else out.orderBy("event_hour")
 
@@ -354,7 +369,7 @@ def active_alerts(
             "triggered_at",
             "days_active",
         )
-        .orderBy(F.desc("severity"), "triggered_at")
+        .orderBy(F.desc("severity"), "triggered_at", "alert_id")
     )
 
 

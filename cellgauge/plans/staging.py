@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from cellgauge.functions.columns import sensor_fault, to_counter, to_number, to_timestamp_ntz
+from cellgauge.functions.columns import counter_overflow, sensor_fault, to_counter, to_number, to_timestamp_ntz
 from cellgauge.operators.dedupe import keep_first
 from cellgauge.operators.joins import spread_join
 from cellgauge.schemas import SESSION_SCHEMA, TELEMETRY_SCHEMA
@@ -38,7 +38,7 @@ def clean_telemetry(
     """Known towers only; measures as numbers or NULL, counters as whole numbers, missing = 0.
 
     The fault flag is set after the numbers are read, so a reading given as text is flagged too. Rows
-    whose hour cannot be read are left out; see :func:`rejected_telemetry`. ``dedupe`` keeps one row
+    whose hour cannot be read or whose counter is out of range are left out; see :func:`rejected_telemetry`. ``dedupe`` keeps one row
     per tower and hour, which the source does not promise."""
     known = spread_join(
         raw, towers.select("tower_id"), ["tower_id"], "left_semi", F.col("event_hour"), small_fits=towers_fit
@@ -49,7 +49,7 @@ def clean_telemetry(
         *(to_number(c, _is_text(raw, c)).alias(c) for c in MEASURES if c in raw.columns),
         *(F.lit(None).cast("double").alias(c) for c in MEASURES if c not in raw.columns),
         *(to_counter(c, _is_text(raw, c)).alias(c) for c in COUNTERS),
-    ).where(F.col("event_hour").isNotNull())
+    ).where(F.col("event_hour").isNotNull() & F.col(COUNTERS[0]).isNotNull() & F.col(COUNTERS[1]).isNotNull())
     out = typed.withColumn("is_sensor_fault", sensor_fault("prb_utilization")).withColumn(
         "partition_date", _stamp(partition_date, "event_hour")
     )
@@ -59,8 +59,11 @@ def clean_telemetry(
 
 
 def rejected_telemetry(raw: DataFrame) -> DataFrame:
-    """Raw rows whose hour is missing or unreadable."""
-    return raw.where(to_timestamp_ntz("event_hour").isNull())
+    """Raw rows whose hour is missing or unreadable, or with a counter out of range."""
+    bad = to_timestamp_ntz("event_hour").isNull()
+    for c in COUNTERS:
+        bad |= counter_overflow(c, _is_text(raw, c))
+    return raw.where(bad)
 
 
 def clean_sessions(
@@ -84,7 +87,7 @@ def clean_sessions(
         to_number("session_duration_min", _is_text(raw, "session_duration_min")).alias("session_duration_min"),
         "service_type",
         to_counter("bytes_transferred", _is_text(raw, "bytes_transferred"), "bigint").alias("bytes_transferred"),
-    ).dropna(subset=["subscriber_id", "tower_id", "session_start", "service_type"])
+    ).dropna(subset=["subscriber_id", "tower_id", "session_start", "service_type", "bytes_transferred"])
     known = spread_join(
         typed, towers.select("tower_id"), ["tower_id"], "left_semi", F.col("subscriber_id"), small_fits=towers_fit
     )
@@ -110,10 +113,11 @@ def clean_sessions(
 
 
 def rejected_sessions(raw: DataFrame) -> DataFrame:
-    """Raw rows with a required field missing or a start that cannot be read."""
+    """Raw rows with a required field missing, a start that cannot be read or bytes out of range."""
     return raw.where(
         F.col("subscriber_id").isNull()
         | F.col("tower_id").isNull()
         | F.col("service_type").isNull()
         | to_timestamp_ntz("session_start").isNull()
+        | counter_overflow("bytes_transferred", _is_text(raw, "bytes_transferred"), "bigint")
     )

@@ -29,6 +29,7 @@ CELL_SCHEMA = _schema(
     "range INT, samples INT, changeable INT, created BIGINT, updated BIGINT, averageSignal INT"
 )
 
+# Columns of the stored tables, from here to the thresholds.
 # `cell` is wider than the 32-bit id some stores use: LTE cell ids may need it.
 TOWER_SCHEMA = _schema(
     "tower_id STRING NOT NULL, radio STRING NOT NULL, mcc INT NOT NULL, mnc INT NOT NULL, "

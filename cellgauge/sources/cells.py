@@ -11,14 +11,33 @@ from cellgauge.schemas import CELL_SCHEMA, THRESHOLD_SCHEMA
 NAME_PROPERTIES = ("nama", "name", "NAME_1", "PROVINSI", "province", "Provinsi", "Propinsi")
 
 
+CORRUPT = "_corrupt_record"
+
+
+def _read_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CELL_SCHEMA.add(CORRUPT, "string")).csv(
+        path, header=False, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
+    )
+
+
 def read_cells(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """Headerless cell CSV, plain or gzip. A field that is not a number reads as NULL.
+    """Headerless cell CSV, plain or gzip. A field that is not a number reads as NULL; see
+    :func:`rejected_cells` for such lines.
 
     One gzip file is one task whatever its size; ``partitions`` spreads its rows for what follows."""
     cells = spark.read.schema(CELL_SCHEMA).csv(path, header=False, mode="PERMISSIVE")
     return cells.repartition(partitions) if partitions else cells
 
 
+def rejected_cells(spark: SparkSession, path: str) -> DataFrame:
+    """(line) for the lines of a cell CSV in which a field could not be read or the number of fields is
+    wrong, a header line among them."""
+    lines = _read_lines(spark, path)
+    # Every column is asked for, or the reader would skip the fields that are not.
+    told = lines.select(F.struct(*CELL_SCHEMA.names).alias("cell"), F.col(CORRUPT).alias("line"))
+    return told.where(F.col("line").isNotNull()).select("line")
+
+
 def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(THRESHOLD_SCHEMA).csv(path, header=True, mode="FAILFAST")
 
@@ -57,18 +76,21 @@ def read_provinces(
     return features.select(name.alias("province_name"), polygons.alias("polygons"))
 
 
-def _vertices(provinces: DataFrame) -> DataFrame:
+def _vertices(provinces: DataFrame, *more: str) -> DataFrame:
     return (
-        provinces.select("province_name", F.posexplode("polygons").alias("part", "rings"))
-        .select("province_name", "part", F.posexplode("rings").alias("ring", "points"))
+        provinces.select("province_name", *more, F.posexplode("polygons").alias("part", "rings"))
+        .select("province_name", *more, "part", F.posexplode("rings").alias("ring", "points"))
     )
 
 
 def province_edges(provinces: DataFrame) -> DataFrame:
-    """(province_name, x1, y1, x2, y2) for the edges of every ring; an open ring is closed."""
-    rings = _vertices(provinces).where(F.size("points") > 1)
+    """(province_name, feature_id, x1, y1, x2, y2) for the edges of every ring; an open ring is closed. A
+    feature that is there twice counts once, and features that share a name stay apart."""
+    single = provinces.select("province_name", "polygons").distinct()
+    rings = _vertices(single.withColumn("feature_id", F.xxhash64("province_name", "polygons")), "feature_id").where(F.size("points") > 1)
     steps = rings.select(
         "province_name",
+        "feature_id",
         "points",
         F.explode(F.sequence(F.lit(0), F.size("points") - 1)).alias("i"),
     )
@@ -76,6 +98,7 @@ def province_edges(provinces: DataFrame) -> DataFrame:
     b = F.get("points", F.pmod(F.col("i") + 1, F.size("points")))
     return steps.select(
         "province_name",
+        "feature_id",
         F.get(a, 0).alias("x1"),
         F.get(a, 1).alias("y1"),
         F.get(b, 0).alias("x2"),

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Mapping
 from datetime import date
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,17 +79,35 @@ def new_snapshot(df: DataFrame, root: str) -> str:
     return path
 
 
+@cache
+def _local_dir() -> str:
+    """One folder for this process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="cellgauge-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as set by the cluster; a local one only where none is set."""
+    """Folder every executor can reach, as named by the cluster in spark.checkpoint.dir. Only a local master,
+    whose executors are this process, may do without; the session's settings are not touched."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="cellgauge-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_dir()
+
+
+def scratch_path(spark: SparkSession, name: str, root: str | None = None) -> str:
+    """New path for a table of intermediate results, under ``root`` or the shared folder."""
+    return f"{root or shared_dir(spark)}/cellgauge/{name}-{uuid.uuid4().hex}"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/cellgauge/{name}-{uuid.uuid4().hex}"
+def partition_dates(table: DataFrame) -> list[date]:
+    """Dates of a date-partitioned file table, ascending, from its listing: no file is opened. Empty if the
+    table does not come straight from such files."""
+    found = (re.findall(rf"/{PARTITION}=(\d{{4}}-\d{{2}}-\d{{2}})/", f) for f in table.inputFiles())
+    return sorted({date.fromisoformat(x[-1]) for x in found if x})
 
 
 def read_table(

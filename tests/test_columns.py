@@ -67,6 +67,22 @@ def test_to_counter_truncates(column, text, number):
     assert column(c.to_counter("x", is_text=True), "x STRING", text) == number
 
 
+@pytest.mark.parametrize("number", [9007199254740993, -9007199254740993, 2**63 - 1])
+def test_whole_numbers_stay_whole(column, number):
+    assert column(c.to_counter("x", width="bigint"), "x BIGINT", number) == number
+    assert column(c.to_counter("x", is_text=True, width="bigint"), "x STRING", str(number)) == number
+    assert column(c.to_counter("x", is_text=True, width="bigint"), "x STRING", f"{number}.7") == number
+
+
+@pytest.mark.parametrize("kind, value", [("BIGINT", 3_000_000_000), ("DOUBLE", 3e9), ("DOUBLE", -1e300), ("DOUBLE", float("inf")), ("STRING", "3000000000"), ("STRING", "1e40")])
+def test_counters_out_of_range_are_told_apart_from_missing_ones(column, kind, value):
+    text = kind == "STRING"
+    assert column(c.to_counter("x", text), f"x {kind}", value) is None
+    assert column(c.counter_overflow("x", text), f"x {kind}", value) is True
+    assert column(c.counter_overflow("x", text), f"x {kind}", None) is False
+    assert column(c.to_counter("x", text), f"x {kind}", None) == 0
+
+
 @pytest.mark.parametrize("prb, fault", [(100.0, False), (100.1, True), (None, False)])
 def test_sensor_fault(column, prb, fault):
     assert column(c.sensor_fault("x"), "x DOUBLE", prb) is fault

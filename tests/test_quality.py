@@ -22,7 +22,7 @@ def test_clean_network_passes(seed, spark):
             "alerts": spark.createDataFrame([("ACTIVE",)], "status STRING"),
         }
     )
-    assert report.count() == 14 and set(rows(report, "violations")) == {(0,)}
+    assert report.count() == 17 and set(rows(report, "violations")) == {(0,)}
     assert quality.prb_out_of_range(seed.telemetry).count() == 0
     assert quality.missing_tower_hours(seed.telemetry, seed.towers).count() == 0
     assert quality.incomplete_telemetry_dates(seed.telemetry, seed.towers).count() == 0
@@ -61,6 +61,17 @@ def test_missing_hours(seed):
     ]
 
 
+def test_dates_without_any_row_are_reported(seed, spark):
+    gone = seed.telemetry.where(F.col("partition_date") != F.lit(date(2025, 6, 24)))
+    assert rows(quality.incomplete_telemetry_dates(gone, seed.towers)) == [(date(2025, 6, 24), 0, 72)]
+    asked = quality.incomplete_telemetry_dates(seed.telemetry, seed.towers, date(2025, 6, 27), date(2025, 6, 30))
+    assert rows(asked) == [(date(2025, 6, 29), 0, 72), (date(2025, 6, 30), 0, 72)]
+    one = spark.createDataFrame([("sub000001",)], "subscriber_id STRING")
+    missing = quality.incomplete_session_dates(seed.sessions, one, first=date(2025, 6, 27), last=date(2025, 6, 28))
+    assert rows(missing) == [(date(2025, 6, 27), 0, 3)]
+    assert quality.incomplete_telemetry_dates(seed.telemetry.where("false"), seed.towers).count() == 0
+
+
 def test_session_volume(seed, spark):
     one = spark.createDataFrame([("sub000001",)], "subscriber_id STRING")
     two = spark.createDataFrame([("sub000001",), ("sub000002",)], "subscriber_id STRING")

@@ -11,13 +11,14 @@ from cellgauge.functions.columns import great_circle_m
 from cellgauge.operators.intervals import sessions_in_hours
 from cellgauge.operators.joins import fits, hot_keys, spread_join
 from cellgauge.operators.sampling import take_by_hash
-from cellgauge.operators.spatial import neighbour_pairs, point_in_polygon
+from cellgauge.operators.spatial import neighbour_pairs, point_in_polygon, polygon_candidates
 from cellgauge.plans import marts
 from cellgauge.sources.cells import province_edges
 
 from conftest import rows
 
 PATHS = [{"max_rows": 10_000}, {"max_rows": 0, "task_rows": 7}]
+SESSION_PATHS = [{"masks_fit": True}, {"task_rows": 7}]
 
 
 # --- joins -----------------------------------------------------------------------------------
@@ -41,8 +42,19 @@ def test_hot_keys_gives_salts(spark):
     assert rows(hot_keys(df, ["k"], 20)) == [(0, 3)]
 
 
+def test_every_hot_key_is_salted(spark):
+    """12,500 keys over the task limit, more than any list of the largest ones would hold."""
+    big = spark.range(25_000).select("id", (F.col("id") % 12_500).alias("k"))
+    small = spark.range(0, 12_600, 2).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    assert hot_keys(big, ["k"], 1).count() == 12_500
+    assert rows(spread_join(big, small, ["k"], "left", F.col("id"), max_rows=0, task_rows=1)) == rows(big.join(small, ["k"], "left"))
+
+
 def test_fits(spark):
     assert fits(spark.range(10), 10) and not fits(spark.range(11), 10)
+    wide = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("s"))
+    assert fits(wide, max_bytes=11_000) and not fits(wide, max_bytes=10_000)
+    assert not fits(spark.range(1).select(F.array("id").alias("a")))
 
 
 def test_right_join_is_refused(spark):
@@ -119,11 +131,39 @@ def test_sessions_in_hours_equal_range_join(spark):
         if t == tower and end is not None and begin <= at + timedelta(hours=1) and end >= at
     )
     assert len(expected) > 500
-    for options in PATHS:
+    days = min(at for _, at in hours).date(), max(at for _, at in hours).date()
+    for options in [*SESSION_PATHS, {"days": days}]:
         got = sorted((r.id, r.event_hour) for r in sessions_in_hours(s, h, **options).collect())
         assert got == expected
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_sessions_in_events_at_any_time(spark, seed):
+    """Events with minutes, seconds and microseconds, some across midnight, against the closed range test."""
+    rng = random.Random(seed)
+    start = datetime(2024, 2, 27)
+    hour = timedelta(hours=1)
+    events = {
+        (f"t{rng.randrange(3)}", start + timedelta(minutes=rng.randrange(60 * 72), seconds=rng.choice([0, 0, 59]), microseconds=rng.choice([0, 1])))
+        for _ in range(120)
+    }
+    events |= {("t0", start + timedelta(hours=23, minutes=m)) for m in (0, 1, 30, 59)}
+    sessions = []
+    for i in range(250):
+        begin = start + timedelta(minutes=rng.randrange(-200, 60 * 75), microseconds=rng.choice([0, 0, 1]))
+        end = begin + timedelta(minutes=rng.choice([0, 1, 29, 60, 90, 1500, -10, -70]))
+        sessions.append((i, f"s{i}", f"t{rng.randrange(4)}", begin, end))
+    for i, (tower, at) in enumerate(sorted(events)[:40]):  # exactly on either end
+        sessions += [(1000 + i, "a", tower, at + hour, at + hour * 2), (2000 + i, "b", tower, at - hour, at)]
+    s = spark.createDataFrame(
+        sessions, "id INT, subscriber_id STRING, tower_id STRING, session_start TIMESTAMP_NTZ, session_end TIMESTAMP_NTZ"
+    )
+    h = spark.createDataFrame(sorted(events), "tower_id STRING, event_hour TIMESTAMP_NTZ")
+    expected = sorted((i, at) for i, _, t, b, e in sessions for tower, at in events if t == tower and b <= at + hour and e >= at)
+    for options in SESSION_PATHS:
+        assert sorted((r.id, r.event_hour) for r in sessions_in_hours(s, h, **options).collect()) == expected
+
+
 def test_subscriber_impact_equals_range_join(spark):
     """Repeated events, NULL subscribers and several sessions of one subscriber in one hour."""
     rng = random.Random(11)
@@ -155,7 +195,7 @@ def test_subscriber_impact_equals_range_join(spark):
         FROM e LEFT JOIN s ON e.tower_id = s.tower_id AND session_start <= event_hour + INTERVAL 1 HOUR
             AND session_end >= event_hour
         GROUP BY 1, 2, 3""")
-    for options in PATHS:
+    for options in SESSION_PATHS:
         assert rows(marts.subscriber_impact(e, s, **options)) == rows(expected)
 
 
@@ -204,6 +244,31 @@ def test_point_in_polygon_equals_brute_force(spark, options):
     assert set(got.values()) == set(SHAPES)
 
 
+def _square(x, y, side=2.0):
+    return [[[x, y], [x + side, y], [x + side, y + side], [x, y + side], [x, y]]]
+
+
+def test_features_of_one_name_do_not_cancel(spark):
+    """A feature that is there twice, two that overlap under one name, and one without a name."""
+    schema = "province_name STRING, polygons ARRAY<ARRAY<ARRAY<ARRAY<DOUBLE>>>>"
+    twice, a, b, nameless = ("T", [_square(0.0, 0.0)]), ("O", [_square(5.0, 0.0)]), ("O", [_square(6.0, 0.0)]), (None, [_square(20.0, 0.0)])
+    edges = province_edges(spark.createDataFrame([twice, twice, a, b, nameless], schema))
+    spots = [(1, 1.0, 1.0), (2, 6.5, 1.0), (3, 5.5, 1.0), (4, 7.5, 1.0), (5, 4.0, 1.0), (6, 21.0, 1.0)]
+    points = spark.createDataFrame(spots, "id INT, lon DOUBLE, lat DOUBLE")
+    got = {r.id: r.province_name for r in point_in_polygon(points, edges, ["id"]).collect()}
+    assert got == {1: "T", 2: "O", 3: "O", 4: "O", 6: None}
+
+
+def test_points_meet_only_edges_of_features_around_them(spark):
+    """Forty areas in one row: a point meets the edges of its own, not those of all areas at its latitude."""
+    schema = "province_name STRING, polygons ARRAY<ARRAY<ARRAY<ARRAY<DOUBLE>>>>"
+    areas = spark.createDataFrame([(f"A{i}", [_square(3.0 * i, 0.0)]) for i in range(40)], schema)
+    points = spark.createDataFrame([(i, 3.0 * i + 1, 0.515) for i in range(40)], "id INT, lon DOUBLE, lat DOUBLE")
+    met = polygon_candidates(points, province_edges(areas), ["id"], "province_name", 0.05).groupBy("id").count()
+    assert {r["count"] for r in met.collect()} == {2}
+    assert point_in_polygon(points, province_edges(areas), ["id"]).count() == 40
+
+
 # --- hotspots with repeated readings ---------------------------------------------------------
 
 

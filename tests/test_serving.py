@@ -55,6 +55,18 @@ def test_leaderboards(seed):
     ]
 
 
+def test_provinces_are_ranked_by_the_mean_before_rounding(seed, spark):
+    towers = seed.towers.withColumn(
+        "province_name", F.when(F.col("tower_id") == T1, "A").when(F.col("tower_id") == T2, "B").otherwise("C")
+    )
+    hotspots = seed.hotspot_summary.withColumn(
+        "congestion_frequency_7d",
+        F.when(F.col("tower_id") == T1, 12.31).when(F.col("tower_id") == T2, 12.34).otherwise(12.34),
+    )
+    board = serving.province_leaderboard(towers, hotspots, seed.network_health_snapshot).collect()
+    assert [(r.province_name, r.avg_congestion_frequency) for r in board] == [("B", 12.3), ("C", 12.3), ("A", 12.3)]
+
+
 def test_province_towers(seed):
     got = serving.province_towers(tower_map(seed, "7d"), seed.hotspot_summary, "DKI Jakarta").collect()
     assert [(r.tower_id, r.health_score) for r in got] == [(T1, 83.5), (T2, 93.2)]

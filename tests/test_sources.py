@@ -81,3 +81,71 @@ def test_shared_folder_is_the_clusters(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert lake.shared_dir(spark) == folder
     assert lake.scratch_path(spark, "x").startswith(folder)
+    assert lake.scratch_path(spark, "x", "/elsewhere").startswith("/elsewhere/")
+
+
+class _Conf(dict):
+    get = dict.get
+
+
+def test_only_a_local_master_may_do_without_shared_folder():
+    from types import SimpleNamespace
+
+    local = SimpleNamespace(conf=_Conf({"spark.master": "local[4]"}))
+    assert lake.shared_dir(local) == lake.shared_dir(local) and "spark.checkpoint.dir" not in local.conf
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            lake.shared_dir(SimpleNamespace(conf=_Conf({"spark.master": master})))
+
+
+def test_dates_come_from_the_listing(seed, spark, tmp_path):
+    lake.write_dates(seed.telemetry, str(tmp_path / "t"))
+    table = lake.read_dates(spark, str(tmp_path / "t"), TELEMETRY_SCHEMA)
+    assert lake.partition_dates(table) == [date(2025, 6, d) for d in range(21, 29)]
+    assert lake.partition_dates(seed.telemetry) == []
+
+
+def _partition_filters(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("PartitionFilters: [")[1:]]
+
+
+def test_windows_read_only_their_dates(seed, spark, tmp_path):
+    """Static bounds in the scans of windowed reports and marts over a date-partitioned table."""
+    from dataclasses import replace
+
+    from cellgauge.plans import serving
+
+    lake.write_dates(seed.telemetry, str(tmp_path / "t"))
+    n = replace(seed, telemetry=lake.read_dates(spark, str(tmp_path / "t"), TELEMETRY_SCHEMA), dates=None)
+    assert n.dates == (date(2025, 6, 21), date(2025, 6, 28))
+    day = serving.tower_map(n.towers, n.scored, n.newest_hour, "24h")
+    assert day.collect() and all("partition_date" in f and "2025-06-27" in f.split("]")[0] for f in _partition_filters(day))
+    peaks = n.peak_hour_patterns
+    assert "2025-05-29" in _partition_filters(peaks)[0].split("]")[0]
+    assert rows(peaks) == rows(seed.peak_hour_patterns) and rows(n.hotspot_summary) == rows(seed.hotspot_summary)
+    series = serving.prb_series(n.telemetry, newest_fits=True)
+    assert any("partition_date" in f.split("]")[0] and ">=" in f.split("]")[0] for f in _partition_filters(series))
+    assert rows(series) == rows(serving.prb_series(seed.telemetry))
+
+
+def test_refreshing_dates_equals_a_full_build(seed, spark, tmp_path):
+    from dataclasses import replace
+
+    from cellgauge.network import build_marts, refresh_dates
+
+    first, last = date(2025, 6, 26), date(2025, 6, 28)
+    lake.write_dates(seed.telemetry, str(tmp_path / "t"))
+    whole = replace(seed, telemetry=lake.read_dates(spark, str(tmp_path / "t"), TELEMETRY_SCHEMA), dates=None)
+    early = replace(whole, telemetry=whole.telemetry.where(F.col("partition_date") < F.lit(first)), dates=None)
+    full = build_marts(whole, str(tmp_path / "full"))
+    build_marts(early, str(tmp_path / "part"))
+    for _ in range(2):  # again changes nothing
+        refresh_dates(whole, str(tmp_path / "part"), first, last)
+        for name in ("congestion_events", "subscriber_impact"):
+            got = spark.read.parquet(str(tmp_path / "part" / name)).select(*full[name].columns)
+            assert rows(got) == rows(full[name])
+    calm = replace(whole, telemetry=whole.telemetry.withColumn("prb_utilization", F.lit(1.0)), dates=whole.dates)
+    refresh_dates(calm, str(tmp_path / "part"), last, last)
+    left = spark.read.parquet(str(tmp_path / "part" / "congestion_events"))
+    assert left.where(F.col("partition_date") == F.lit(last)).count() == 0 and left.count() > 0
