@@ -6,7 +6,6 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -164,24 +163,31 @@ class Bins:
 
 
 def _pack_block(size: int):
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "start"], kind="stable").reset_index(drop=True)
-        bins = Bins(size, rows["length"].tolist())
-        if rows["sequence_id"].isna().any():
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        # One order for the same rows, so that a task run again gives the same bins.
+        rows = rows.sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "start", "ids_crc32")])
+        bins = Bins(size, rows["length"].to_pylist())
+        if rows["sequence_id"].null_count:
             bins.best_fit()
         else:
-            for items in rows.groupby("sequence_id", sort=True).indices.values():
-                bins.open(list(items))
+            held: dict[int, list[int]] = defaultdict(list)
+            for i, s in enumerate(rows["sequence_id"].to_pylist()):
+                held[s].append(i)
+            for s in sorted(held):
+                bins.open(held[s])
         bins.local_search()
         sequence, offset, fill = [0] * len(rows), [0] * len(rows), [0] * len(rows)
         number = 0
         for b, items in enumerate(bins.items):
             at = 0
             for i in items:
-                sequence[i], offset[i], fill[i] = (int(key[0]) << 32) + number, at, size - bins.free[b]
+                sequence[i], offset[i], fill[i] = (key[0].as_py() << 32) + number, at, size - bins.free[b]
                 at += bins.lengths[i]
             number += bool(items)
-        return rows.assign(sequence_id=sequence, offset=offset, fill=fill)
+        told = [pa.array(x, pa.int64()) for x in (sequence, offset, fill)]
+        return pa.table([*(rows[c] for c in columns), *told], names=[*columns, "sequence_id", "offset", "fill"])
 
     return pack
 
@@ -204,12 +210,12 @@ def pack_pieces(pieces: DataFrame, sequence: int = SEQUENCE, block_pieces: int =
     part = slim.where(F.col("length") < sequence).withColumn("sequence_id", F.lit(None).cast("long"))
     blocks = max(1, -(-part.count() // block_pieces))
     block = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(blocks))
-    packed = settle(part.groupBy(block.alias("block")).applyInPandas(_pack_block(sequence), schema), "packed")
+    packed = settle(part.groupBy(block.alias("block")).applyInArrow(_pack_block(sequence), schema), "packed")
     under = packed.where(F.col("fill") < sequence)
     again = max(1, -(-under.count() // block_pieces))
     # Sequence numbers of the second pass lie above those of the first.
     block = blocks + F.pmod(F.xxhash64("sequence_id"), F.lit(again))
-    second = under.drop("offset", "fill").groupBy(block.alias("block")).applyInPandas(_pack_block(sequence), schema)
+    second = under.drop("offset", "fill").groupBy(block.alias("block")).applyInArrow(_pack_block(sequence), schema)
     return full.unionByName(packed.where(F.col("fill") >= sequence)).unionByName(second)
 
 
