@@ -74,26 +74,32 @@ def base_counts(text: Column) -> dict[str, Column]:
     }
 
 
-def normal_lines(text: Column) -> Column:
-    """Lines with a word as (h, w): hash of the line in lower case with runs of white space as one blank and
-    runs of digits as one zero, and its number of words."""
+def _normal(line: Column) -> Column:
+    """Hashes of the words of a line in lower case with runs of digits as one zero; so the kind and amount of white space
+    do not matter."""
+    return F.transform(words_of(F.regexp_replace(F.lower(line), "[0-9]+", "0")), lambda w: F.xxhash64(w))
 
-    def normal(line: Column) -> Column:
-        # White space inside a line is blank or tab, mostly single; a line is hashed as its words.
-        return F.transform(words_of(F.regexp_replace(F.lower(line), "[0-9]+", "0")), lambda w: F.xxhash64(w))
 
+def normal_lines(text: Column) -> Column:
+    """Lines with a word as (h, w): hash of the normalised line and its number of words."""
     hashed = F.transform(
         F.split(F.coalesce(text, F.lit("")), "\n"),
-        lambda x: let(normal(x), lambda ws: F.struct(F.xxhash64(ws).alias("h"), F.size(ws).alias("w"))),
+        lambda x: let(_normal(x), lambda ws: F.struct(F.xxhash64(ws).alias("h"), F.size(ws).alias("w"))),
     )
     return F.filter(hashed, lambda x: x["w"] > 0)
 
 
+def without_lines(text: Column, hashes: Column) -> Column:
+    """The text without the lines whose normalised form has one of the hashes."""
+    kept = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(hashes, F.xxhash64(_normal(x))))
+    return F.when(F.size(hashes) > 0, F.array_join(kept, "\n")).otherwise(text)
+
+
 def line_rules(
     docs: DataFrame, host: str = "source", min_holders: int = MIN_HOLDERS, line_share: float = LINE_SHARE
 ) -> DataFrame:
-    """Columns _host, _text, boilerplate_words: words in boilerplate lines of each distinct text (by hash) of
-    each host that has any.
+    """Columns _key, boilerplate_words, boilerplate: words in boilerplate lines, and the hashes of those lines,
+    of each distinct text of each host that has any; the key is a hash of both.
 
     Lines are hashed, one row for each distinct line of each distinct text; exact copies of a text count as
     one document. Counts have map-side combine; frequent lines meet texts in a join that adaptive execution
@@ -118,10 +124,12 @@ def line_rules(
         .select(F.xxhash64("_host", "_h").alias("_key"))
     )
     hit = lines.withColumn("_key", F.xxhash64("_host", "_h")).join(frequent, "_key", "left_semi")
-    words = hit.groupBy("_host", "_text").agg(F.sum(F.col("_w") * F.col("_times")).alias("_words"))
+    words = hit.groupBy("_host", "_text").agg(
+        F.sum(F.col("_w") * F.col("_times")).alias("_words"), F.collect_set("_h").alias("boilerplate")
+    )
     key = F.xxhash64("_host", "_text")
     return words.withColumn("_key", key).join(copies.select(key.alias("_key"), "_copies"), "_key").select(
-        "_key", (F.col("_words") / F.col("_copies")).cast("long").alias("boilerplate_words")
+        "_key", (F.col("_words") / F.col("_copies")).cast("long").alias("boilerplate_words"), "boilerplate"
     )
 
 
@@ -132,7 +140,8 @@ def quality_rules(
     line_share: float = LINE_SHARE,
     left_share: float = LEFT_SHARE,
 ) -> DataFrame:
-    """``docs`` as struct ``doc`` with the base counts, base_failed, boilerplate_words and kept.
+    """``docs`` as struct ``doc`` with the base counts, base_failed, boilerplate_words, kept and kept_text, the
+    text without boilerplate lines.
 
     A document fails the base for fewer than 20 words or for repeated 8-word windows over more than 30
     percent of its words. Of the others, one is rejected as depleted if less than ``left_share`` of its
@@ -165,4 +174,5 @@ def quality_rules(
         "base_failed",
         F.coalesce("boilerplate_words", F.lit(0)).cast("long").alias("boilerplate_words"),
         (~F.col("base_failed") & (left >= MIN_WORDS) & (left >= F.col("n_words") * left_share)).alias("kept"),
+        without_lines(F.col("doc.text"), F.coalesce("boilerplate", F.array().cast("array<bigint>"))).alias("kept_text"),
     )

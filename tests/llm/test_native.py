@@ -142,6 +142,9 @@ def test_quality_rules_match_plain_python(docs):
     got = quality.quality_rules(docs).select("doc.doc_id", *names).collect()
     want = plain_kept(docs.collect())
     assert Counter(map(tuple, got)) == want
+    texts = {r.doc.doc_id: (r.doc.text, r.kept_text) for r in quality.quality_rules(docs).collect()}
+    assert texts[1][1] == texts[1][0].split("\n")[1] and texts[61][1] == "short tail 1" and texts[105][1] == texts[105][0]
+    assert texts[100] == (None, None)
     assert any(r.boilerplate_words for r in got) and any(not r.kept and not r.base_failed for r in got) and any(r.kept for r in got)
 
 
