@@ -11,15 +11,6 @@ from cellgauge.schemas import CELL_SCHEMA, THRESHOLD_SCHEMA
 NAME_PROPERTIES = ("nama", "name", "NAME_1", "PROVINSI", "province", "Provinsi", "Propinsi")
 
 
-CORRUPT = "_corrupt_record"
-
-
-def _read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CELL_SCHEMA.add(CORRUPT, "string")).csv(
-        path, header=False, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
-    )
-
-
 def read_cells(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Headerless cell CSV, plain or gzip. A field that is not a number reads as NULL; see
     :func:`rejected_cells` for such lines.
@@ -32,10 +23,11 @@ def read_cells(spark: SparkSession, path: str, partitions: int | None = None) ->
 def rejected_cells(spark: SparkSession, path: str) -> DataFrame:
     """(line) for the lines of a cell CSV in which a field could not be read or the number of fields is
     wrong, a header line among them."""
-    lines = _read_lines(spark, path)
-    # Every column is asked for, or the reader would skip the fields that are not.
-    told = lines.select(F.struct(*CELL_SCHEMA.names).alias("cell"), F.col(CORRUPT).alias("line"))
-    return told.where(F.col("line").isNotNull()).select("line")
+    odd = "_corrupt_record"
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in CELL_SCHEMA)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": odd}
+    cell = F.from_csv("value", f"{fields}, {odd} STRING", options)
+    return spark.read.text(path).select(cell.getField(odd).alias("line")).where(F.col("line").isNotNull())
 
 
 def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
