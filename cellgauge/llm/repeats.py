@@ -2,9 +2,10 @@
 
 Every window of ``min_bytes`` bytes holds an anchor, the gram of GRAM bytes with the smallest hash in it (leftmost
 if equal), so equal windows have equal anchors. A phrase is a run of windows with one anchor occurrence: windows
-p0..p1 and the bytes p0..p1+min_bytes. Only phrases whose gram occurs elsewhere are looked at; equal phrases are
-settled by an aggregate, and the distinct phrases of a gram, which are all the suffixes that can share
-``min_bytes`` bytes, meet in an enhanced suffix array."""
+p0..p1 and the bytes p0..p1+min_bytes. A window reaches far to the right or far to the left of its anchor's start, so it can
+only occur twice if the anchor occurs twice with that much more text on one side (a flank); a phrase is cut to
+the windows whose flank does. Equal phrases are settled by an aggregate, and the distinct phrases of a gram,
+which are all the suffixes that can share ``min_bytes`` bytes, meet in an enhanced suffix array."""
 
 from __future__ import annotations
 
@@ -22,8 +23,8 @@ from cellgauge.llm.shingles import RangeHash
 MIN_BYTES, GRAM = 100, 24
 # Bytes of text worked on at once; longer texts go in overlapping pieces.
 PIECE_BYTES = 2_000_000
-# Bits of the filter on repeated grams that spares most anchors a shuffle. Its size is fixed; once full it
-# lets all through, which changes no result, because a join on the grams follows.
+# Bits of the filter on repeated flanks that spares most anchors a shuffle. Its size is fixed; once full it
+# lets all through, which changes no result: a phrase that occurs once has nothing to settle.
 FILTER_BITS = 1 << 25
 # A gram with more distinct phrases has its suffixes dealt by content instead of meeting in one array.
 GRAM_PHRASES = 4_000
@@ -31,7 +32,7 @@ GRAM_PHRASES = 4_000
 ARRAY_SUFFIXES = 200_000
 
 
-def phrases(data: np.ndarray, ends: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def phrases(data: np.ndarray, ends: np.ndarray, min_bytes: int, hashed: RangeHash) -> tuple[np.ndarray, ...]:
     """gram, anchor, p0, p1 of the phrases of texts laid end to end, by place in ``data``."""
     reach = min_bytes - GRAM + 1
     n = len(data)
@@ -39,7 +40,7 @@ def phrases(data: np.ndarray, ends: np.ndarray, min_bytes: int) -> tuple[np.ndar
     if n < min_bytes:
         return none.view(np.uint64), none, none, none
     at = np.arange(n - GRAM + 1)
-    grams = RangeHash(data)(at, at + GRAM)
+    grams = hashed(at, at + GRAM)
     # Order by 31 bits of the hash, then by place: the minimum is the leftmost smallest.
     least = ((grams >> np.uint64(33)).astype(np.int64) << 32) | at
     width = 1
@@ -60,6 +61,17 @@ def phrases(data: np.ndarray, ends: np.ndarray, min_bytes: int) -> tuple[np.ndar
     return grams[anchor[first]], anchor[first], start[first], start[last]
 
 
+def flanks(anchor: np.ndarray, p0: np.ndarray, p1: np.ndarray, n: int, min_bytes: int, hashed: RangeHash):
+    """For each phrase, whether it has windows that start less than half the spare bytes before the anchor,
+    and the hash of the anchor with as much text to its right as they all hold; the same for the others and the left."""
+    half = (min_bytes - GRAM) // 2
+    right, left = anchor - p1 < half, anchor - p0 >= half
+    # A flank that would leave the piece is not needed there.
+    by_right = hashed(anchor, np.minimum(anchor + min_bytes - half, n))
+    by_left = hashed(np.maximum(anchor - half, 0), anchor + GRAM) ^ np.uint64(1)
+    return right, by_right, left, by_left
+
+
 def _pieces(texts: list[bytes], min_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """data, ends, row and place in its text of each part: texts laid end to end, long ones in parts that
     overlap so that each window is in one part."""
@@ -82,25 +94,28 @@ def _pieces(texts: list[bytes], min_bytes: int) -> Iterator[tuple[np.ndarray, np
         yield lay()
 
 
-def _grams(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """gram, n: counts of the grams of each batch."""
+def _flank_counts(docs: DataFrame, min_bytes: int) -> DataFrame:
+    """flank, n: how often each flank is in each batch, 2 standing for more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, ends, _, _ in _pieces([(t.as_py() or "").encode() for t in batch.column(0)], min_bytes):
-                grams, n = np.unique(phrases(data, ends, min_bytes)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.minimum(n, 2), pa.int64())], names=["gram", "n"])
+                hashed = RangeHash(data)
+                _, anchor, p0, p1 = phrases(data, ends, min_bytes, hashed)
+                right, by_right, left, by_left = flanks(anchor, p0, p1, len(data), min_bytes, hashed)
+                found, n = np.unique(np.concatenate([by_right[right], by_left[left]]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.minimum(n, 2), pa.int64())], names=["flank", "n"])
 
-    return docs.select("text").mapInArrow(run, "gram bigint, n bigint")
+    return docs.select("text").mapInArrow(run, "flank bigint, n bigint")
 
 
-def _bits(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    g = gram.view(np.uint64)
+def _bits(flank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    g = flank.view(np.uint64)
     return (g % np.uint64(FILTER_BITS)).astype(np.int64), ((g >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
 def _filter(repeated: DataFrame) -> np.ndarray:
-    """Bloom filter of the repeated grams: two bits each, in FILTER_BITS bits, joined word by word in the cluster."""
+    """Bloom filter of the repeated flanks: two bits each, in FILTER_BITS bits, joined word by word in the cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,20 +129,30 @@ def _filter(repeated: DataFrame) -> np.ndarray:
 
 
 def _occurrences(docs: DataFrame, bits: np.ndarray, min_bytes: int) -> DataFrame:
-    """gram, phrase (hash), doc_id, th, p0, windows, offset (of the anchor) of the phrases whose gram passes the filter."""
+    """gram, phrase (hash), doc_id, th, p0, windows of the phrases, cut to windows whose flank passes the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
+
+        def passes(flank: np.ndarray) -> np.ndarray:
+            a, b = _bits(flank)
+            return ((bits[a >> 6] >> (a & 63)) & (bits[b >> 6] >> (b & 63)) & 1).astype(bool)
+
         for batch in batches:
             ids, ths = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for data, ends, rows, offs in _pieces([(t.as_py() or "").encode() for t in batch.column(2)], min_bytes):
-                gram, anchor, p0, p1 = phrases(data, ends, min_bytes)
-                a, b = _bits(gram)
-                keep = ((bits[a >> 6] >> (a & 63)) & (bits[b >> 6] >> (b & 63)) & 1).astype(bool)
-                gram, anchor, p0, p1 = gram[keep], anchor[keep], p0[keep], p1[keep]
+                hashed = RangeHash(data)
+                gram, anchor, p0, p1 = phrases(data, ends, min_bytes, hashed)
+                right, by_right, left, by_left = flanks(anchor, p0, p1, len(data), min_bytes, hashed)
+                right &= passes(by_right)
+                left &= passes(by_left)
+                half = (min_bytes - GRAM) // 2
+                p0, p1 = np.where(left, p0, np.maximum(p0, anchor - half + 1)), np.where(right, p1, np.minimum(p1, anchor - half))
+                keep = right | left
+                gram, p0, p1 = gram[keep], p0[keep], p1[keep]
                 # Equal phrases have equal windows and so their anchor in the same place.
-                phrase = RangeHash(data)(p0, p1 + min_bytes)
+                phrase = hashed(p0, p1 + min_bytes)
                 part = np.searchsorted(ends, p0, side="right")
                 place = p0 - (ends[part] - np.diff(ends, prepend=0)[part]) + offs[part]
                 columns = [gram.view(np.int64), phrase.view(np.int64), ids[rows[part]], ths[rows[part]], place, p1 - p0 + 1]
@@ -137,25 +162,44 @@ def _occurrences(docs: DataFrame, bits: np.ndarray, min_bytes: int) -> DataFrame
     return docs.select("doc_id", "th", "text").mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
+def _packed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """doc_id, th, packed: the rows of a document as bytes, 64-bit numbers column after column, which numpy reads
+    in place. A document's rows are bounded by its length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [np.stack([x.field(c).to_numpy() for c in columns]).tobytes() for x in (r.values for r in batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "th", "packed"])
+
+    held = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    return held.mapInArrow(run, "doc_id bigint, th bigint, packed binary")
+
+
 def _with_bytes(firsts: DataFrame, docs: DataFrame, min_bytes: int) -> DataFrame:
     """``firsts`` with the byte before each phrase (empty at the start of a text) and the phrase's bytes."""
-    at = firsts.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "phrase", "p0", "windows")).alias("_at"))
-
+    columns = ["gram", "phrase", "p0", "windows", "kinds"]
+    at = settle(_packed(firsts, columns), "wanted")
+    met = docs.select("doc_id", "th", "text").join(at, ["doc_id", "th"]).select("doc_id", "th", "text", "packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for doc, th, text, found in zip(*(batch.column(i) for i in range(4))):
-                text = text.as_py().encode()
-                for x in found.as_py():
-                    p = x["p0"]
-                    out.append((x["gram"], x["phrase"], doc.as_py(), th.as_py(), p, x["windows"], text[max(p - 1, 0) : p], text[p : p + x["windows"] + min_bytes - 1]))
-            cols = list(zip(*out)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 6 + [pa.binary()] * 2)], names=names)
-
-    names = ["gram", "phrase", "doc_id", "th", "p0", "windows", "left", "bytes"]
-    schema = ", ".join(f"{c} bigint" for c in names[:6]) + ", left binary, bytes binary"
-    return docs.select("doc_id", "th", "text").join(at, ["doc_id", "th"]).select("doc_id", "th", "text", "_at").mapInArrow(run, schema)
+            kept: list[list] = [[] for _ in columns]
+            ids, ths, lefts, bodies = [], [], [], []
+            for doc, th, text, packed in zip(*(batch.column(i) for i in range(4))):
+                text, rows = text.as_py().encode(), np.frombuffer(packed.as_py(), np.int64).reshape(len(columns), -1)
+                for k, r in zip(kept, rows):
+                    k.append(r)
+                for p, w in zip(rows[2].tolist(), rows[3].tolist()):
+                    lefts.append(text[max(p - 1, 0) : p])
+                    bodies.append(text[p : p + w + min_bytes - 1])
+                ids += [doc.as_py()] * rows.shape[1]
+                ths += [th.as_py()] * rows.shape[1]
+            gram, phrase, p0, windows, kinds = (pa.array(np.concatenate(k) if k else [], pa.int64()) for k in kept)
+            parts = [gram, phrase, pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), p0, windows, kinds, pa.array(lefts, pa.binary()), pa.array(bodies, pa.binary())]
+            yield pa.RecordBatch.from_arrays(parts, names=names)
+
+    names = ["gram", "phrase", "doc_id", "th", "p0", "windows", "kinds", "left", "bytes"]
+    return met.mapInArrow(run, ", ".join(f"{c} bigint" for c in names[:7]) + ", left binary, bytes binary")
 
 
 def suffix_intervals(bodies: list[bytes], lefts: list[bytes], windows: np.ndarray, order: np.ndarray, min_bytes: int):
@@ -275,7 +319,7 @@ def _windows(found: DataFrame, min_bytes: int) -> DataFrame:
             windows = batch.column(5).to_numpy()
             row = np.repeat(np.arange(len(windows)), windows)
             within = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-            bodies = batch.column(7).to_pylist()
+            bodies = batch.column(8).to_pylist()
             start = np.repeat(np.cumsum([0, *map(len, bodies)])[:-1], windows) + within
             h = RangeHash(np.frombuffer(b"".join(bodies), np.uint8))(start, start + min_bytes).view(np.int64)
             cols = [batch.column(i).to_numpy()[row] for i in range(4)] + [batch.column(4).to_numpy()[row] + within, within, h]
@@ -296,16 +340,15 @@ def _identified(docs: DataFrame) -> DataFrame:
 def _searched(docs: DataFrame, min_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Occurrences of phrases with repeated grams; the first occurrence and number of each distinct phrase; and with
     their bytes the phrases of grams that have several: those for suffix arrays, and those of hot grams."""
-    grams = _grams(docs, min_bytes).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
-    occurrences = settle(_occurrences(docs, _filter(grams), min_bytes), "occurrences")
+    flank = _flank_counts(docs, min_bytes).groupBy("flank").agg(F.sum("n").alias("n")).where("n > 1").select("flank")
+    occurrences = settle(_occurrences(docs, _filter(flank), min_bytes), "occurrences")
     place = F.struct("doc_id", "th", "p0", "windows")
     firsts = occurrences.groupBy("gram", "phrase").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = settle(firsts, "phrases")
     kinds = firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    several = firsts.join(kinds, "gram").select("gram", "phrase", "first.*", "kinds")
-    hot = several.where(F.col("kinds") > GRAM_PHRASES)
-    cool = several.where(F.col("kinds") <= GRAM_PHRASES)
-    return occurrences, firsts, _with_bytes(cool, docs, min_bytes), _with_bytes(hot, docs, min_bytes)
+    several = firsts.select("gram", "phrase", "first.*").join(kinds, "gram")
+    found = settle(_with_bytes(several, docs, min_bytes), "suffixes")
+    return occurrences, firsts, found.where(F.col("kinds") <= GRAM_PHRASES), found.where(F.col("kinds") > GRAM_PHRASES)
 
 
 def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -355,8 +398,8 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, with_text: bool
     empty. Rows that agree in id and text are one document and get equal results; null ids come first, in
     order of the text's hash, as do other texts with one id. Texts shorter than ``min_bytes`` stay. Very long texts are worked on in
     overlapping pieces. An empty table gives no rows."""
-    spans = repeated_spans(_identified(docs), min_bytes).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    spans = spans.agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    spans = settle(_packed(repeated_spans(_identified(docs), min_bytes), ["start", "end"]), "spans")
+    spans = spans.withColumnsRenamed({"doc_id": "_id", "th": "_th", "packed": "_spans"})
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(text).alias("_th")
@@ -372,12 +415,13 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, with_text: bool
                 data = (text.as_py() or "").encode()
                 kept, at, removed, n = [], 0, 0, 0
                 end = -1
-                for x in sorted((x["start"], x["end"]) for x in found.as_py() or []):
-                    if x[0] > end:
-                        kept.append(data[at : x[0]])
-                        n, at, removed, end = n + 1, x[1], removed + x[1] - x[0], x[1]
-                    elif x[1] > end:
-                        removed, at, end = removed + x[1] - end, x[1], x[1]
+                places = np.frombuffer(found.as_py() or b"", np.int64).reshape(2, -1)
+                for start, stop in sorted(zip(*places.tolist())):
+                    if start > end:
+                        kept.append(data[at:start])
+                        n, at, removed, end = n + 1, stop, removed + stop - start, stop
+                    elif stop > end:
+                        removed, at, end = removed + stop - end, stop, stop
                 left = b"".join([*kept, data[at:]])
                 out.append((len(data), removed, n, hashlib.sha256(left).hexdigest()) + ((left.decode("utf-8", "ignore"),) if with_text else ()))
             kinds = [pa.int64()] * 3 + [pa.string()] * (1 + with_text)
