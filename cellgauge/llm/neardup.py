@@ -23,7 +23,7 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 ERRORS = 5.0
 # Members of one bucket that meet in one block.
 SLICE = 1024
-TEXT_BYTES = 8_000_000
+TEXT_BYTES = 1_000_000
 
 _FACTORS = (stream(REGISTERS, 23) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SHIFTS = (stream(REGISTERS, 29) >> np.uint64(32)).astype(np.uint32)
