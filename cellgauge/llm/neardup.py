@@ -21,8 +21,8 @@ REGISTERS, BAND = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 # Candidates are dropped if their estimate is so many standard errors under the threshold.
 ERRORS = 5.0
-# Members of one bucket that meet in one block.
-SLICE = 1024
+# Members of one slice of a group.
+SLICE = 2048
 TEXT_BYTES = 1_000_000
 
 _FACTORS = (stream(REGISTERS, 23) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -108,27 +108,6 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shingles binary")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("_x"), batch.column("_y")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                common = int((large[at] == small).sum()) if len(large) else 0
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_y"))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_x"))
-    met = pairs.join(right, "b").join(left, "a").select("a", "b", "_x", "_y")
-    return met.mapInArrow(run, pairs.select("a", "b").schema)
-
-
 def _hopeful(threshold: float) -> float:
     return threshold - ERRORS * math.sqrt(threshold * (1 - threshold) / REGISTERS)
 
@@ -146,57 +125,68 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     right = reps.select(F.col("rep").alias("b"), F.col("bands").alias("_y"), F.col("n_shingles").alias("_m"))
     left = reps.select(F.col("rep").alias("a"), F.col("bands").alias("_x"), F.col("n_shingles").alias("_n"))
     met = pairs.join(right, "b").join(left, "a").select("a", "b", "_x", "_y", "_n", "_m")
-    return met.mapInArrow(run, pairs.select("a", "b").schema)
-
-
-def _across(members: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs of one bucket whose ends are not connected yet. ``members``: band, key, rep, root.
-
-    All members of a bucket outside its largest component are held against the whole bucket, in blocks of
-    bounded size; only pairs that pass the joint estimate leave a block."""
-    bucket = ["band", "key"]
-    by_root = members.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = by_root.groupBy(*bucket).agg(
-        F.sum("_n").alias("_size"), F.max_by("root", F.struct("_n", "root")).alias("_big"), F.count(F.lit(1)).alias("_roots"), F.max("_n").alias("_most")
-    )
-    split = sizes.where("_roots > 1").select(
-        *bucket,
-        "_big",
-        F.ceil(F.col("_size") / SLICE).cast("int").alias("_all"),
-        F.ceil((F.col("_size") - F.col("_most")) / SLICE).cast("int").alias("_few"),
+    return met.mapInArrow(run, "a bigint, b bigint")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Exact test of two sorted sets."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int((large[at] == small).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _block_links(rep: np.ndarray, side: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of one block that connect its members: pairs across its sides (within the one side if there is only
+    one) that share a band, pass the joint estimate and then the exact test. Pairs that links of the block
+    connect already are passed over, so there are fewer links than members."""
+    threshold = percent / 100
+    n = np.array([len(x) for x in sets], float)
+    regs = bands.view(np.uint16)
+    root = np.arange(len(rep))
+    one_side = (side == side[0]).all()
+    links = []
+    for i in np.argsort(rep, kind="stable") if one_side else np.flatnonzero(side == side.min()):
+        j = np.flatnonzero((rep > rep[i]) if one_side else (side != side[i]))
+        # No similarity is above the ratio of the sizes.
+        j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) >= 0.999 * threshold * np.maximum(n[j], n[i]))]
+        j = j[(bands[j] == bands[i]).any(axis=1)]
+        # Equal registers alone come within a tenth of the estimate; they spare most pairs the likelihood.
+        j = j[(regs[j] == regs[i]).sum(axis=1) >= REGISTERS * (_hopeful(threshold) - 0.1)]
+        if len(j):
+            one = np.broadcast_to(regs[i], (len(j), regs.shape[1]))
+            j = j[estimated(one, regs[j], np.full(len(j), n[i]), n[j]) >= _hopeful(threshold)]
+        for k in j.tolist():
+            if root[k] != root[i] and _linked(sets[i], sets[k], percent):
+                links.append((int(min(rep[i], rep[k])), int(max(rep[i], rep[k]))))
+                root[root == root[k]] = root[i]
+    return links
+
+
+def _links(groups: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that connect the members of each group (cluster, rep, bands, shingles) as far as they are linked.
+
+    A group of any size is cut into slices of bounded size, and each slice meets each other one, and itself, in
+    a block of its own."""
+    sizes = groups.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("_slices"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))
+    sliced = groups.join(sizes, "cluster").withColumn("_side", F.pmod(F.xxhash64("rep"), F.col("_slices")).cast("int"))
+    sliced = sliced.withColumn("_other", other).withColumns(
+        {"_p": F.least("_side", "_other"), "_q": F.greatest("_side", "_other")}
     )
-    open_ = members.join(split, bucket).join(reps.select("rep", "n_shingles", "bands"), "rep")
-    slot = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    columns = [*bucket, "rep", "root", "n_shingles", "bands"]
-    whole = open_.withColumns({"_v": slot("_all"), "_q": F.explode(F.sequence(F.lit(0), F.col("_few") - 1)), "_ask": F.lit(False)})
-    few = open_.where("root != _big").withColumns(
-        {"_q": slot("_few"), "_v": F.explode(F.sequence(F.lit(0), F.col("_all") - 1)), "_ask": F.lit(True)}
-    )
-    where = [*bucket, "_v", "_q"]
-    met = whole.select(*columns, "_v", "_q", "_ask").unionByName(few.select(*columns, "_v", "_q", "_ask"))
-    laid = met.repartition(*where).sortWithinPartitions(*where)
-
-    def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(rows)
-        ask = t["_ask"].to_numpy()
-        if not ask.any() or ask.all():
-            return None
-        rep, root, n = t["rep"].to_numpy(), t["root"].to_numpy(), t["n_shingles"].to_numpy().astype(float)
-        regs = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1).view(np.uint16)
-        q, v = np.flatnonzero(ask), np.flatnonzero(~ask)
-        a, b = [], []
-        for i in q:
-            j = v[root[v] != root[i]]
-            # No similarity above the ratio of the sizes.
-            j = j[np.minimum(n[j], n[i]) >= threshold * np.maximum(n[j], n[i]) * 0.999]
-            if len(j):
-                one = np.broadcast_to(regs[i], (len(j), regs.shape[1]))
-                j = j[estimated(one, regs[j], np.full(len(j), n[i]), n[j]) >= _hopeful(threshold)]
-                a.append(np.minimum(rep[i], rep[j]))
-                b.append(np.maximum(rep[i], rep[j]))
-        if not a:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=["a", "b"])
+    where = ["cluster", "_p", "_q"]
+    laid = sliced.select(*where, "_side", "rep", "bands", "shingles").repartition(*where).sortWithinPartitions(*where)
+
+    def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        links: list[tuple[int, int]] = []
+        p, q = t["_p"][0].as_py(), t["_q"][0].as_py()
+        side = t["_side"].to_numpy()
+        if p == q or len(np.unique(side)) == 2:
+            bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(side), -1)
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in t["shingles"]]
+            links = _block_links(t["rep"].to_numpy(), side, bands, sets, percent)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*links) if links else ([], []))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -208,16 +198,15 @@ def _across(members: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
             cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
             for i, j in zip(cuts, cuts[1:]):
                 now = key[:, i].tolist()
-                if held and now != last and (found := block(held)) is not None:
-                    yield found
-                if now != last:
+                if held and now != last:
+                    yield solve(held)
                     held = []
                 held.append(batch.slice(i, j - i))
                 last = now
-        if held and (found := block(held)) is not None:
-            yield found
+        if held:
+            yield solve(held)
 
-    return laid.mapInArrow(run, "a bigint, b bigint").distinct()
+    return laid.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -225,10 +214,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE_WOR
     at). Documents are linked if 100 * intersection >= percent * union of their sets of ``width``-word
     shingles, confirmed on the full sets; component_id is the smallest id a document can reach.
 
-    Exact copies (equal sets) are one class from the start. Classes that share a band of registers are
-    candidates: first each class meets the smallest id of its buckets, then within each bucket all pairs
-    that are not connected by then meet, in bounded blocks. So no link between components is missed by
-    the search within buckets, and copies in any number cost no pairs.
+    Exact copies (equal sets) are one class from the start, so copies in any number cost no pairs. Classes that
+    share a band of registers, one after the other, form a group, where a pair alone in its band must pass the
+    joint estimate; within it, pairs that share a band and are not
+    connected yet meet in bounded blocks.
 
     Null and empty texts, and texts without words: n_shingles 0, linked with nothing. Repeated rows: a row each,
     equal results. Null ids: null component unless their class has an id, and not kept. An empty table gives no rows."""
@@ -239,21 +228,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE_WOR
         some.join(classes, ["h1", "h2"]).where("doc_id = rep").dropDuplicates(["rep"]).select("h1", "h2", "rep", "n_shingles", "bands"), "classes"
     )
     banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    members = settle(banded.join(buckets.drop("hi"), ["band", "key"]), "members")
-    near = members.where("rep != lo").groupBy(F.col("rep").alias("b")).agg(F.min("lo").alias("a")).select("a", "b")
-    asked = members.select(F.col("rep").alias("doc_id")).distinct()
+    buckets = banded.groupBy("band", "key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("n"))
+    buckets = buckets.where("n > 1")
+    # A bucket of two is a pair, which the estimate can refuse at once; larger ones stay whole.
+    pairs = buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
+    larger = banded.join(buckets.where("n > 2").select("band", "key", "lo"), ["band", "key"]).where("rep != lo")
+    stars = larger.select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
+    near = settle(_likely(pairs, reps, percent / 100).unionByName(stars), "near")
+    groups = components(near).select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    # An id may stand for several rows; the class that represents it decides which text counts.
-    sets = settle(
-        _sets(spread_join(texts, asked, ["doc_id"], "left_semi", F.col("doc_id")), width).dropDuplicates(["doc_id"]), "sets"
-    )
-    first = settle(_confirm(_likely(near, reps, percent / 100), sets, percent), "links")
-    roots = components(first)
-    now = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    tried = near.withColumn("_tried", F.lit(True))
-    more = settle(_across(now, reps, percent / 100), "candidates").join(tried, ["a", "b"], "left_anti")
-    links = settle(first.union(_confirm(more, sets, percent)), "all-links")
+    # An id that stands for several texts is taken as one document of one of them.
+    asked = groups.select(F.col("rep").alias("doc_id"))
+    found = spread_join(texts, asked, ["doc_id"], "left_semi", F.col("doc_id"))
+    sets = _sets(found, width).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
+    links = settle(_links(groups.join(reps.select("rep", "bands"), "rep").join(sets, "rep"), percent), "links")
     roots = components(links)
     of = reps.select("h1", "h2", "rep").join(roots, F.col("rep") == F.col("node"), "left")
     of = of.select("h1", "h2", F.coalesce("root", "rep").alias("_class"))

@@ -219,7 +219,10 @@ def test_near_duplicates(docs, texts, percent):
     assert len(set(want)) < len(want)
 
 
-def test_near_duplicates_whose_smallest_id_is_no_centre(spark):
+@pytest.mark.parametrize("slice_size", [2048, 9])
+def test_near_duplicates_whose_smallest_id_is_no_centre(spark, slice_size, monkeypatch):
+    """One large group, in one block and cut into slices that meet pair by pair."""
+    monkeypatch.setattr(neardup, "SLICE", slice_size)
     rng = random.Random(9)
     words = prose(rng, 200).split()
     texts = []
