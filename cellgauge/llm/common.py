@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cellgauge.operators.joins import fits, spread_join
 from cellgauge.sources.lake import scratch_path
 
 # Characters that part words: space and the six from tab to carriage return.
@@ -28,6 +29,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_hash(text: Column) -> Column:
+    """Hash of a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def single(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """df with one row, the smallest, of rows that agree in ``keys``. Rows without a key stay.
+
+    Keys alone are counted first: only rows that are repeated get shuffled whole, with map-side combine, and a table
+    without repeats is passed on as it is."""
+    keys = list(keys)
+    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    again = settle(counts.where("_n > 1").select(*keys), f"{name}-repeated")
+    if again.isEmpty():
+        return df
+    small = fits(again)
+    # Rows of one key may be equal in all columns, so their place spreads them.
+    at = F.monotonically_increasing_id()
+    held = spread_join(df, again, keys, "left_semi", at, small_fits=small)
+    one = held.groupBy(*keys).agg(F.min(F.struct(*df.columns)).alias("_one")).select("_one.*")
+    rest = spread_join(df, again, keys, "left_anti", at, small_fits=small).select(*df.columns)
+    return (rest if small else settle(rest, f"{name}-rest")).unionByName(settle(one, f"{name}-single"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

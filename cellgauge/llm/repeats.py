@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgauge.llm.common import settle
+from cellgauge.llm.common import settle, single, text_hash
 from cellgauge.llm.shingles import RangeHash
 
 MIN_BYTES, GRAM = 100, 24
@@ -330,11 +330,13 @@ def _windows(found: DataFrame, min_bytes: int) -> DataFrame:
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """doc_id (null: the smallest number), th (hash of the text), text. Both together name a document."""
+    """doc_id (null: the smallest number), th (hash of the text), text. Both together name a document, and
+    each document is there once: a repeated row is no earlier holder of its own passages."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")
+    named = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), text_hash(F.col("text")).alias("th"), text.alias("text")
     )
+    return single(named, ["doc_id", "th"], "documents")
 
 
 def _searched(docs: DataFrame, min_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

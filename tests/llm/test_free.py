@@ -364,6 +364,29 @@ def test_repeats_odd_rows(spark, none):
     assert by[(None, "x" + t)] == "x" + t and by[(3, t)] == "" and by[(1, None)] == ""
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_repeated_rows_keep_first_occurrences(spark, hot, monkeypatch):
+    """A repeated row is the first holder of a passage that stands elsewhere with other surroundings."""
+    if hot:
+        monkeypatch.setattr(repeats, "GRAM_PHRASES", 1)
+    rng = random.Random(12)
+    core, t = prose(rng, 60), prose(rng, 40)
+    first = prose(rng, 20) + " " + core + " " + prose(rng, 20)
+    rows = [(3, t), (5, "x" + t), (7, first), (8, prose(rng, 15) + "; " + core + "; " + prose(rng, 15))]
+    doubled = spark.createDataFrame([*rows, rows[0], rows[0], rows[2]], "doc_id long, text string")
+    want = plain_repeats(rows)
+    assert digests(repeats.remove_repeats(doubled)) == want and want[3][1] == want[7][1] == 0 < min(want[5][1], want[8][1])
+    assert repeats.remove_repeats(doubled).count() == 7
+
+    def groups(frame):
+        by = defaultdict(set)
+        for r in repeats.maximal_repeats(frame).collect():
+            by[r.group, r.length].add((r.doc_id, r.start))
+        return Counter((n, frozenset(places)) for (_, n), places in by.items())
+
+    assert groups(doubled) == groups(spark.createDataFrame(rows, doubled.schema))
+
+
 def test_maximal_repeats_list_all_occurrences(spark):
     rng = random.Random(4)
     core = prose(rng, 30)
