@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgauge.llm.common import settle
+from cellgauge.llm.common import settle, text_hash
 from cellgauge.llm.components import components
 from cellgauge.llm.shingles import SHINGLE_WORDS, mix, shingle_sets, stream
 from cellgauge.operators.joins import spread_join
@@ -75,7 +75,7 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.nd
 
 
 def sketches(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (hashes of the set), bands: four 16-bit registers to a long."""
+    """doc_id, th (hash of the text), n_shingles, h1, h2 (hashes of the set), bands: four 16-bit registers to a long."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,25 +87,24 @@ def sketches(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
                 bands = np.concatenate([registers(s) for s in sets]).view(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(0, len(bands) + 1, REGISTERS // BAND, dtype=np.int32), bands)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2), lists],
-                    names=["doc_id", "n_shingles", "h1", "h2", "bands"],
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2), lists],
+                    names=["doc_id", "th", "n_shingles", "h1", "h2", "bands"],
                 )
 
-    schema = f"doc_id {kind}, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = f"doc_id {kind}, th bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>"
+    return docs.select("doc_id", "text", text_hash(F.col("text")).alias("th")).mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and its full set as bytes."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """rep and its full set as bytes; ``docs``: rep, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, ends in _texts(batch, 1):
                 found = pa.array([s.tobytes() for s in shingle_sets(data, ends, width)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), found], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), found], names=["rep", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shingles binary")
+    return docs.select("rep", "text").mapInArrow(run, "rep bigint, shingles binary")
 
 
 def _hopeful(threshold: float) -> float:
@@ -220,13 +219,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE_WOR
     connected yet meet in bounded blocks.
 
     Null and empty texts, and texts without words: n_shingles 0, linked with nothing. Repeated rows: a row each,
-    equal results. Null ids: null component unless their class has an id, and not kept. An empty table gives no rows."""
+    equal results. Texts that share an id are documents of their own, and of those that are linked one is kept. Null
+    ids: null component unless their class has an id, and not kept. An empty table gives no rows."""
+    return verdicts(docs, percent, width).drop("th")
+
+
+def verdicts(docs: DataFrame, percent: int = 80, width: int = SHINGLE_WORDS) -> DataFrame:
+    """:func:`near_duplicates` with th, the hash of the text. Id and th name a document, so decisions can be told
+    apart where one id stands for several texts; of each component the smallest (doc_id, th) is kept."""
     marks = settle(sketches(docs, width).withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
     some = marks.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = settle(
-        some.join(classes, ["h1", "h2"]).where("doc_id = rep").dropDuplicates(["rep"]).select("h1", "h2", "rep", "n_shingles", "bands"), "classes"
-    )
+    name = F.struct("doc_id", "th")
+    classes = some.groupBy("h1", "h2").agg(F.min(name).alias("name"))
+    firsts = some.join(classes, ["h1", "h2"]).where(name == F.col("name")).dropDuplicates(["h1", "h2"])
+    # A class is named by a number of its own, since its smallest id may also be that of another class.
+    reps = settle(firsts.select("h1", "h2", F.monotonically_increasing_id().alias("rep"), "name", "n_shingles", "bands"), "classes")
     banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("n"))
     buckets = buckets.where("n > 1")
@@ -236,17 +243,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE_WOR
     stars = larger.select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
     near = settle(_likely(pairs, reps, percent / 100).unionByName(stars), "near")
     groups = components(near).select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    # An id that stands for several texts is taken as one document of one of them.
-    asked = groups.select(F.col("rep").alias("doc_id"))
-    found = spread_join(texts, asked, ["doc_id"], "left_semi", F.col("doc_id"))
-    sets = _sets(found, width).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("th"), "text").where(F.col("doc_id").isNotNull())
+    asked = groups.join(reps, "rep").select("name.*", "rep")
+    found = spread_join(texts, asked, ["doc_id", "th"], "inner", F.monotonically_increasing_id())
+    sets = _sets(found, width).dropDuplicates(["rep"])
     links = settle(_links(groups.join(reps.select("rep", "bands"), "rep").join(sets, "rep"), percent), "links")
-    roots = components(links)
-    of = reps.select("h1", "h2", "rep").join(roots, F.col("rep") == F.col("node"), "left")
-    of = of.select("h1", "h2", F.coalesce("root", "rep").alias("_class"))
-    out = marks.select("doc_id", "n_shingles", "h1", "h2").join(of, ["h1", "h2"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("_class"))
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")
-    )
+    roots = components(links).withColumnRenamed("node", "rep")
+    of = reps.select("h1", "h2", "rep", "name").join(roots, "rep", "left")
+    least = of.where("root IS NOT NULL").groupBy("root").agg(F.min("name").alias("least"))
+    of = of.join(least, "root", "left").select("h1", "h2", F.coalesce("least", "name").alias("_class"))
+    out = marks.select("doc_id", "th", "n_shingles", "h1", "h2").join(of, ["h1", "h2"], "left")
+    alone = F.col("n_shingles") == 0
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("_class.doc_id"))
+    kept = F.when(alone, F.col("doc_id").isNotNull()).otherwise(name == F.col("_class"))
+    return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.coalesce(kept, F.lit(False)).alias("kept"))

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgauge.llm.common import settle, table
+from cellgauge.llm.common import settle, single, table, text_hash
 from cellgauge.llm.mixing import in_mixed_order, mix_sources
-from cellgauge.llm.neardup import near_duplicates
+from cellgauge.llm.neardup import verdicts
 from cellgauge.llm.packing import best_fit_packing
 from cellgauge.llm.quality import quality_rules
 from cellgauge.llm.queries import vocabulary
@@ -24,9 +24,13 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates. Rows without an id stay."""
-    gone = near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return spread_join(docs, settle(gone, "near-duplicates"), ["doc_id"], "left_anti", F.col("doc_id"))
+    """One document of each group of near duplicates, the one with the smallest id, and one row of it. Texts that
+    share an id are judged one by one. Rows without an id stay."""
+    key = ["doc_id", "_th"]
+    gone = verdicts(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id", F.col("th").alias("_th")).distinct()
+    named = docs.withColumn("_th", text_hash(F.col("text")))
+    left = spread_join(named, settle(gone, "near-duplicates"), key, "left_anti", F.monotonically_increasing_id())
+    return single(left, key, "near-duplicates").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -248,6 +248,22 @@ def test_near_duplicates_odd_rows(spark, none):
     )
 
 
+def test_near_duplicates_that_share_ids(spark):
+    """One id for two texts: each group keeps one row, and a text that is no copy stays."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    one, two, three, four = (prose(rng, 60) for _ in range(4))
+    rows = [(1, one), (1, two), (2, one + " end"), (3, two + " end"), (3, three), (4, four), (4, four.upper()), (5, four), (6, "x y z"), (6, "x y z"), (7, None), (None, one)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(frame).collect())
+    assert got == Counter([(1, 1, True)] * 2 + [(2, 1, False), (3, 1, False), (3, 3, True), (4, 4, True), (4, 4, False), (5, 4, False)] + [(6, 6, True)] * 2 + [(7, 7, True), (None, 1, False)])
+    left = Counter(map(tuple, corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()))
+    fours = [r for r in left if r[0] == 4]
+    assert len(fours) == 1 and fours[0][1].lower() == four
+    assert left == Counter([(1, one), (1, two), (3, three), fours[0], (6, "x y z"), (7, None), (None, one)])
+
+
 def test_sketches_merge_and_estimate():
     x = shingles.stream(3000, 99)
     a, b, both = x[:2000], x[1000:], x
