@@ -85,3 +85,17 @@ def numbered(df: DataFrame, by: Sequence[str], order: Column, ties: Sequence[Col
         .withColumn(out, F.col("_start") + F.col("_n"))
         .drop("_group", "_order", "_bucket", "_n", "_start")
     )
+
+
+def ranked(df: DataFrame, order: Sequence[str], name: str, out: str = "_rank") -> DataFrame:
+    """df with a column ``out``: each row's number in the whole table along ``order``, gapless from 0. Rows are dealt by
+    ranges and written in their order; where a range starts is one number for each of them."""
+    laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    laid = settle(laid, name)
+    part, start, starts = F.shiftright("_at", 33), 0, []
+    for p, n in sorted(map(tuple, laid.groupBy(part.alias("p")).agg(F.count(F.lit(1))).collect())):
+        starts.append((p, start))
+        start += n
+    told = df.sparkSession.createDataFrame(starts, "_part bigint, _start bigint")
+    met = laid.withColumn("_part", part.cast("long")).join(F.broadcast(told), "_part")
+    return met.withColumn(out, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start", "_at")

@@ -106,7 +106,10 @@ def mix_sources(
     )
 
 
+# Rows of the result of :func:`mix_sources` in the order of these columns follow the schedule.
+ORDER = ["slot", "source", "place"]
+
+
 def in_mixed_order(mixed: DataFrame) -> DataFrame:
     """The rows of ``mixed`` in the order of the schedule: range-partitioned and sorted, file by file."""
-    keys = ["slot", "source", "place"]
-    return mixed.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return mixed.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)

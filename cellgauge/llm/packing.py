@@ -4,31 +4,37 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from cellgauge.llm.common import settle
+from cellgauge.llm.common import ranked, settle
 from cellgauge.llm.tokens import BytePairIds
 
 SEQUENCE = 1024
 END_ID = 2
 # Pieces that are packed together in one task.
 BLOCK_PIECES = 20_000
+# Pieces of a range of an order that is kept; sequences mix documents of one range only.
+RANGE_PIECES = 4_000
 # Passes of the local search over the bins of a block.
 PASSES = 4
 
 
-def token_pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False, carry: Sequence[str] = ()
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, with ``with_ids``): the ids of each text plus the end id, cut
-    into pieces of ``sequence`` tokens if longer, where the first piece takes what is left over.
+    into pieces of ``sequence`` tokens if longer, where the first piece takes what is left over. Columns named in
+    ``carry`` go along with each piece.
 
     Null and empty texts are one token long. Very long texts are taken whole. No shuffle."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    carry = list(carry)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids + carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = BytePairIds(path), end_id.to_bytes(4, "little")
@@ -48,12 +54,15 @@ def token_pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: i
                     if with_ids:
                         kept.append(part)
                     at, k = to, k + 1
-            columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64())]
+            at_row = pa.array(row, pa.int64())
+            columns = [batch.column(0).take(at_row), pa.array(piece, pa.int32()), pa.array(start, pa.int64())]
             columns += [pa.array(length, pa.int64()), pa.array(crc, pa.int64())] + [pa.array(kept, pa.binary())] * with_ids
+            columns += [batch.column(2 + i).take(at_row) for i in range(len(carry))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, schema)
 
 
 class Bins:
@@ -219,6 +228,42 @@ def pack_pieces(pieces: DataFrame, sequence: int = SEQUENCE, block_pieces: int =
     return full.unionByName(packed.where(F.col("fill") >= sequence)).unionByName(second)
 
 
+def _pack_range(size: int):
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_rank")
+        bins = Bins(size, rows["length"].to_pylist())
+        bins.best_fit()
+        bins.local_search()
+        sequence, offset = [0] * len(rows), [0] * len(rows)
+        # Rows are numbered along the order, so a bin's first item is its smallest number.
+        for number, items in enumerate(sorted(sorted(x) for x in bins.items if x)):
+            at = 0
+            for i in items:
+                sequence[i], offset[i] = (key[0].as_py() << 32) + number, at
+                at += bins.lengths[i]
+        told = [pa.array(x, pa.int64()) for x in (sequence, offset)]
+        return pa.table([*(rows[c] for c in columns), *told], names=[*columns, "sequence_id", "offset"])
+
+    return pack
+
+
+def pack_in_order(pieces: DataFrame, order: Sequence[str], sequence: int = SEQUENCE, range_pieces: int = RANGE_PIECES) -> DataFrame:
+    """``pieces`` (doc_id, piece, start, length, ids_crc32 and the columns ``order``) with sequence_id and offset, where
+    sequences by number follow the order of ``order`` and piece.
+
+    The order is cut into consecutive ranges of ``range_pieces`` pieces, full pieces among them. Each range is
+    packed in a task of its own, best fit and local search, and its sequences are numbered by their first
+    piece. So the sequences of the first n ranges hold just the first n * range_pieces pieces, and within a range no
+    piece comes later than its place asks for. A range leaves a sequence or a few underfull."""
+    held = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    placed = ranked(pieces.select(*held, *order), [*order, "piece", "doc_id", "ids_crc32"], "ordered-pieces").select(*held, "_rank")
+    schema = StructType([*(placed.schema[c] for c in held), *(StructField(c, LongType()) for c in ("sequence_id", "offset"))])
+    part = F.floor(F.col("_rank") / range_pieces).cast("long")
+    return placed.groupBy(part.alias("range")).applyInArrow(_pack_range(sequence), schema)
+
+
 def best_fit_packing(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) with their place in sequences of ``sequence`` tokens; see
     :func:`token_pieces` and :func:`pack_pieces`. Repeated rows and null ids are packed like others; an

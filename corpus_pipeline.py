@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgauge.llm.common import settle, single, table, text_hash
-from cellgauge.llm.mixing import in_mixed_order, mix_sources
+from cellgauge.llm.mixing import ORDER, in_mixed_order, mix_sources
 from cellgauge.llm.neardup import verdicts
-from cellgauge.llm.packing import best_fit_packing
+from cellgauge.llm.packing import pack_in_order, token_pieces
 from cellgauge.llm.quality import quality_rules
 from cellgauge.llm.queries import vocabulary
 from cellgauge.llm.repeats import remove_repeats
@@ -50,9 +50,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in training sequences."""
-    packed = best_fit_packing(docs, vocabulary("byte_bpe_50k.json"))
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """Pieces of the documents and their places in training sequences, which by number follow the mixing schedule.
+
+    The schedule depends on the rows alone, so it is worked out again from them: the order of files does not survive
+    every reader."""
+    mixed = mix_sources(docs.select("doc_id", "text", "source")).select("doc.doc_id", "doc.text", *ORDER)
+    return pack_in_order(token_pieces(mixed, vocabulary("byte_bpe_50k.json"), carry=ORDER), ORDER)
 
 
 STAGES = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import duckdb
 import pytest
 
@@ -43,3 +45,21 @@ def test_pipeline_stages(spark, tmp_path):
     # Rules and near duplicates drop documents; cutting and mixing keep them; packing keeps their ids.
     assert kept[0] >= kept[1] == kept[2] == kept[3] and 0 < kept[0] < 200
     assert docs.select("doc_id").distinct().count() == kept[3]
+
+
+def test_sequences_follow_the_mixing_schedule(spark, monkeypatch):
+    """Sources' shares in each range of sequences are those of the schedule, by brute force from its rows."""
+    monkeypatch.setattr(corpus_pipeline.pack_in_order, "__defaults__", (1024, 200))
+    rows = [(i, "word " * (5 + i % 400), "big" if i % 10 < 7 else "mid" if i % 10 < 9 else None) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.pack(spark, corpus_pipeline.mix(spark, docs, SF), SF).toPandas().sort_values(["sequence_id", "offset"])
+    told = corpus_pipeline.mix_sources(docs).select("doc.doc_id", "source", "slot", "place").collect()
+    order = [r.doc_id for r in sorted(told, key=lambda r: (r.slot, r.place))]
+    source = {r.doc_id: r.source for r in told}
+    assert sorted(got.doc_id) == sorted(order) and (got.groupby("sequence_id").length.sum() <= 1024).all()
+    packed = got.doc_id.tolist()
+    rank = {d: i for i, d in enumerate(order)}
+    for i in range(0, len(order), 200):
+        assert Counter(source[d] for d in packed[i : i + 200]) == Counter(source[d] for d in order[i : i + 200])
+    firsts = got.drop_duplicates("sequence_id").doc_id.map(rank).tolist()
+    assert firsts == sorted(firsts)
