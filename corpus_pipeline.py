@@ -5,7 +5,7 @@ last return the same columns. Between stages the rows are written as Parquet and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgauge.llm.common import settle, single, table, text_hash
@@ -18,9 +18,19 @@ from cellgauge.llm.repeats import remove_repeats
 from cellgauge.operators.joins import spread_join
 
 
+def _with_kept_text(rows: DataFrame, changed: Column, columns: list[str]) -> DataFrame:
+    """The documents ``doc``, with ``kept_text`` as their text where it is another one."""
+    doc = F.when(
+        changed,
+        F.col("doc").withField("text", F.col("kept_text")).withField("n_chars", F.char_length("kept_text").cast("long")),
+    ).otherwise(F.col("doc"))
+    return rows.select(doc.alias("doc")).select("doc.*").select(*columns)
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules(docs).where("kept").select("doc.*")
+    """Documents that the quality rules keep, without their boilerplate lines; n_chars counts what is left."""
+    kept = quality_rules(docs).where("kept")
+    return _with_kept_text(kept, F.col("kept_text") != F.col("doc.text"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur earlier; n_chars counts what is left. No document goes."""
     cut = remove_repeats(docs, with_text=True)
-    changed = F.col("n_removed") > 0
-    doc = F.when(
-        changed,
-        F.col("doc").withField("text", F.col("kept_text")).withField("n_chars", F.char_length("kept_text").cast("long")),
-    ).otherwise(F.col("doc"))
-    return cut.select(doc.alias("doc")).select("doc.*").select(*docs.columns)
+    return _with_kept_text(cut, F.col("n_removed") > 0, docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,13 @@ def test_sequences_follow_the_mixing_schedule(spark, monkeypatch):
         assert Counter(source[d] for d in packed[i : i + 200]) == Counter(source[d] for d in order[i : i + 200])
     firsts = got.drop_duplicates("sequence_id").doc_id.map(rank).tolist()
     assert firsts == sorted(firsts)
+
+
+def test_boilerplate_lines_leave_the_pipeline(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    boiler = "Subscribe to our newsletter now"
+    bodies = [" ".join(f"w{letters[i]}{x}{y}" for x in "abcde" for y in "vwxyz") for i in range(20)]
+    rows = [(i, f"{boiler} {i}\n{body}", "a", 10**6) for i, body in enumerate(bodies)] + [(20, bodies[0] + "\n\nnone here", "b", 10**6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_low_quality(spark, docs, SF).collect()}
+    assert got == {i: (body, len(body)) for i, body in enumerate(bodies)} | {20: (rows[20][1], 10**6)}
