@@ -16,6 +16,8 @@ REPEAT_PERCENT = 30
 MIN_HOLDERS = 10
 # ... and more than this share of the host's distinct texts.
 LINE_SHARE = 0.1
+# A limit that does not grow with the host, for those who ask for it: so many distinct texts are enough.
+MOST_HOLDERS = 100
 # A document is depleted if less than this share of its words is left without boilerplate lines.
 LEFT_SHARE = 0.3
 
@@ -96,7 +98,11 @@ def without_lines(text: Column, hashes: Column) -> Column:
 
 
 def line_rules(
-    docs: DataFrame, host: str = "source", min_holders: int = MIN_HOLDERS, line_share: float = LINE_SHARE
+    docs: DataFrame,
+    host: str = "source",
+    min_holders: int = MIN_HOLDERS,
+    line_share: float = LINE_SHARE,
+    most_holders: int | None = None,
 ) -> DataFrame:
     """Columns _key, boilerplate_words, boilerplate: words in boilerplate lines, and the hashes of those lines,
     of each distinct text of each host that has any; the key is a hash of both.
@@ -117,10 +123,11 @@ def line_rules(
     copies = texts.groupBy("_host", "_text").agg(F.count(F.lit(1)).alias("_copies"))
     held = lines.groupBy("_host", "_h").agg(F.count(F.lit(1)).alias("_holders"))
     sizes = copies.groupBy("_host").agg(F.count(F.lit(1)).alias("_texts"))
+    enough = F.lit(False) if most_holders is None else F.col("_holders") >= most_holders
     frequent = (
         held.where(F.col("_holders") >= min_holders)
         .join(sizes.withColumnRenamed("_host", "_of"), F.col("_host").eqNullSafe(F.col("_of")))
-        .where(F.col("_holders") > F.col("_texts") * line_share)
+        .where((F.col("_holders") > F.col("_texts") * line_share) | enough)
         .select(F.xxhash64("_host", "_h").alias("_key"))
     )
     hit = lines.withColumn("_key", F.xxhash64("_host", "_h")).join(frequent, "_key", "left_semi")
@@ -139,6 +146,7 @@ def quality_rules(
     min_holders: int = MIN_HOLDERS,
     line_share: float = LINE_SHARE,
     left_share: float = LEFT_SHARE,
+    most_holders: int | None = None,
 ) -> DataFrame:
     """``docs`` as struct ``doc`` with the base counts, base_failed, boilerplate_words, kept and kept_text, the
     text without boilerplate lines.
@@ -146,7 +154,7 @@ def quality_rules(
     A document fails the base for fewer than 20 words or for repeated 8-word windows over more than 30
     percent of its words. Of the others, one is rejected as depleted if less than ``left_share`` of its
     words, or fewer than 20, are outside boilerplate lines: lines held by ``min_holders`` or more distinct
-    texts of its host and by more than ``line_share`` of them. Exact copies count as one text, so a text is
+    texts of its host and by more than ``line_share`` of them or, if given, by ``most_holders``. Exact copies count as one text, so a text is
     not boilerplate because it was copied.
 
     Null text: no words, fails. Null host: a host like others. Repeated rows get equal verdicts. Very long
@@ -162,7 +170,7 @@ def quality_rules(
         "base_failed",
         (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")),
     )
-    rules = line_rules(docs, host, min_holders, line_share)
+    rules = line_rules(docs, host, min_holders, line_share, most_holders)
     left = F.col("n_words") - F.coalesce("boilerplate_words", F.lit(0))
     return counts.join(rules, "_key", "left").select(
         "doc",

@@ -73,3 +73,13 @@ def test_boilerplate_lines_leave_the_pipeline(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_low_quality(spark, docs, SF).collect()}
     assert got == {i: (body, len(body)) for i, body in enumerate(bodies)} | {20: (rows[20][1], 10**6)}
+
+
+def test_lines_of_many_documents_leave_a_hot_host(spark):
+    """A line in 100 of 1,100 texts is under a tenth of its host and goes all the same; one in 99 stays."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    bodies = [" ".join(f"{letters[i // 26 // 26]}{letters[i // 26 % 26]}{letters[i % 26]}{x}{y}" for x in "abcde" for y in "vwxyz") for i in range(1100)]
+    heads = ["Read more of our stories here\n"] * 100 + ["A line that stays\n"] * 99 + [""] * 901
+    docs = spark.createDataFrame([(i, h + b, "hot", 0) for i, (h, b) in enumerate(zip(heads, bodies))], "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_low_quality(spark, docs, SF).collect()}
+    assert got == {i: (h + b if i >= 100 else b) for i, (h, b) in enumerate(zip(heads, bodies))}
