@@ -167,3 +167,63 @@ WITH d AS (
 )
 SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(left_hex)) AS kept_sha256 FROM cut
 """
+
+# --- op12: conversation repair ---------------------------------------------------------------
+
+# An inserted turn never pays: deleting the pair of turns that holds it (and a leading system turn that would be
+# left alone) costs 4 at most, against 5. So edits are keep, rerole and delete.
+SQL["op12_audit_repair"] = r"""
+WITH RECURSIVE crc(b, v, k) AS (
+  SELECT b, b::BIGINT, 0 FROM range(256) t(b)
+  UNION ALL SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM crc WHERE k < 8
+), codes AS (
+  SELECT list(v ORDER BY b) AS c FROM crc WHERE k = 8
+), hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+      lambda a, x: xor(a // 256, codes.c[xor(a % 256, x) + 1])), 4294967295) % 20 AS d
+  FROM conversations, codes
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed WHERE d <> 0
+), laid AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS bare FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM laid
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS state, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM judged GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, state, best.cost, best.audit, best.lines FROM (
+    SELECT conv_id, i, state, arg_min({cost: cost, audit: audit, lines: lines}, {cost: cost, audit: audit}) AS best FROM (
+      SELECT j.conv_id, j.i, e.b AS state, w.cost + e.c + CASE WHEN e.l <> 'D' AND coalesce(j.fault, '') = 'truncated' THEN 5 ELSE 0 END AS cost,
+        w.audit || e.l AS audit,
+        CASE e.l WHEN 'D' THEN w.lines WHEN 'K' THEN w.lines || [j.role || ':' || j.text]
+          ELSE w.lines || [CASE e.b WHEN 2 THEN 'user:' ELSE 'assistant:' END || j.text] END AS lines
+      FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1
+      JOIN (VALUES (0, 0, 'D', 2, ''), (1, 1, 'D', 2, ''), (2, 2, 'D', 2, ''), (3, 3, 'D', 2, ''),
+        (0, 1, 'K', 0, 's'), (0, 2, 'K', 0, 'u'), (1, 2, 'K', 0, 'u'), (3, 2, 'K', 0, 'u'), (2, 3, 'K', 0, 'a'),
+        (0, 2, 'R', 1, ''), (1, 2, 'R', 1, ''), (3, 2, 'R', 1, ''), (2, 3, 'R', 1, '')) e(a, b, l, c, ini)
+      ON e.a = w.state AND (e.l <> 'K' OR e.ini = j.ini) AND (e.l = 'D' OR coalesce(j.fault, 'truncated') = 'truncated')
+    ) GROUP BY conv_id, i, state)
+), ended AS (
+  SELECT conv_id, arg_min({cost: cost, audit: audit, lines: lines}, {cost: cost, audit: audit}) AS best
+  FROM walk JOIN (SELECT conv_id AS c, max(i) AS n FROM judged GROUP BY 1) ON c IS NOT DISTINCT FROM conv_id AND i = n
+  WHERE state IN (0, 3) GROUP BY conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (prev IS NOT NULL AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgauge.llm import mixing, neardup, packing, quality, repeats, sharding, tokens, topk, toxicity, urls
+from cellgauge.llm import language, mixing, neardup, packing, quality, repair, repeats, sharding, tokens, topk, toxicity, urls, whitening
 from cellgauge.llm.common import table
 
 # Where the vocabulary files of public tokenizers lie; None: where the installed package has them.
@@ -78,6 +78,18 @@ def op10_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op12_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op13_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_redirect_equivalence,
         op9_threshold_top_k,
         op10_maximal_repeats,
+        op11_kneser_ney_language,
+        op12_audit_repair,
+        op13_cholesky_whitening,
         pipeline,
     )
 }
