@@ -10,7 +10,7 @@ which are all the suffixes that can share ``min_bytes`` bytes, meet in an enhanc
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,8 @@ from cellgauge.llm.common import settle, single, text_hash
 from cellgauge.llm.shingles import RangeHash
 
 MIN_BYTES, GRAM = 100, 24
-# Bytes of text worked on at once; longer texts go in overlapping pieces.
-PIECE_BYTES = 2_000_000
+# Bytes of text worked on at once; longer texts go in overlapping pieces. A task takes some 130 bytes for each.
+PIECE_BYTES = 250_000
 # Bits of the filter on repeated flanks that spares most anchors a shuffle. Its size is fixed; once full it
 # lets all through, which changes no result: a phrase that occurs once has nothing to settle.
 FILTER_BITS = 1 << 25
@@ -42,14 +42,18 @@ def phrases(data: np.ndarray, ends: np.ndarray, min_bytes: int, hashed: RangeHas
     at = np.arange(n - GRAM + 1)
     grams = hashed(at, at + GRAM)
     # Order by 31 bits of the hash, then by place: the minimum is the leftmost smallest.
-    least = ((grams >> np.uint64(33)).astype(np.int64) << 32) | at
+    least = (grams >> np.uint64(33)).astype(np.int64)
+    least <<= 32
+    least |= at
+    del at
     width = 1
     while 2 * width <= reach:
-        least = np.minimum(least[:-width], least[width:])
+        least = np.minimum(least[:-width], least[width:], out=least[:-width])
         width *= 2
     if reach > width:
-        least = np.minimum(least[: -(reach - width)], least[reach - width :])
-    anchor = least & 0xFFFFFFFF
+        least = np.minimum(least[: -(reach - width)], least[reach - width :], out=least[: -(reach - width)])
+    least &= 0xFFFFFFFF
+    anchor = least
     start = np.arange(len(anchor))
     end = ends[np.searchsorted(ends, start, side="right")]
     inside = start + min_bytes <= end
@@ -72,7 +76,12 @@ def flanks(anchor: np.ndarray, p0: np.ndarray, p1: np.ndarray, n: int, min_bytes
     return right, by_right, left, by_left
 
 
-def _pieces(texts: list[bytes], min_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    """One text after the other, so that a batch is not held twice."""
+    return ((t.as_py() or "").encode() for t in column)
+
+
+def _pieces(texts: Iterable[bytes], min_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """data, ends, row and place in its text of each part: texts laid end to end, long ones in parts that
     overlap so that each window is in one part."""
     held: list[tuple[int, int, bytes]] = []
@@ -99,7 +108,7 @@ def _flank_counts(docs: DataFrame, min_bytes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, ends, _, _ in _pieces([(t.as_py() or "").encode() for t in batch.column(0)], min_bytes):
+            for data, ends, _, _ in _pieces(_texts(batch.column(0)), min_bytes):
                 hashed = RangeHash(data)
                 _, anchor, p0, p1 = phrases(data, ends, min_bytes, hashed)
                 right, by_right, left, by_left = flanks(anchor, p0, p1, len(data), min_bytes, hashed)
@@ -141,7 +150,7 @@ def _occurrences(docs: DataFrame, bits: np.ndarray, min_bytes: int) -> DataFrame
 
         for batch in batches:
             ids, ths = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for data, ends, rows, offs in _pieces([(t.as_py() or "").encode() for t in batch.column(2)], min_bytes):
+            for data, ends, rows, offs in _pieces(_texts(batch.column(2)), min_bytes):
                 hashed = RangeHash(data)
                 gram, anchor, p0, p1 = phrases(data, ends, min_bytes, hashed)
                 right, by_right, left, by_left = flanks(anchor, p0, p1, len(data), min_bytes, hashed)
