@@ -23,9 +23,10 @@ from cellgauge.llm.shingles import RangeHash
 MIN_BYTES, GRAM = 100, 24
 # Bytes of text worked on at once; longer texts go in overlapping pieces. A task takes some 130 bytes for each.
 PIECE_BYTES = 250_000
-# Bits of the filter on repeated flanks that spares most anchors a shuffle. Its size is fixed; once full it
-# lets all through, which changes no result: a phrase that occurs once has nothing to settle.
-FILTER_BITS = 1 << 25
+# The filter on repeated flanks that spares most anchors a shuffle has so many bits for each of them, a power of two in all: it then
+# passes 5 in 100 of the others at most. What would need more bits than MOST_FILTER_BITS (32 MB) is not sent to the
+# tasks; flanks then meet the repeated ones in a shuffle. No way changes a result: a phrase that occurs once has nothing to settle.
+BITS_A_FLANK, LEAST_FILTER_BITS, MOST_FILTER_BITS = 8, 1 << 16, 1 << 28
 # A gram with more distinct phrases has its suffixes dealt by content instead of meeting in one array.
 GRAM_PHRASES = 4_000
 # Suffix starts in one suffix array.
@@ -118,34 +119,68 @@ def _flank_counts(docs: DataFrame, min_bytes: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "flank bigint, n bigint")
 
 
-def _bits(flank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bits(flank: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     g = flank.view(np.uint64)
-    return (g % np.uint64(FILTER_BITS)).astype(np.int64), ((g >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype(np.int64)
+    return (g % np.uint64(size)).astype(np.int64), ((g >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
 
 
-def _filter(repeated: DataFrame) -> np.ndarray:
-    """Bloom filter of the repeated flanks: two bits each, in FILTER_BITS bits, joined word by word in the cluster."""
+def _filter(repeated: DataFrame, size: int) -> np.ndarray:
+    """Bloom filter of the repeated flanks: two bits each, in ``size`` bits, joined word by word in the cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = np.unique(np.concatenate(_bits(batch.column(0).to_numpy().astype(np.int64))))
+            places = np.unique(np.concatenate(_bits(batch.column(0).to_numpy().astype(np.int64), size)))
             yield pa.RecordBatch.from_arrays([pa.array(places >> 6), pa.array(np.left_shift(1, places & 63, dtype=np.int64))], names=["word", "bits"])
 
     words = repeated.mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS >> 6, np.int64)
+    out = np.zeros(size >> 6, np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out
 
 
-def _occurrences(docs: DataFrame, bits: np.ndarray, min_bytes: int) -> DataFrame:
-    """gram, phrase (hash), doc_id, th, p0, windows of the phrases, cut to windows whose flank passes the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def _located(ends: np.ndarray, offs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Part of each place ``at`` in texts laid end to end, and the place in its text."""
+    part = np.searchsorted(ends, at, side="right")
+    return part, at - (ends[part] - np.diff(ends, prepend=0)[part]) + offs[part]
+
+
+def _passing(docs: DataFrame, repeated: DataFrame, min_bytes: int) -> DataFrame:
+    """doc_id, th, packed: which anchors of a document have a repeated flank, as twice their place, and one more for the left. Every
+    flank meets the repeated ones in a shuffle; adaptive execution splits one that is very frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, ths = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            for data, ends, rows, offs in _pieces(_texts(batch.column(2)), min_bytes):
+                hashed = RangeHash(data)
+                _, anchor, p0, p1 = phrases(data, ends, min_bytes, hashed)
+                part, place = _located(ends, offs, anchor)
+                for side, (some, flank) in enumerate(zip(*[iter(flanks(anchor, p0, p1, len(data), min_bytes, hashed))] * 2)):
+                    row = rows[part[some]]
+                    columns = [flank[some].view(np.int64), ids[row], ths[row], 2 * place[some] + side]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["flank", "doc_id", "th", "mark"])
+
+    marks = docs.select("doc_id", "th", "text").mapInArrow(run, "flank bigint, doc_id bigint, th bigint, mark bigint")
+    return _packed(marks.join(repeated, "flank", "left_semi").select("doc_id", "th", "mark"), ["mark"])
+
+
+def _occurrences(docs: DataFrame, repeated: DataFrame, min_bytes: int) -> DataFrame:
+    """gram, phrase (hash), doc_id, th, p0, windows of the phrases, cut to windows whose flank is repeated, or, where a filter
+    tells, passes it."""
+    wanted = repeated.count() * BITS_A_FLANK
+    size = max(LEAST_FILTER_BITS, 1 << max(wanted - 1, 0).bit_length())
+    if size <= MOST_FILTER_BITS:
+        shared = docs.sparkSession.sparkContext.broadcast(_filter(repeated, size))
+        rows = docs.select("doc_id", "th", "text")
+    else:
+        shared = None
+        rows = docs.select("doc_id", "th", "text").join(settle(_passing(docs, repeated, min_bytes), "flanks"), ["doc_id", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        bits = None if shared is None else shared.value
 
         def passes(flank: np.ndarray) -> np.ndarray:
-            a, b = _bits(flank)
+            a, b = _bits(flank, size)
             return ((bits[a >> 6] >> (a & 63)) & (bits[b >> 6] >> (b & 63)) & 1).astype(bool)
 
         for batch in batches:
@@ -154,21 +189,28 @@ def _occurrences(docs: DataFrame, bits: np.ndarray, min_bytes: int) -> DataFrame
                 hashed = RangeHash(data)
                 gram, anchor, p0, p1 = phrases(data, ends, min_bytes, hashed)
                 right, by_right, left, by_left = flanks(anchor, p0, p1, len(data), min_bytes, hashed)
-                right &= passes(by_right)
-                left &= passes(by_left)
+                if bits is not None:
+                    right &= passes(by_right)
+                    left &= passes(by_left)
+                else:
+                    part, place = _located(ends, offs, anchor)
+                    for row in np.unique(rows):
+                        own = np.flatnonzero(rows[part] == row)
+                        marks = np.frombuffer(batch.column(3)[int(row)].as_py(), np.int64)
+                        right[own] &= np.isin(2 * place[own], marks)
+                        left[own] &= np.isin(2 * place[own] + 1, marks)
                 half = (min_bytes - GRAM) // 2
                 p0, p1 = np.where(left, p0, np.maximum(p0, anchor - half + 1)), np.where(right, p1, np.minimum(p1, anchor - half))
                 keep = right | left
                 gram, p0, p1 = gram[keep], p0[keep], p1[keep]
                 # Equal phrases have equal windows and so their anchor in the same place.
                 phrase = hashed(p0, p1 + min_bytes)
-                part = np.searchsorted(ends, p0, side="right")
-                place = p0 - (ends[part] - np.diff(ends, prepend=0)[part]) + offs[part]
+                part, place = _located(ends, offs, p0)
                 columns = [gram.view(np.int64), phrase.view(np.int64), ids[rows[part]], ths[rows[part]], place, p1 - p0 + 1]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     names = ["gram", "phrase", "doc_id", "th", "p0", "windows"]
-    return docs.select("doc_id", "th", "text").mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+    return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
 def _packed(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -352,7 +394,7 @@ def _searched(docs: DataFrame, min_bytes: int) -> tuple[DataFrame, DataFrame, Da
     """Occurrences of phrases with repeated grams; the first occurrence and number of each distinct phrase; and with
     their bytes the phrases of grams that have several: those for suffix arrays, and those of hot grams."""
     flank = _flank_counts(docs, min_bytes).groupBy("flank").agg(F.sum("n").alias("n")).where("n > 1").select("flank")
-    occurrences = settle(_occurrences(docs, _filter(flank), min_bytes), "occurrences")
+    occurrences = settle(_occurrences(docs, settle(flank, "repeated-flanks"), min_bytes), "occurrences")
     place = F.struct("doc_id", "th", "p0", "windows")
     firsts = occurrences.groupBy("gram", "phrase").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = settle(firsts, "phrases")
