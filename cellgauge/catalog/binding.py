@@ -235,12 +235,13 @@ def bind_provinces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bind_network(spark: SparkSession, sf_dir: str) -> Network:
     towers = bind_towers(spark, sf_dir)
-    towers_fit = fits(towers.select("tower_id"))
+    # Towers are suppliers with a nation, so the suppliers bound them; that is measured once a query, without the joins.
+    towers_fit = fits(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string")))
     return Network(
         towers=towers,
         thresholds=default_thresholds(spark),
-        telemetry=bind_telemetry(spark, sf_dir, towers, towers_fit),
-        sessions=bind_sessions(spark, sf_dir, towers, bind_subscribers(spark, sf_dir), towers_fit),
+        telemetry=lambda: bind_telemetry(spark, sf_dir, towers, towers_fit),
+        sessions=lambda: bind_sessions(spark, sf_dir, towers, bind_subscribers(spark, sf_dir), towers_fit),
         unique_hours=True,
         towers_fit=towers_fit,
     )

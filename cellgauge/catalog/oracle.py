@@ -780,3 +780,5 @@ ORACLE["impact_totals_of_no_tower"] = (
     f"SELECT count(*) AS congestion_events, 0::BIGINT AS {_TOTALS}, 0::BIGINT AS sms_sessions FROM supplier WHERE s_suppkey < 0"
 )
 ORACLE["impact_totals_of_tower"] = f"SELECT * EXCLUDE (tower_id) FROM ({ORACLE['impact_totals_of_tower']})"
+for _mart in ("hotspot_summary", "peak_hour_patterns", "neighbour_impact", "subscriber_impact"):
+    ORACLE[f"{_mart}_published"] = ORACLE[_mart]

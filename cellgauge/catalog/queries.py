@@ -438,6 +438,46 @@ def subscriber_impact_refreshed(spark, sf):
     return spark.read.parquet(f"{root}/subscriber_impact").select(*rows)
 
 
+def _published(spark, sf, name):
+    """A mart after three commits: all of the first half of January, for which one day came with half of its readings; that day as
+    it should be; and the later dates."""
+    from cellgauge.network import publish_dates, publish_marts
+    from cellgauge.sources.versions import TableStore
+
+    n, store = network(spark, sf), TableStore(spark, lake.scratch_path(spark, "store"))
+    late, half = date(2024, 1, 10), date(2024, 1, 15)
+    paths = [lake.scratch_path(spark, "telemetry") for _ in range(2)]
+    whole = n.telemetry
+    soon = (F.col("partition_date") < half) & ((F.col("partition_date") != late) | (F.col("handover_count") < 20))
+    lake.write_dates(whole.where(soon), paths[0])
+    lake.write_dates(whole, paths[1])
+    first, full = (replace(n, telemetry=lake.read_dates(spark, p, TELEMETRY_SCHEMA), dates=None) for p in paths)
+    publish_marts(first, store)
+    publish_dates(full, store, late, late)
+    publish_dates(full, store, half, full.dates[1])
+    return store.read(name)
+
+
+@query
+def hotspot_summary_published(spark, sf):
+    return _published(spark, sf, "hotspot_summary")
+
+
+@query
+def peak_hour_patterns_published(spark, sf):
+    return _published(spark, sf, "peak_hour_patterns")
+
+
+@query
+def neighbour_impact_published(spark, sf):
+    return _published(spark, sf, "neighbour_impact")
+
+
+@query
+def subscriber_impact_published(spark, sf):
+    return _published(spark, sf, "subscriber_impact").drop("partition_date")
+
+
 @query
 def mart_row_counts(spark, sf):
     """All marts written as tables in dependency order, then counted."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
-from datetime import date
+from datetime import date, timedelta
 from functools import cached_property
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +15,10 @@ from cellgauge.functions.columns import ntz
 from cellgauge.operators.intervals import masks_fit
 from cellgauge.operators.joins import fits
 from cellgauge.operators.spatial import neighbour_pairs
-from cellgauge.plans import marts, scoring
+from cellgauge.plans import marts, rolling, scoring
 from cellgauge.plans.serving import newest_hour
 from cellgauge.sources.lake import PARTITION, partition_dates
+from cellgauge.sources.versions import TableStore, Transaction
 
 MARTS = (
     "congestion_events",
@@ -28,9 +31,35 @@ MARTS = (
 )
 
 
+class Late:
+    """Field whose value may be given as a function, or left to a default of the object's; either is called once, when the field is
+    first read."""
+
+    def __init__(self, default: Callable[[Any], Any] | None = None) -> None:
+        self.default = default
+
+    def __set_name__(self, owner: type, name: str) -> None:
+        self.name = f"_{name}"
+
+    def __get__(self, obj: Any, owner: type) -> Any:
+        if obj is None:
+            if self.default is None:
+                raise AttributeError(self.name[1:])
+            return None
+        value, known = getattr(obj, self.name)
+        if not known:
+            value = self.default(obj) if value is None else value()
+            setattr(obj, self.name, (value, True))
+        return value
+
+    def __set__(self, obj: Any, value: Any) -> None:
+        late = self.default is not None if value is None else callable(value) and not isinstance(value, DataFrame)
+        setattr(obj, self.name, (value, not late))
+
+
 @dataclass
 class Network:
-    """Cleaned tables. Marts are plans that nothing has run yet; what is asked of the data before is the
+    """Cleaned tables; telemetry and sessions may be given as functions, so a report pays for the tables it reads. Marts are plans that nothing has run yet; what is asked of the data before is the
     size of the tower table, once, to settle whether joins may broadcast it, the newest hour and valid day of the
     newest partition if they are asked for, and the sizes that shuffled joins of large tables need.
 
@@ -41,19 +70,13 @@ class Network:
 
     towers: DataFrame
     thresholds: DataFrame
-    telemetry: DataFrame
-    sessions: DataFrame
+    telemetry: DataFrame = Late()
+    sessions: DataFrame = Late()
     unique_hours: bool = False
-    towers_fit: bool | None = None
+    towers_fit: bool | None = Late(lambda n: fits(n.towers.select("tower_id")))
     stamped: bool = True
     hourly: bool = True
-    dates: tuple[date, date] | None = None
-
-    def __post_init__(self):
-        if self.towers_fit is None:
-            self.towers_fit = fits(self.towers.select("tower_id"))
-        if self.dates is None and (found := partition_dates(self.telemetry)):
-            self.dates = found[0], found[-1]
+    dates: tuple[date, date] | None = Late(lambda n: (lambda d: (d[0], d[-1]) if d else None)(partition_dates(n.telemetry)))
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -208,6 +231,56 @@ def _replace(spark: SparkSession, df: DataFrame, path: str, first: date, last: d
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def publish_marts(network: Network, store: TableStore) -> int:
+    """All marts, worked out whole and committed to ``store`` as one version, which is returned. Besides the marts it holds the partial
+    sums that :func:`publish_dates` goes on from."""
+    return _published(network, store.begin(), None, None)
+
+
+def publish_dates(network: Network, store: TableStore, first: date, last: date) -> int:
+    """The marts after the dates from first to last have got new or late rows, committed as one version.
+
+    Of telemetry and sessions only those dates are read; everything else comes from what the store has: partial sums of
+    the dates' months and of the last 31 dates, and sums of other months. Readers of the store see the version before, or all of
+    this one. Needs a network whose partition dates come from the hours, and towers and thresholds as they were; after a
+    change of those publish all again."""
+    if not network.stamped:
+        raise ValueError("partition dates do not follow the hours")
+    return _published(network, store.begin(), first, last)
+
+
+def _published(network: Network, t: Transaction, first: date | None, last: date | None) -> int:
+    day = F.lit(True) if first is None else F.col(PARTITION).between(F.lit(first), F.lit(last))
+    # A reading's date is that of its hour, as in the marts.
+    scored = network.scored.where(day)
+    t.replace_dates("day_partials", rolling.day_partials(scored, network.unique_hours), first, last)
+    start, end = (None, None) if first is None else (first.replace(day=1), (last.replace(day=28) + timedelta(4)).replace(day=1) - timedelta(1))
+    t.replace_dates("month_partials", rolling.month_partials(t.read("day_partials", start, end)), start, end)
+    hot = scored.where("severity IS NOT NULL").select(*marts.EVENT_COLUMNS, PARTITION)
+    t.replace_dates("congestion_events", hot, first, last)
+    events = t.read("congestion_events", first, last)
+    pairs = t.read("neighbour_pairs") if first is not None and "neighbour_pairs" in t.tables else t.overwrite("neighbour_pairs", network.neighbour_pairs)
+    surged = marts.surges(events, network.telemetry.where(day), pairs).withColumn(PARTITION, F.to_date("event_hour"))
+    t.replace_dates("surges", surged.drop("event_hour").distinct(), first, last)
+    if first is None:
+        part = network
+    else:
+        # A session of these dates may have begun long before; only its end is bounded.
+        sessions = network.sessions.where(F.col("session_end") >= F.lit(first).cast("timestamp_ntz"))
+        part = replace(network, sessions=sessions, dates=(first, last))
+    t.replace_dates("subscriber_impact", _impact(events, part), first, last)
+
+    known = [date.fromisoformat(d) for d in t.tables["day_partials"].runs]
+    as_of = max(known, default=None)
+    recent = t.read("day_partials", as_of - timedelta(rolling.MONTH) if as_of else None)
+    hotspots = t.overwrite("hotspot_summary", rolling.hotspots_of_partials(t.read("month_partials"), recent, F.lit(as_of).cast("date")))
+    t.overwrite("peak_hour_patterns", rolling.peaks_of_partials(t.read("day_partials"), network.last_partition))
+    t.overwrite("neighbour_impact", marts.spillovers(t.read("surges")))
+    health = t.overwrite("network_health_snapshot", network.network_health_snapshot)
+    t.overwrite("province_summary", marts.province_summary(network.towers, hotspots, health))
+    return t.commit()
+
+
 def create_views(network: Network) -> None:
     """Staging tables as temporary views with fixed columns, for SQL users."""
     from cellgauge.schemas import SESSION_SCHEMA, TELEMETRY_SCHEMA

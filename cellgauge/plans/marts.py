@@ -9,7 +9,7 @@ order; reports sort what they show.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from cellgauge.functions.columns import percent_of, ratio, round_half_up
@@ -48,7 +48,7 @@ def congestion_events(scored: DataFrame) -> DataFrame:
     return scored.where(F.col("severity").isNotNull()).select(*EVENT_COLUMNS)
 
 
-def _tower_hours(scored: DataFrame, unique_hours: bool) -> DataFrame:
+def tower_hours(scored: DataFrame, unique_hours: bool) -> DataFrame:
     """One row per tower and hour: number of readings and of congested readings, sum and count of PRB."""
     prb = F.col("prb_utilization")
     if unique_hours:
@@ -75,20 +75,32 @@ def hotspot_summary(scored: DataFrame, as_of: Column, unique_hours: bool = False
     without the join: an hour with n readings of which c are congested gives n*c joined rows, or n when
     c is 0. ``unique_hours`` states that n is always 1 and saves the shuffle that would establish n."""
     # One column holds the age, so the newest date is asked for once.
-    hours = _tower_hours(scored, unique_hours).withColumn("age", F.datediff(as_of, F.to_date("event_hour")))
+    hours = tower_hours(scored, unique_hours).withColumn("age", F.datediff(as_of, F.to_date("event_hour")))
     hot = F.col("congested") > 0
-    copies = F.greatest(F.col("congested"), F.lit(1))
     in_week, in_month = F.col("age") <= 7, F.col("age") <= 30
-    by_hour = hours.groupBy("tower_id", F.hour("event_hour").alias("hour_of_day")).agg(
-        F.count_if(in_week).alias("seen_7d"),
-        F.count_if(in_week & hot).alias("hot_7d"),
-        F.count_if(in_month).alias("seen_30d"),
-        F.count_if(in_month & hot).alias("hot_30d"),
-        F.count_if(hot).alias("hot_all"),
+    windows = {
+        "seen_7d": F.count_if(in_week),
+        "hot_7d": F.count_if(in_week & hot),
+        "seen_30d": F.count_if(in_month),
+        "hot_30d": F.count_if(in_month & hot),
+    }
+    return hotspots_of_hours(hotspot_hours(hours.groupBy("tower_id", F.hour("event_hour").alias("hour_of_day")), windows))
+
+
+def hotspot_hours(grouped: GroupedData, counts: dict[str, Column]) -> DataFrame:
+    """Sums over tower-hours (see :func:`tower_hours`) that hotspots are made of, and the given counts."""
+    copies = F.greatest(F.col("congested"), F.lit(1))
+    return grouped.agg(
+        *(c.alias(n) for n, c in counts.items()),
+        F.count_if(F.col("congested") > 0).alias("hot_all"),
         F.sum(F.col("prb_sum") * copies).alias("prb_sum"),
         F.sum(F.col("prb_count") * copies).alias("prb_count"),
         F.sum(F.col("readings") * F.col("congested")).alias("weight"),
     )
+
+
+def hotspots_of_hours(by_hour: DataFrame) -> DataFrame:
+    """The hotspot mart from sums by tower and hour of day."""
     # Most frequent hour, the smallest on a tie: the weight decides, then the hour counts against it.
     votes = F.when(F.col("weight") > 0, F.col("weight") * 24 - F.col("hour_of_day"))
     by_tower = by_hour.groupBy("tower_id").agg(
@@ -115,6 +127,17 @@ def peak_hour_patterns(scored: DataFrame, as_of: Column, stamped: bool = True) -
     )
 
 
+def peaks_of_sums(sums: DataFrame) -> DataFrame:
+    """The peak-hour mart from sums by tower and hour of day: profiled (readings), profiled_prb, profiled_prb_count, warm."""
+    return sums.select(
+        "tower_id",
+        "hour_of_day",
+        ratio("profiled_prb", "profiled_prb_count").alias("avg_prb_utilization"),
+        (F.col("warm") / F.col("profiled") * 100).alias("congestion_occurrence_rate"),
+        F.col("warm").alias("days_congested"),
+    )
+
+
 def network_health_snapshot(scored: DataFrame, as_of: Column) -> DataFrame:
     latest = scored.where((F.col("partition_date") == as_of) & has_profile())
     return latest.groupBy("tower_id").agg(
@@ -181,9 +204,9 @@ def subscriber_impact(events: DataFrame, sessions: DataFrame, **join_options) ->
     )
 
 
-def neighbour_impact(events: DataFrame, telemetry: DataFrame, pairs: DataFrame, surge: float = 1.5) -> DataFrame:
-    """Neighbours that took over more than ``surge`` times the handovers of a congested tower in the
-    same hour; one row per distinct pair of handover counts.
+def surges(events: DataFrame, telemetry: DataFrame, pairs: DataFrame, surge: float = 1.5) -> DataFrame:
+    """(source_tower_id, neighbour_tower_id, source_handovers, neighbour_handovers, event_hour) where a neighbour took over
+    more than ``surge`` times the handovers of a congested tower in the same hour.
 
     The readings are shuffled once on tower and hour and serve both joins."""
     readings = telemetry.where(~F.col("is_sensor_fault")).select("tower_id", "event_hour", "handover_count")
@@ -193,13 +216,24 @@ def neighbour_impact(events: DataFrame, telemetry: DataFrame, pairs: DataFrame,
     )
     # The second use takes the readings under their own names, or Spark would not see the same shuffle.
     fan_out = sources.join(pairs, "source_tower_id").withColumnRenamed("neighbour_tower_id", "tower_id")
-    surges = (
+    return (
         fan_out.join(readings, ["tower_id", "event_hour"])
         .where(F.col("handover_count") > F.col("source_handovers") * surge)
         .withColumnsRenamed({"tower_id": "neighbour_tower_id", "handover_count": "neighbour_handovers"})
+        .select("source_tower_id", "neighbour_tower_id", "source_handovers", "neighbour_handovers", "event_hour")
     )
+
+
+def spillovers(surged: DataFrame) -> DataFrame:
+    """One row per distinct pair of handover counts of :func:`surges`."""
     return (
-        surges.select("source_tower_id", "neighbour_tower_id", "source_handovers", "neighbour_handovers")
+        surged.select("source_tower_id", "neighbour_tower_id", "source_handovers", "neighbour_handovers")
         .distinct()
         .select("source_tower_id", "neighbour_tower_id", F.lit(True).alias("is_spillover"))
     )
+
+
+def neighbour_impact(events: DataFrame, telemetry: DataFrame, pairs: DataFrame, surge: float = 1.5) -> DataFrame:
+    """Neighbours that took over more than ``surge`` times the handovers of a congested tower in the
+    same hour; one row per distinct pair of handover counts."""
+    return spillovers(surges(events, telemetry, pairs, surge))
