@@ -782,3 +782,5 @@ ORACLE["impact_totals_of_no_tower"] = (
 ORACLE["impact_totals_of_tower"] = f"SELECT * EXCLUDE (tower_id) FROM ({ORACLE['impact_totals_of_tower']})"
 for _mart in ("hotspot_summary", "peak_hour_patterns", "neighbour_impact", "subscriber_impact"):
     ORACLE[f"{_mart}_published"] = ORACLE[_mart]
+ORACLE["neighbour_pairs_updated"] = ORACLE["neighbour_pairs"]
+ORACLE["dated_tree_import"] = ORACLE["staged_telemetry_view"]

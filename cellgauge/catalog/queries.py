@@ -96,15 +96,10 @@ def province_geojson_bounds(spark, sf):
 
 @query
 def province_geojson_document(spark, sf):
-    """Provinces written as one GeoJSON document, as such files usually come, and read back."""
+    """Provinces written as one GeoJSON document with a feature to a line, by many tasks, and read back by many."""
     path = lake.scratch_path(spark, "provinces")
-    feature = F.struct(
-        F.struct(F.col("province_name").alias("NAME_1")).alias("properties"),
-        F.struct(F.lit("MultiPolygon").alias("type"), F.col("polygons").alias("coordinates")).alias("geometry"),
-    )
-    document = b.bind_provinces(spark, sf).agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("value"))
-    document.write.text(path)
-    return cell_source.province_bounds(cell_source.read_provinces(spark, path))
+    cell_source.write_feature_lines(b.bind_provinces(spark, sf), path, "NAME_1")
+    return cell_source.province_bounds(cell_source.read_feature_lines(spark, path))
 
 
 @query
@@ -131,9 +126,16 @@ def lake_row_counts(spark, sf):
     """Rows of the table as written, of each date, by footers."""
     path = lake.scratch_path(spark, "telemetry")
     lake.write_dates(network(spark, sf).telemetry, path)
-    days = lake.partition_dates(lake.read_dates(spark, path, TELEMETRY_SCHEMA))
-    counts = [(d, lake.row_count(spark, path, TELEMETRY_SCHEMA, d)) for d in days]
-    return spark.createDataFrame(counts, "partition_date DATE, row_count BIGINT")
+    return lake.row_counts(spark, path, TELEMETRY_SCHEMA)
+
+
+@query
+def dated_tree_import(spark, sf):
+    """Telemetry laid out as raw/telemetry/YYYY/MM/DD, one half of January laid out again, and read back with dates from the paths."""
+    n, root = network(spark, sf), lake.scratch_path(spark, "tree")
+    lake.write_dated_tree(n.telemetry, root, "raw", "telemetry")
+    lake.write_dated_tree(n.telemetry.where(F.col("partition_date") >= date(2024, 1, 15)), root, "raw", "telemetry")
+    return lake.read_dated_tree(spark, root, "raw", "telemetry", None, TELEMETRY_SCHEMA).select(*TELEMETRY_SCHEMA.names)
 
 
 @query
@@ -357,6 +359,20 @@ def neighbour_pairs(spark, sf):
     return network(spark, sf).neighbour_pairs
 
 
+@query
+def neighbour_pairs_updated(spark, sf):
+    """Pairs of a network in which every fifth tower was missing, every seventh stood elsewhere and some were to go, brought up to date."""
+    from cellgauge.operators import spatial
+
+    after, k = b.bind_towers(spark, sf), F.col("cell")
+    moved = after.withColumn("lat", F.when(k % 7 == 0, F.col("lat") + 0.013).otherwise(F.col("lat")))
+    extra = after.where(k % 11 == 0).withColumns({"tower_id": F.concat(F.lit("old-"), "tower_id"), "lon": F.col("lon") + 0.004})
+    before = moved.where(k % 5 != 0).unionByName(extra)
+    path = lake.scratch_path(spark, "pairs")
+    spatial.neighbour_pairs(before).write.parquet(path)
+    return spatial.updated_pairs(spark.read.parquet(path), before, after)
+
+
 @query
 def neighbour_distances(spark, sf):
     n = network(spark, sf)

@@ -41,8 +41,9 @@ def neighbour_pairs(
     radius_m: float = 3000.0,
     max_rows: int = BROADCAST_ROWS,
     task_rows: int = PAIR_TASK_ROWS,
+    sources: DataFrame | None = None,
 ) -> DataFrame:
-    """Ordered pairs of different towers less than radius_m apart.
+    """Ordered pairs of different towers less than radius_m apart; with ``sources`` (tower_id) those that begin with one of them.
 
     Each tower sits in one cell of a latitude-row grid whose cells widen towards the poles. As a
     source it looks into three rows and, in each, the cells its longitude reach covers, also across
@@ -75,8 +76,9 @@ def neighbour_pairs(
     over_west = F.when(west < -180.0, cells(F.greatest(west + 360.0, F.lit(-180.0)), F.lit(180.0)))
     over_east = F.when(east > 180.0, cells(F.lit(-180.0), F.least(east - 360.0, F.lit(180.0))))
     none = F.array().cast("array<bigint>")
-    sources = (
-        places.repartition("tower_id")
+    some = places if sources is None else places.join(sources.select("tower_id").distinct(), "tower_id", "left_semi")
+    looking = (
+        some.repartition("tower_id")
         .withColumn("_x", wrapped)
         .withColumn("_reach", reach)
         .withColumn("_row", F.explode(F.sequence(row_of - 1, row_of + 1)))
@@ -95,21 +97,45 @@ def neighbour_pairs(
             F.col("lon").alias("_lon_a"),
         )
     )
-    met = spread_join(
-        sources,
-        targets,
-        ["_row", "_col"],
-        "inner",
-        F.col("source_tower_id"),
-        max_rows=max_rows,
-        task_rows=task_rows,
-    )
+    # The few sources of a change go to the towers of the cells they look into; else towers are met by all sources.
+    big, small, salt = (looking, targets, "source_tower_id") if sources is None else (targets, looking, "neighbour_tower_id")
+    met = spread_join(big, small, ["_row", "_col"], "inner", F.col(salt), max_rows=max_rows, task_rows=task_rows)
     near = great_circle_m("_lat_a", "_lon_a", "_lat_b", "_lon_b") < radius_m
     return met.where((F.col("source_tower_id") != F.col("neighbour_tower_id")) & near).select(
         "source_tower_id", "neighbour_tower_id"
     )
 
 
+def moved_towers(before: DataFrame, after: DataFrame) -> DataFrame:
+    """tower_id of towers that are new, gone or in another place. A tower without coordinates has no place."""
+    place = lambda df, n: df.select("tower_id", F.struct("lat", "lon").alias(n))
+    both = place(before, "_old").join(place(after, "_new"), "tower_id", "full")
+    same = F.col("_old").isNotNull() & F.col("_new").isNotNull() & F.col("_old").eqNullSafe(F.col("_new"))
+    return both.where(~same).select("tower_id")
+
+
+def updated_pairs(
+    pairs: DataFrame,
+    before: DataFrame,
+    after: DataFrame,
+    radius_m: float = 3000.0,
+    max_rows: int = BROADCAST_ROWS,
+    task_rows: int = PAIR_TASK_ROWS,
+) -> DataFrame:
+    """:func:`neighbour_pairs` of ``after``, from those of ``before``: pairs of towers that were added, moved or deleted go, and moved
+    and added ones are looked up anew. Only towers of the cells these look into are compared; no other pair is worked out again.
+    Tower ids are unique in both tables."""
+    moved = moved_towers(before, after)
+    kept = pairs
+    for end in ("source_tower_id", "neighbour_tower_id"):
+        gone = moved.select(F.col("tower_id").alias(end))
+        kept = spread_join(kept, gone, [end], "left_anti", F.struct(*pairs.columns), max_rows=max_rows, task_rows=task_rows)
+    out = neighbour_pairs(after, radius_m, max_rows, task_rows, sources=moved)
+    back = out.select(F.col("neighbour_tower_id").alias("source_tower_id"), F.col("source_tower_id").alias("neighbour_tower_id"))
+    # Between two moved towers both directions are found twice.
+    return kept.select("source_tower_id", "neighbour_tower_id").unionByName(out.unionByName(back).distinct())
+
+
 def polygon_candidates(
     points: DataFrame,
     edges: DataFrame,

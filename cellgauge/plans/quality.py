@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgauge.operators.joins import spread_join
-from cellgauge.plans.scoring import tower_profile
 from cellgauge.schemas import ALERT_STATUSES, CELL_TYPES, SERVICE_TYPES, SEVERITIES
 
 
@@ -126,42 +125,98 @@ def tower_master_problems(towers: DataFrame, expected_count: int | Column) -> Da
     )
 
 
+def _found(name: str, when: Column | None = None, text: Column | None = None, hour: Column | None = None) -> Column:
+    """What a check takes from a row: its name and, where rows are counted by value, up to two parts of a key."""
+    one = F.struct(
+        F.lit(name).alias("check_name"),
+        (F.lit(None) if text is None else text).cast("string").alias("text"),
+        (F.lit(None) if hour is None else hour).cast("timestamp_ntz").alias("hour"),
+    )
+    return one if when is None else F.when(when, one)
+
+
 def standard_checks(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(check_name, violations), one row per standing check, zero included.
 
     Expects towers, subscribers, telemetry, sessions, events, hotspots and alerts; with thresholds also
-    the events without any."""
-
-    def total(name: str, found: DataFrame) -> DataFrame:
-        return found.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check_name"), "violations")
-
-    def no_nulls(table: str, *columns: str) -> DataFrame:
-        missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
-        return total(f"{table} {'/'.join(columns)} not null", tables[table].where(missing))
-
-    def accepted(table: str, column: str, values: Sequence[str]) -> DataFrame:
-        return total(f"{table} {column} accepted", unexpected_values(tables[table], column, values))
-
-    parts = [
+    the events without any.
+
+    Each table is scanned once for all of its checks: a row gives the values that a check counts by, or itself where it breaks a
+    rule. Values are counted with map-side combine; keys are looked up in towers and profiles once per distinct key, by
+    one join for all checks."""
+    T = {n: F.col(n) for n in ("tower_id", "event_hour", "severity", "cell_type", "service_type", "status", "subscriber_id", "prb_utilization")}
+    seen: list[DataFrame] = []
+    # How the counted values of a check become violations.
+    rule: dict[str, str] = {}
+
+    def scan(table: str, *found: tuple[str, str, Column]) -> None:
+        rule.update((name, kind) for name, kind, _ in found)
+        each = F.filter(F.array(*(c for _, _, c in found)), lambda x: x.isNotNull())
+        seen.append(tables[table].select(F.explode(each).alias("_f")).select("_f.*"))
+
+    def no_nulls(table: str, *columns: str) -> tuple[str, str, Column]:
+        name = f"{table} {'/'.join(columns)} not null"
+        return name, "rows", _found(name, reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns]))
+
+    def unique(table: str, column: str, hour: str | None = None) -> tuple[str, str, Column]:
+        name = f"{table} {column}{'/' + hour if hour else ''} unique"
+        return name, "repeated", _found(name, None, F.col(column), F.col(hour) if hour else None)
+
+    def accepted(table: str, column: str, values: Sequence[str]) -> tuple[str, str, Column]:
+        name = f"{table} {column} accepted"
+        return name, "values", _found(name, ~T[column].isin(*values), T[column])
+
+    prb = T["prb_utilization"]
+    out_of_range = (prb < 0) | ((prb > 100) & ~F.col("is_sensor_fault"))
+    scan(
+        "telemetry",
         no_nulls("telemetry", "tower_id", "event_hour"),
+        unique("telemetry", "tower_id", "event_hour"),
+        ("telemetry prb range", "any", _found("telemetry prb range", out_of_range)),
+    )
+    known = "sessions tower known"
+    scan(
+        "sessions",
         no_nulls("sessions", "subscriber_id", "tower_id"),
+        accepted("sessions", "service_type", SERVICE_TYPES),
+        (known, "orphans", _found(known, T["tower_id"].isNotNull(), T["tower_id"])),
+    )
+    known, defined = "events tower known", "events threshold defined"
+    scan(
+        "events",
         no_nulls("events", "tower_id", "severity"),
-        no_nulls("towers", "tower_id", "cell_type"),
-        no_nulls("hotspots", "tower_id"),
-        no_nulls("subscribers", "subscriber_id"),
-        total("towers tower_id unique", duplicates(tables["towers"], ["tower_id"])),
-        total("hotspots tower_id unique", duplicates(tables["hotspots"], ["tower_id"])),
-        total("subscribers subscriber_id unique", duplicates(tables["subscribers"], ["subscriber_id"])),
-        total("telemetry tower_id/event_hour unique", duplicates(tables["telemetry"], ["tower_id", "event_hour"])),
         accepted("events", "severity", SEVERITIES),
-        accepted("towers", "cell_type", CELL_TYPES),
-        accepted("sessions", "service_type", SERVICE_TYPES),
-        accepted("alerts", "status", ALERT_STATUSES),
-        total("telemetry prb range", prb_out_of_range(tables["telemetry"])),
-        total("events tower known", orphans(tables["events"], tables["towers"], "tower_id", F.col("tower_id"))),
-        total("sessions tower known", orphans(tables["sessions"], tables["towers"], "tower_id", F.col("tower_id"))),
-    ]
+        (known, "orphans", _found(known, T["tower_id"].isNotNull(), T["tower_id"])),
+        *([(defined, "profiles", _found(defined, None, T["tower_id"]))] if "thresholds" in tables else []),
+    )
+    scan("towers", no_nulls("towers", "tower_id", "cell_type"), unique("towers", "tower_id"), accepted("towers", "cell_type", CELL_TYPES))
+    scan("hotspots", no_nulls("hotspots", "tower_id"), unique("hotspots", "tower_id"))
+    scan("subscribers", no_nulls("subscribers", "subscriber_id"), unique("subscribers", "subscriber_id"))
+    scan("alerts", accepted("alerts", "status", ALERT_STATUSES))
+
+    counted = reduce(DataFrame.unionByName, seen).groupBy("check_name", "text", "hour").agg(F.count(F.lit(1)).alias("n"))
+    names = {kind: [n for n, k in rule.items() if k == kind] for kind in ("rows", "repeated", "any", "values", "orphans", "profiles")}
+    of = lambda kind: F.col("check_name").isin(names[kind]) if names[kind] else F.lit(False)
+    # Towers once: known at all, and with a profile.
+    limits = F.lit(False)
+    parents = tables["towers"].select("tower_id", "cell_type")
     if "thresholds" in tables:
-        profile = tower_profile(tables["towers"], tables["thresholds"])
-        parts.append(total("events threshold defined", events_without_threshold(tables["events"], profile)))
-    return reduce(DataFrame.unionByName, parts)
+        typed = tables["thresholds"].select("cell_type", F.lit(True).alias("_typed")).distinct()
+        parents = parents.join(typed, "cell_type", "left")
+        limits = F.coalesce("_typed", F.lit(False))
+    parents = parents.groupBy(F.col("tower_id").alias("_key")).agg(F.lit(True).alias("_tower"), F.max(limits).alias("_profile"))
+    # Checks that look nothing up have no key there.
+    keyed = counted.withColumn("_key", F.when(of("orphans") | of("profiles"), F.col("text")))
+    looked = spread_join(keyed, parents, ["_key"], "left", F.struct("check_name", "text", "hour"))
+    broken = (
+        F.when(of("repeated"), (F.col("n") > 1).cast("int"))
+        .when(of("any") | of("values"), 1)
+        .when(of("orphans"), F.col("_tower").isNull().cast("int"))
+        .when(of("profiles"), F.when(F.coalesce("_profile", F.lit(False)), 0).otherwise(F.col("n")))
+        .otherwise(F.col("n"))
+    )
+    found = looked.select("check_name", broken.cast("long").alias("violations"))
+    # A row for each check, so that those without a violation show.
+    spark = tables["towers"].sparkSession
+    spine = spark.range(1).select(F.explode(F.array(*(F.lit(n) for n in rule))).alias("check_name"), F.lit(0).cast("long").alias("violations"))
+    return found.unionByName(spine).groupBy("check_name").agg(F.sum("violations").alias("violations"))

@@ -41,15 +41,47 @@ def read_provinces(
 
     A file is one feature collection, or has one collection per line if not ``one_document``; only the
     latter can be split between tasks. The name is the first known name property that any feature has, or else the first property."""
-    features = (
-        spark.read.schema("features ARRAY<STRING>")
-        .json(path, multiLine=one_document)
-        .select(F.explode("features").alias("feature"))
-        .select(
-            F.from_json(F.get_json_object("feature", "$.properties"), "MAP<STRING, STRING>").alias("properties"),
-            F.get_json_object("feature", "$.geometry.type").alias("kind"),
-            F.get_json_object("feature", "$.geometry.coordinates").alias("coordinates"),
-        )
+    found = spark.read.schema("features ARRAY<STRING>").json(path, multiLine=one_document)
+    return _provinces(found.select(F.explode("features").alias("feature")), name_property)
+
+
+def write_feature_lines(provinces: DataFrame, path: str, name_property: str = "nama") -> None:
+    """(province_name, polygons) as one GeoJSON feature collection that is spread over files: in the order of their names they are
+    one document, with a feature to a line. Each task writes its own features."""
+    feature = F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct(F.col("province_name").alias(name_property)).alias("properties"),
+        F.struct(F.lit("MultiPolygon").alias("type"), F.col("polygons").alias("coordinates")).alias("geometry"),
+    )
+    spark = provinces.sparkSession
+    lines = provinces.select(F.to_json(feature).alias("value"))
+    lines = lines.select(F.lit(1).alias("part"), F.xxhash64("value", F.monotonically_increasing_id()).alias("at"), "value")
+    ends = spark.range(1).select(
+        F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit('{"type":"FeatureCollection","features":[').alias("value")), F.struct(F.lit(2).alias("part"), F.lit("]}").alias("value")))).alias("e")
+    )
+    # All features but one are preceded by a comma.
+    order = ["part", "at"]
+    ends = ends.select("e.part", F.lit(0).cast("long").alias("at"), "e.value")
+    every = lines.withColumn("value", F.concat(F.lit(","), "value")).unionByName(ends)
+    first = F.when(F.col("part") == 1, F.col("at")).otherwise(None)
+    laid = every.withColumn("_first", every.agg(F.min(first)).scalar())
+    value = F.when((F.col("part") == 1) & (F.col("at") == F.col("_first")), F.substring("value", 2, 2**31 - 1)).otherwise(F.col("value"))
+    laid.repartitionByRange(*order).sortWithinPartitions(*order).select(value.alias("value")).write.text(path)
+
+
+def read_feature_lines(spark: SparkSession, path: str, name_property: str | None = None) -> DataFrame:
+    """(province_name, polygons) of GeoJSON with a feature to a line, as :func:`write_feature_lines` and most tools lay it out; lines
+    are parsed wherever a split begins. Lines that are no feature (the collection's head and end) are passed over."""
+    line = F.regexp_replace(F.trim("value"), "^,|,$", "")
+    lines = spark.read.text(path).select(line.alias("feature")).where(F.get_json_object("feature", "$.geometry").isNotNull())
+    return _provinces(lines, name_property)
+
+
+def _provinces(lines: DataFrame, name_property: str | None) -> DataFrame:
+    features = lines.select(
+        F.from_json(F.get_json_object("feature", "$.properties"), "MAP<STRING, STRING>").alias("properties"),
+        F.get_json_object("feature", "$.geometry.type").alias("kind"),
+        F.get_json_object("feature", "$.geometry.coordinates").alias("coordinates"),
     )
     if name_property is not None:
         name = F.try_element_at("properties", F.lit(name_property))

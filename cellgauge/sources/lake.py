@@ -71,6 +71,32 @@ def read_dated_tree(
     return files.withColumn(PARTITION, F.to_date(day, "yyyy/MM/dd"))
 
 
+def write_dated_tree(df: DataFrame, root: str, zone: str, dataset: str) -> None:
+    """Lay the rows out as zone/dataset/YYYY/MM/DD. All dates are written by one job next to the tree; their folders then move
+    into it one by one, each replacing the date that was there."""
+    if zone not in ZONES:
+        raise ValueError(f"Unknown zone: {zone}")
+    spark = df.sparkSession
+    tree, aside = f"{root}/{zone}/{dataset}", f"{root}/{zone}/_{dataset}-{uuid.uuid4().hex}"
+    day = F.date_format(PARTITION, "yyyy-MM-dd")
+    df.withColumn("_day", day).drop(PARTITION).hint("rebalance", F.col("_day")).write.partitionBy("_day").parquet(aside)
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    fs = folder(aside).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder(aside)):
+        name = status.getPath().getName()
+        if name.startswith("_day="):
+            target = folder(f"{tree}/{name[5:].replace('-', '/')}")
+            fs.delete(target, True)
+            fs.mkdirs(target.getParent())
+            fs.rename(status.getPath(), target)
+    fs.delete(folder(aside), True)
+
+
+def row_counts(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """(partition_date, row_count) of each date of a table. No column is read, only what the files say about themselves."""
+    return read_dates(spark, path, schema).groupBy(PARTITION).agg(F.count(F.lit(1)).alias("row_count"))
+
+
 def new_snapshot(df: DataFrame, root: str) -> str:
     """Write df to a directory of its own under root and return it. The path being read is never
     overwritten, so a failed run leaves the previous snapshot whole."""

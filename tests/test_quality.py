@@ -3,6 +3,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from cellgauge.plans import quality, scoring
+from cellgauge.plans.scoring import tower_profile
 
 from conftest import by_key, rows
 
@@ -89,3 +90,62 @@ def test_tower_master(seed):
 def test_orphans(seed, spark):
     child = spark.createDataFrame([(T1,), ("x",), ("x",), (None,)], "tower_id STRING")
     assert by_key(quality.orphans(child, seed.towers, "tower_id", F.col("tower_id")), "tower_id", "violations") == {"x": 2}
+
+
+def test_standard_checks_scan_each_table_once(spark, seed, tmp_path):
+    tables = {
+        "towers": seed.towers,
+        "subscribers": seed.sessions.select("subscriber_id").distinct(),
+        "telemetry": seed.telemetry,
+        "sessions": seed.sessions,
+        "events": seed.congestion_events,
+        "hotspots": seed.hotspot_summary,
+        "alerts": spark.createDataFrame([("ACTIVE",), ("LOST",), ("LOST",), (None,)], "status string"),
+        "thresholds": seed.thresholds,
+    }
+    stored = {}
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / name))
+        stored[name] = spark.read.parquet(str(tmp_path / name))
+    found = quality.standard_checks(stored)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Towers are also looked up, for all checks at once, and their types' thresholds with them.
+    scans = [line for line in plan.splitlines() if "Relation [" in line]
+    assert len(scans) == len(tables) + 1
+    got = {r.check_name: r.violations for r in found.collect()}
+    assert len(got) == 18 and {n: v for n, v in got.items() if v} == {"alerts status accepted": 1}
+
+
+def test_standard_checks_count_as_single_checks_do(spark, seed):
+    T = seed.towers
+    odd = T.withColumn("cell_type", F.lit("moon")).unionByName(T.limit(1)).unionByName(T.limit(1).withColumn("cell_type", F.lit(None)))
+    lost = seed.telemetry.unionByName(seed.telemetry.limit(5)).unionByName(seed.telemetry.limit(2).withColumn("tower_id", F.lit(None)))
+    events = seed.congestion_events.withColumn("tower_id", F.when(F.hour("event_hour") == 9, "gone").when(F.hour("event_hour") != 10, F.col("tower_id")))
+    sessions = seed.sessions.withColumn("tower_id", F.lit("far")).withColumn("service_type", F.lit("fax"))
+    tables = {
+        "towers": odd,
+        "subscribers": seed.sessions.select("subscriber_id"),
+        "telemetry": lost.withColumn("prb_utilization", F.lit(-1.0)),
+        "sessions": sessions,
+        "events": events,
+        "hotspots": seed.hotspot_summary,
+        "alerts": spark.createDataFrame([], "status string"),
+        "thresholds": seed.thresholds,
+    }
+    got = {r.check_name: r.violations for r in quality.standard_checks(tables).collect()}
+    profile = tower_profile(odd, seed.thresholds)
+    want = {
+        "telemetry tower_id/event_hour not null": lost.where("tower_id IS NULL").count(),
+        "telemetry tower_id/event_hour unique": quality.duplicates(lost, ["tower_id", "event_hour"]).count(),
+        "telemetry prb range": 1,
+        "towers tower_id/cell_type not null": 1,
+        "towers tower_id unique": quality.duplicates(odd, ["tower_id"]).count(),
+        "towers cell_type accepted": 1,
+        "subscribers subscriber_id unique": 1,
+        "sessions service_type accepted": 1,
+        "sessions tower known": 1,
+        "events tower_id/severity not null": events.where("tower_id IS NULL").count(),
+        "events tower known": quality.orphans(events, odd, "tower_id", F.col("tower_id")).count(),
+        "events threshold defined": quality.events_without_threshold(events, profile).count(),
+    }
+    assert {n: v for n, v in got.items() if v} == {n: v for n, v in want.items() if v}

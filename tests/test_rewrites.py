@@ -11,7 +11,7 @@ from cellgauge.functions.columns import great_circle_m
 from cellgauge.operators.intervals import sessions_in_hours
 from cellgauge.operators.joins import fits, hot_keys, spread_join
 from cellgauge.operators.sampling import take_by_hash
-from cellgauge.operators.spatial import neighbour_pairs, point_in_polygon, polygon_candidates
+from cellgauge.operators.spatial import neighbour_pairs, point_in_polygon, polygon_candidates, updated_pairs
 from cellgauge.plans import marts
 from cellgauge.sources.cells import province_edges
 
@@ -311,3 +311,27 @@ def test_take_by_hash_paths_agree(spark, n):
     large = rows(take_by_hash(df, n, priority, digest, top_n_rows=0))
     assert small == large and len(small) == min(n, 1000)
     assert sum(i < 250 for (i,) in small) == min(n, 250)
+
+
+def test_updated_pairs_equal_a_rebuild(spark):
+    """Towers added, moved, deleted, moved to a place of no other, and without coordinates, some across the date line."""
+    rng = random.Random(4)
+
+    def place():
+        return rng.choice([179.99, -179.99, 10.0]) + rng.uniform(-0.03, 0.03), rng.choice([0.0, 60.0]) + rng.uniform(-0.03, 0.03)
+
+    before = {f"t{i}": place() for i in range(240)}
+    after = {t: place() if i % 6 == 0 else p for i, (t, p) in enumerate(before.items()) if i % 7}
+    after |= {f"n{i}": place() for i in range(30)} | {"t1": (None, None), "t2": (100.0, 0.0), "t3": None or before["t4"]}
+
+    def frame(towers):
+        return spark.createDataFrame([(t, lat, lon) for t, (lon, lat) in towers.items()], "tower_id string, lat double, lon double")
+
+    old, new = frame(before), frame(after)
+    for max_rows, task_rows in ((10**6, 20_000), (5, 3)):
+        got = updated_pairs(neighbour_pairs(old), old, new, max_rows=max_rows, task_rows=task_rows)
+        want = rows(neighbour_pairs(new))
+        assert rows(got) == want and len(want) > 200
+    assert rows(updated_pairs(neighbour_pairs(old), old, old)) == rows(neighbour_pairs(old))
+    assert updated_pairs(neighbour_pairs(old), old, old.limit(0)).isEmpty()
+    assert rows(updated_pairs(neighbour_pairs(old).limit(0), old.limit(0), new)) == rows(neighbour_pairs(new))

@@ -1,3 +1,4 @@
+import json
 from datetime import date
 
 import pytest
@@ -149,3 +150,33 @@ def test_refreshing_dates_equals_a_full_build(seed, spark, tmp_path):
     refresh_dates(calm, str(tmp_path / "part"), last, last)
     left = spark.read.parquet(str(tmp_path / "part" / "congestion_events"))
     assert left.where(F.col("partition_date") == F.lit(last)).count() == 0 and left.count() > 0
+
+
+def test_geojson_with_a_feature_to_a_line(spark, tmp_path):
+    square = [[[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]]]
+    provinces = spark.createDataFrame([(n, square) for n in ["A", "B", "C, {", None, "B"]], "province_name string, polygons array<array<array<array<double>>>>").repartition(3)
+    path = str(tmp_path / "lines")
+    cells.write_feature_lines(provinces, path)
+    files = sorted((tmp_path / "lines").glob("part-*"))
+    text = "".join(f.read_text() for f in files)
+    assert len(json.loads(text)["features"]) == 5
+    assert rows(cells.read_feature_lines(spark, path)) == rows(provinces)
+    (tmp_path / "one.json").write_text(text)
+    assert rows(cells.read_provinces(spark, str(tmp_path / "one.json"))) == rows(provinces)
+    cells.write_feature_lines(provinces.limit(0), str(tmp_path / "none"))
+    assert json.loads("".join(f.read_text() for f in sorted((tmp_path / "none").glob("part-*")))) == {"type": "FeatureCollection", "features": []}
+    assert cells.read_feature_lines(spark, str(tmp_path / "none")).isEmpty()
+
+
+def test_dated_tree_is_written_in_one_job_and_replaced_by_date(spark, seed, tmp_path):
+    root = str(tmp_path)
+    t = seed.telemetry
+    lake.write_dated_tree(t, root, "raw", "telemetry")
+    assert (tmp_path / "raw/telemetry/2025/06/21").is_dir() and not list((tmp_path / "raw").glob("_*"))
+    half = t.where((F.col("partition_date") == date(2025, 6, 21)) & (F.hour("event_hour") < 12))
+    lake.write_dated_tree(half, root, "raw", "telemetry")
+    got = lake.read_dated_tree(spark, root, "raw", "telemetry", None, TELEMETRY_SCHEMA).select(*t.columns)
+    want = t.where((F.col("partition_date") != date(2025, 6, 21)) | (F.hour("event_hour") < 12))
+    assert rows(got) == rows(want)
+    lake.write_dates(t, str(tmp_path / "t"))
+    assert rows(lake.row_counts(spark, str(tmp_path / "t"), TELEMETRY_SCHEMA)) == rows(t.groupBy("partition_date").count())
