@@ -5,8 +5,11 @@ cell-site rows, nations are provinces. All of it is derived by Spark from the wh
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cellgauge.functions.columns import hour_floor, sensor_fault
 from cellgauge.network import Network
@@ -21,8 +24,16 @@ from cellgauge.schemas import (
 )
 
 
+@cache
+def _schema(application: str, path: str) -> StructType:
+    """Columns of a given table, asked for once by an application: Spark runs a job for them at each read."""
+    return SparkSession.active().read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Its files are listed anew each time; only its columns are taken as they were."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(spark.sparkContext.applicationId, path)).parquet(path)
 
 
 def _pick(key: Column, values: list) -> Column:

@@ -127,15 +127,31 @@ def _truncated(c, is_text: bool) -> Column:
     return F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x))
 
 
-def to_counter(c, is_text: bool = False, width: str = "int") -> Column:
+def _out_of_range(x: Column, width: str) -> Column:
+    """Whether the whole part of a double lies outside the type; the bounds are doubles without rounding."""
+    low = F.lit(-9.223372036854775808e18) if width == "bigint" else F.lit(-2147483649.0)
+    return (x >= (9.223372036854775808e18 if width == "bigint" else 2147483648.0)) | (x < low if width == "bigint" else x <= low)
+
+
+def to_counter(c, is_text: bool = False, width: str = "int", kind: str = "") -> Column:
     """Whole number, truncated; missing or unreadable counts as 0. One out of range is NULL, see
-    :func:`counter_overflow`."""
+    :func:`counter_overflow`. ``kind`` double or whole names the field's type and spares it the way through decimals."""
+    x = _col(c)
+    if kind == "double":
+        return F.when(x.isNull() | F.isnan(x), F.lit(0).cast(width)).when(~_out_of_range(x, width), x.try_cast(width))
+    if kind == "whole":
+        return F.when(x.isNull(), F.lit(0).cast(width)).otherwise(x.try_cast(width))
     wanted = _truncated(c, is_text).try_cast(width)
     return F.when(counter_overflow(c, is_text, width), F.lit(None)).otherwise(F.coalesce(wanted, F.lit(0).cast(width)))
 
 
-def counter_overflow(c, is_text: bool = False, width: str = "int") -> Column:
+def counter_overflow(c, is_text: bool = False, width: str = "int", kind: str = "") -> Column:
     """Whether the field is a number that the counter's type cannot hold."""
+    x = _col(c)
+    if kind == "double":
+        return x.isNotNull() & ~F.isnan(x) & _out_of_range(x, width)
+    if kind == "whole":
+        return x.isNotNull() & x.try_cast(width).isNull()
     number = to_number(c, is_text)
     return number.isNotNull() & _truncated(c, is_text).try_cast(width).isNull()
 

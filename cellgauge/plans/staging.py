@@ -9,7 +9,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, IntegralType, StringType
 
 from cellgauge.functions.columns import counter_overflow, sensor_fault, to_counter, to_number, to_timestamp_ntz
 from cellgauge.operators.dedupe import keep_first
@@ -24,6 +24,11 @@ def _is_text(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, StringType)
 
 
+def _kind(df: DataFrame, name: str) -> str:
+    t = df.schema[name].dataType
+    return "double" if isinstance(t, DoubleType) else "whole" if isinstance(t, IntegralType) else ""
+
+
 def _stamp(partition_date: date | None, ts: str) -> Column:
     return F.to_date(ts) if partition_date is None else F.lit(partition_date)
 
@@ -48,7 +53,7 @@ def clean_telemetry(
         to_timestamp_ntz("event_hour").alias("event_hour"),
         *(to_number(c, _is_text(raw, c)).alias(c) for c in MEASURES if c in raw.columns),
         *(F.lit(None).cast("double").alias(c) for c in MEASURES if c not in raw.columns),
-        *(to_counter(c, _is_text(raw, c)).alias(c) for c in COUNTERS),
+        *(to_counter(c, _is_text(raw, c), kind=_kind(raw, c)).alias(c) for c in COUNTERS),
     ).where(F.col("event_hour").isNotNull() & F.col(COUNTERS[0]).isNotNull() & F.col(COUNTERS[1]).isNotNull())
     out = typed.withColumn("is_sensor_fault", sensor_fault("prb_utilization")).withColumn(
         "partition_date", _stamp(partition_date, "event_hour")
@@ -62,7 +67,7 @@ def rejected_telemetry(raw: DataFrame) -> DataFrame:
     """Raw rows whose hour is missing or unreadable, or with a counter out of range."""
     bad = to_timestamp_ntz("event_hour").isNull()
     for c in COUNTERS:
-        bad |= counter_overflow(c, _is_text(raw, c))
+        bad |= counter_overflow(c, _is_text(raw, c), kind=_kind(raw, c))
     return raw.where(bad)
 
 
@@ -86,7 +91,7 @@ def clean_sessions(
         to_timestamp_ntz("session_end").alias("session_end"),
         to_number("session_duration_min", _is_text(raw, "session_duration_min")).alias("session_duration_min"),
         "service_type",
-        to_counter("bytes_transferred", _is_text(raw, "bytes_transferred"), "bigint").alias("bytes_transferred"),
+        to_counter("bytes_transferred", _is_text(raw, "bytes_transferred"), "bigint", _kind(raw, "bytes_transferred")).alias("bytes_transferred"),
     ).dropna(subset=["subscriber_id", "tower_id", "session_start", "service_type", "bytes_transferred"])
     known = spread_join(
         typed, towers.select("tower_id"), ["tower_id"], "left_semi", F.col("subscriber_id"), small_fits=towers_fit
@@ -119,5 +124,5 @@ def rejected_sessions(raw: DataFrame) -> DataFrame:
         | F.col("tower_id").isNull()
         | F.col("service_type").isNull()
         | to_timestamp_ntz("session_start").isNull()
-        | counter_overflow("bytes_transferred", _is_text(raw, "bytes_transferred"), "bigint")
+        | counter_overflow("bytes_transferred", _is_text(raw, "bytes_transferred"), "bigint", _kind(raw, "bytes_transferred"))
     )

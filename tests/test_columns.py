@@ -83,6 +83,21 @@ def test_counters_out_of_range_are_told_apart_from_missing_ones(column, kind, va
     assert column(c.to_counter("x", text), f"x {kind}", None) == 0
 
 
+@pytest.mark.parametrize("width, low, high", [("int", -(2**31), 2**31 - 1), ("bigint", -(2**63), 2**63 - 1)])
+def test_counters_of_doubles_and_whole_numbers_take_the_short_way(column, width, low, high):
+    values = [0.0, -0.5, 7.9, -7.9, float(low), float(low) - 0.5, float(low) * 1.001, float(high) + 1, 2.0**30, float("nan"), float("-inf"), None]
+    if width == "bigint":
+        # The way through decimals takes the shortest digits of the double, which are below the type's least value.
+        assert column(c.to_counter("x", False, width, "double"), "x DOUBLE", float(low)) == low
+        values = [x for x in values if x != float(low)]
+    for x in values:
+        for f in (c.to_counter, c.counter_overflow):
+            assert column(f("x", False, width, "double"), "x DOUBLE", x) == column(f("x", False, width), "x DOUBLE", x), x
+    for x in [0, low, high, -(2**63), 2**63 - 1, 2**31, None]:
+        for f in (c.to_counter, c.counter_overflow):
+            assert column(f("x", False, width, "whole"), "x BIGINT", x) == column(f("x", False, width), "x BIGINT", x), x
+
+
 @pytest.mark.parametrize("prb, fault", [(100.0, False), (100.1, True), (None, False)])
 def test_sensor_fault(column, prb, fault):
     assert column(c.sensor_fault("x"), "x DOUBLE", prb) is fault
