@@ -19,28 +19,33 @@ WITH d AS (
 ), reps AS (
   SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS p FROM twice) GROUP BY 1
 ), ln AS (
-  SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d
+  SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d
 ), lw AS (
-  SELECT doc_id, source, text, line,
+  SELECT doc_id, source, text, line, k,
     list_filter(regexp_split_to_array(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM ln
 ), lines AS (
-  SELECT doc_id, source, text, line, array_to_string(ws, ' ') AS norm, len(ws) AS n FROM lw WHERE len(ws) > 0
+  SELECT doc_id, source, text, line, k, array_to_string(ws, ' ') AS norm, len(ws) AS n FROM lw WHERE len(ws) > 0
 ), dups AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY 1
 ), hosts AS (
   SELECT source, count(DISTINCT text) AS n FROM d GROUP BY 1
 ), frequent AS (
   SELECT source, norm FROM lines JOIN hosts USING (source) GROUP BY source, norm, hosts.n
-  HAVING count(DISTINCT text) >= 10 AND count(DISTINCT text) > 0.1 * hosts.n
+  HAVING count(DISTINCT text) >= 10 AND (count(DISTINCT text) > 0.1 * hosts.n OR count(DISTINCT text) >= 100)
+), hit AS (
+  SELECT doc_id, k, n FROM lines JOIN frequent USING (source, norm)
 ), gone AS (
-  SELECT doc_id, sum(n) AS n FROM lines JOIN frequent USING (source, norm) GROUP BY 1
+  SELECT doc_id, sum(n) AS n, count(*) AS lines FROM hit GROUP BY 1
+), rest AS (
+  SELECT ln.doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (h.k IS NULL), '') AS kept_text
+  FROM ln LEFT JOIN (SELECT DISTINCT doc_id, k FROM hit) h USING (doc_id, k) GROUP BY 1
 ), base AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(reps.n, 0)::BIGINT AS n_repeat_words,
-    coalesce(gone.n, 0)::BIGINT AS boilerplate_words
-  FROM w LEFT JOIN dups USING (doc_id) LEFT JOIN reps USING (doc_id) LEFT JOIN gone USING (doc_id)
+    coalesce(gone.n, 0)::BIGINT AS boilerplate_words, coalesce(gone.lines, 0)::BIGINT AS n_removed_lines, sha256(kept_text) AS kept_sha256
+  FROM w LEFT JOIN dups USING (doc_id) LEFT JOIN reps USING (doc_id) LEFT JOIN gone USING (doc_id) JOIN rest USING (doc_id)
 ), judged AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgauge.llm.common import SPACES, let, words_of
+from cellgauge.llm.common import SPACES, let, settle, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -14,9 +14,9 @@ MIN_WORDS = 20
 REPEAT_PERCENT = 30
 # A line is boilerplate if at least so many distinct texts of its host hold it ...
 MIN_HOLDERS = 10
-# ... and more than this share of the host's distinct texts.
+# ... and they are more than this share of the host's distinct texts, or
 LINE_SHARE = 0.1
-# A limit that does not grow with the host, for those who ask for it: so many distinct texts are enough.
+# so many, however large the host.
 MOST_HOLDERS = 100
 # A document is depleted if less than this share of its words is left without boilerplate lines.
 LEFT_SHARE = 0.3
@@ -92,9 +92,15 @@ def normal_lines(text: Column) -> Column:
 
 
 def without_lines(text: Column, hashes: Column) -> Column:
-    """The text without the lines whose normalised form has one of the hashes."""
-    kept = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(hashes, F.xxhash64(_normal(x))))
-    return F.when(F.size(hashes) > 0, F.array_join(kept, "\n")).otherwise(text)
+    """(kept_text, n_removed_lines): the text without the lines whose normalised form has one of the hashes, and how many they are."""
+    lines = F.split(text, "\n")
+    kept = F.filter(lines, lambda x: ~F.array_contains(hashes, F.xxhash64(_normal(x))))
+    cut = let(
+        kept,
+        lambda x: F.struct(F.array_join(x, "\n").alias("kept_text"), (F.size(lines) - F.size(x)).cast("long").alias("n_removed_lines")),
+    )
+    whole = F.struct(text.alias("kept_text"), F.lit(0).cast("long").alias("n_removed_lines"))
+    return F.when(F.size(hashes) > 0, cut).otherwise(whole)
 
 
 def line_rules(
@@ -102,13 +108,13 @@ def line_rules(
     host: str = "source",
     min_holders: int = MIN_HOLDERS,
     line_share: float = LINE_SHARE,
-    most_holders: int | None = None,
+    most_holders: int = MOST_HOLDERS,
 ) -> DataFrame:
     """Columns _key, boilerplate_words, boilerplate: words in boilerplate lines, and the hashes of those lines,
     of each distinct text of each host that has any; the key is a hash of both.
 
-    Lines are hashed, one row for each distinct line of each distinct text; exact copies of a text count as
-    one document. Counts have map-side combine; frequent lines meet texts in a join that adaptive execution
+    Lines are hashed, one row for each distinct line of each distinct text, and written once for both uses; exact copies of a text
+    count as one document. Counts have map-side combine; frequent lines meet texts in a join that adaptive execution
     can split, so neither a hot host nor a hot line is a hot task."""
     texts = (
         docs.select(F.col(host).cast("string").alias("_host"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -119,11 +125,12 @@ def line_rules(
         .groupBy("_host", "_text", F.col("_line.h").alias("_h"), F.col("_line.w").alias("_w"))
         .agg(F.count(F.lit(1)).alias("_times"))
     )
+    lines = settle(lines, "lines")
     # Copies of a text add to _times alike for every line of it; the text's own count takes that out again.
     copies = texts.groupBy("_host", "_text").agg(F.count(F.lit(1)).alias("_copies"))
     held = lines.groupBy("_host", "_h").agg(F.count(F.lit(1)).alias("_holders"))
     sizes = copies.groupBy("_host").agg(F.count(F.lit(1)).alias("_texts"))
-    enough = F.lit(False) if most_holders is None else F.col("_holders") >= most_holders
+    enough = F.col("_holders") >= most_holders
     frequent = (
         held.where(F.col("_holders") >= min_holders)
         .join(sizes.withColumnRenamed("_host", "_of"), F.col("_host").eqNullSafe(F.col("_of")))
@@ -146,15 +153,15 @@ def quality_rules(
     min_holders: int = MIN_HOLDERS,
     line_share: float = LINE_SHARE,
     left_share: float = LEFT_SHARE,
-    most_holders: int | None = None,
+    most_holders: int = MOST_HOLDERS,
 ) -> DataFrame:
-    """``docs`` as struct ``doc`` with the base counts, base_failed, boilerplate_words, kept and kept_text, the
-    text without boilerplate lines.
+    """``docs`` as struct ``doc`` with the base counts, base_failed, boilerplate_words, kept, kept_text, the
+    text without boilerplate lines, and n_removed_lines.
 
     A document fails the base for fewer than 20 words or for repeated 8-word windows over more than 30
     percent of its words. Of the others, one is rejected as depleted if less than ``left_share`` of its
     words, or fewer than 20, are outside boilerplate lines: lines held by ``min_holders`` or more distinct
-    texts of its host and by more than ``line_share`` of them or, if given, by ``most_holders``. Exact copies count as one text, so a text is
+    texts of its host, if these are more than ``line_share`` of them or ``most_holders`` or more. Exact copies count as one text, so a text is
     not boilerplate because it was copied.
 
     Null text: no words, fails. Null host: a host like others. Repeated rows get equal verdicts. Very long
@@ -172,7 +179,9 @@ def quality_rules(
     )
     rules = line_rules(docs, host, min_holders, line_share, most_holders)
     left = F.col("n_words") - F.coalesce("boilerplate_words", F.lit(0))
-    return counts.join(rules, "_key", "left").select(
+    hashes = F.coalesce("boilerplate", F.array().cast("array<bigint>"))
+    met = counts.join(rules, "_key", "left").withColumn("_cut", without_lines(F.col("doc.text"), hashes))
+    return met.select(
         "doc",
         "n_words",
         "word_chars",
@@ -182,5 +191,6 @@ def quality_rules(
         "base_failed",
         F.coalesce("boilerplate_words", F.lit(0)).cast("long").alias("boilerplate_words"),
         (~F.col("base_failed") & (left >= MIN_WORDS) & (left >= F.col("n_words") * left_share)).alias("kept"),
-        without_lines(F.col("doc.text"), F.coalesce("boilerplate", F.array().cast("array<bigint>"))).alias("kept_text"),
+        F.col("_cut.kept_text").alias("kept_text"),
+        F.col("_cut.n_removed_lines").alias("n_removed_lines"),
     )

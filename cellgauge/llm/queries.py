@@ -60,7 +60,8 @@ def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return quality.quality_rules(docs).select("doc.doc_id", "*").drop("doc", "kept_text")
+    digest = F.sha2(F.encode(F.coalesce("kept_text", F.lit("")), "UTF-8"), 256).alias("kept_sha256")
+    return quality.quality_rules(docs).select("doc.doc_id", "*", digest).drop("doc", "kept_text")
 
 
 def op8_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
