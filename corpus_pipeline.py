@@ -12,7 +12,7 @@ from cellgauge.llm.common import settle, single, table, text_hash
 from cellgauge.llm.mixing import ORDER, in_mixed_order, mix_sources
 from cellgauge.llm.neardup import verdicts
 from cellgauge.llm.packing import pack_in_order, token_pieces
-from cellgauge.llm.quality import MOST_HOLDERS, quality_rules
+from cellgauge.llm.quality import quality_rules
 from cellgauge.llm.queries import vocabulary
 from cellgauge.llm.repeats import remove_repeats
 from cellgauge.operators.joins import spread_join
@@ -29,7 +29,7 @@ def _with_kept_text(rows: DataFrame, changed: Column, columns: list[str]) -> Dat
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without their boilerplate lines; n_chars counts what is left."""
-    kept = quality_rules(docs, most_holders=MOST_HOLDERS).where("kept")
+    kept = quality_rules(docs).where("kept")
     return _with_kept_text(kept, F.col("kept_text") != F.col("doc.text"), docs.columns)
 
 
@@ -71,7 +71,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-# No SQL: sketches, the packing search and byte-pair ids have no SQL form; tests hold each stage to brute force.
+# No SQL: sketches, the packing search and byte-pair ids have no SQL form; tests hold stages to brute force.
 ORACLE_SQL = None
 
 
