@@ -1,8 +1,8 @@
-"""Exact top-k inner products by a three-phase uniform threshold."""
+"""Exact top-k inner products by three phases: local lists, a safe cutoff, what suffices for it."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,10 @@ K = 20
 # Queries and candidates that meet in one task.
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 8192
-# Lists of partial scores, one for each slice of the components.
-SLICES = 4
+# The first list takes the strongest components that together hold this share of the energy of a block's products.
+HEAD_SHARE = 0.5
+# With more than this share of a block's entries left after pruning, the rest is one matrix product.
+DENSE_SHARE = 0.2
 
 
 def integer_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 64) -> DataFrame:
@@ -37,30 +39,55 @@ def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _lists(q: pa.Table, v: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    width = max(max(map(len, x["vec"]), default=0) for x in (q, v))
-    a = _matrix(q["vec"].combine_chunks(), width)
-    b = _matrix(v["vec"].combine_chunks(), width)
-    cuts = [width * s // SLICES for s in range(SLICES + 1)]
-    lists = [a[:, i:j] @ b[:, i:j].T for i, j in zip(cuts, cuts[1:])]
-    own = q["id"].to_numpy()[:, None] == v["id"].to_numpy()[None, :]
-    for x in lists:
-        x[own] = -np.inf
-    return q["id"].to_numpy(), v["id"].to_numpy(), lists, own
+@dataclass(frozen=True)
+class _Meeting:
+    """Queries and candidates of one task. The first list has the exact products over the strongest components; what the
+    other components can add is bounded by their norms, and worked out only where it is asked for."""
+
+    ids: np.ndarray
+    others: np.ndarray
+    first: np.ndarray
+    own: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+
+    @staticmethod
+    def of(q: pa.Table, v: pa.Table) -> _Meeting:
+        width = max(max(map(len, x["vec"]), default=0) for x in (q, v))
+        a, b = _matrix(q["vec"].combine_chunks(), width), _matrix(v["vec"].combine_chunks(), width)
+        if len(a) and len(b) and np.linalg.norm(a, axis=1).max() * np.linalg.norm(b, axis=1).max() >= 2**53:
+            raise OverflowError("a score may pass 2^53, beyond which doubles are not exact")
+        energy = (a * a).sum(axis=0) * (b * b).sum(axis=0)
+        by = np.argsort(-energy, kind="stable")
+        total = np.cumsum(energy[by])
+        head = 1 + int(np.searchsorted(total, HEAD_SHARE * total[-1])) if width else 0
+        head, tail = by[:head], by[head:]
+        ids, others = q["id"].to_numpy(), v["id"].to_numpy()
+        first = a[:, head] @ b[:, head].T
+        return _Meeting(ids, others, first, ids[:, None] == others[None, :], a[:, tail], b[:, tail])
+
+    def rest(self, row: int, at: np.ndarray) -> np.ndarray:
+        """Scores of a query's entries, in full."""
+        return self.first[row, at] + self.b[at] @ self.a[row]
+
+    def enough(self, cutoff: np.ndarray) -> np.ndarray:
+        """Entries whose first list and the bound of the others together reach the cutoff; no other can be an answer."""
+        bound = np.linalg.norm(self.a, axis=1)[:, None] * np.linalg.norm(self.b, axis=1)[None, :]
+        # Norms are rounded; scores are whole numbers.
+        return (self.first + bound * (1 + 1e-12) + 1e-3 >= cutoff[:, None]) & ~self.own
 
 
 def _first_lists(k: int):
     def run(q: pa.Table, v: pa.Table) -> pa.Table:
-        ids, _, lists, _ = _lists(q, v)
-        total = sum(lists)
-        n = total.shape[1]
-        seen = np.concatenate([np.argpartition(x, n - k, axis=1)[:, n - k :] if n > k else np.tile(np.arange(n), (len(ids), 1)) for x in lists], axis=1)
+        met = _Meeting.of(q, v)
+        tops = np.where(met.own, -np.inf, met.first)
+        n = tops.shape[1]
         out_q, out_s = [], []
-        for row, query in enumerate(ids):
-            scores = np.sort(total[row, np.unique(seen[row])])[::-1][:k]
-            scores = scores[np.isfinite(scores)]
-            out_q.append(np.full(len(scores), query))
-            out_s.append(scores.astype(np.int64))
+        for row, query in enumerate(met.ids):
+            at = np.argpartition(tops[row], n - k)[n - k :] if n > k else np.arange(n)
+            at = at[~met.own[row, at]]
+            out_q.append(np.full(len(at), query))
+            out_s.append(met.rest(row, at).astype(np.int64))
         return pa.table({"query_id": pa.array(np.concatenate(out_q or [[]]), pa.int64()), "score": pa.array(np.concatenate(out_s or [[]]), pa.int64())})
 
     return run
@@ -68,42 +95,43 @@ def _first_lists(k: int):
 
 def _sufficient(k: int):
     def run(q: pa.Table, v: pa.Table) -> pa.Table:
-        ids, others, lists, own = _lists(q, v)
+        met = _Meeting.of(q, v)
         cutoff = np.array([-np.inf if c is None else c for c in q["cutoff"].to_pylist()], dtype=float)
-        low = [np.where(np.isfinite(x), x, np.inf).min(axis=1, initial=np.inf, keepdims=True) for x in lists]
-        # Lists shifted to start at 0: an entry under the uniform share in every list is under the cutoff.
-        share = (cutoff[:, None] - sum(low)) / len(lists)
-        enough = np.zeros(own.shape, bool)
-        for x, l in zip(lists, low):
-            enough |= x - l >= share
-        enough &= ~own
-        out: list[list[np.ndarray]] = [[], [], []]
-        for row, query in enumerate(ids):
+        enough = met.enough(cutoff)
+        full = met.first + met.a @ met.b.T if enough.mean() > DENSE_SHARE else None
+        out: list[list] = [[], [], [], []]
+        for row, query in enumerate(met.ids):
             at = np.flatnonzero(enough[row])
+            n = len(at)
             # Phase three: what is collected is resolved exactly.
-            score = sum(x[row, at] for x in lists)
+            score = met.rest(row, at) if full is None else full[row, at]
             at, score = at[score >= cutoff[row]], score[score >= cutoff[row]]
-            best = np.lexsort((others[at], -score))[:k]
-            for o, x in zip(out, (np.full(len(best), query), others[at][best], score[best].astype(np.int64))):
-                o.append(x)
-        return pa.table({n: pa.array(np.concatenate(x or [[]]), pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), out)})
+            best = np.lexsort((met.others[at], -score))[:k]
+            out[0] += [np.full(1 + len(best), query)]
+            out[1] += [None, *met.others[at][best].tolist()]
+            out[2] += [None, *score[best].astype(np.int64).tolist()]
+            # One row without an answer tells how many entries the query had resolved here.
+            out[3] += [n, *[0] * len(best)]
+        query = pa.array(np.concatenate(out[0] or [[]]), pa.int64())
+        return pa.table({"query_id": query, **{n: pa.array(x, pa.int64()) for n, x in zip(("vec_id", "score", "resolved"), out[1:])}})
 
     return run
 
 
-def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
+def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = K, report: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates (id, vec) with the highest inner product for each query
     (id, vec), ties to the smaller id; a candidate with the query's own id does not count.
 
-    Queries and candidates are dealt into blocks of bounded size that meet pair by pair. A block's lists are the partial scores
-    over slices of the components. Phase one: each block reports the best totals among the tops of its
-    lists, and the k-th best of all reports is a cutoff that no answer falls below. Phase two: with the
-    cutoff, a block collects the entries that reach the uniform share of it in some list. Phase three:
-    those are scored in full, and the k best of all blocks are the answer. Equal vectors in any number cost
-    a block k rows a query at most.
+    Queries and candidates are dealt into blocks of bounded size that meet pair by pair. A block's first list are the partial scores
+    over its strongest components. Phase one: each block resolves the tops of its first lists alone, and the k-th best of all
+    blocks' scores is a cutoff that no answer falls below. Phase two: with the cutoff, a block collects the entries
+    that can reach it, by their partial score and the norms of what is left; the others are pruned before any full product. Phase
+    three: what is collected is scored in full, and the k best of all blocks are the answer. Equal vectors in any number cost
+    a block k rows a query at most. With ``report`` a column ``resolved`` tells how many entries each query had scored in full in
+    phase three; on vectors without stronger components that may be most of them.
 
-    Vectors of unequal length compare over their common components. Repeated candidate rows are candidates
-    each; repeated query rows count once. With fewer than k candidates all are returned; empty tables give
+    Vectors of unequal length compare over their common components. Vectors so long that a score might pass
+    2^53 raise an error. Repeated candidate rows are candidates each; repeated query rows count once. With fewer than k candidates all are returned; empty tables give
     no rows."""
     spark = candidates.sparkSession
     base = settle(candidates.select("id", "vec"), "vectors")
@@ -124,6 +152,9 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFr
     cutoffs = reports.where(F.col("_n") == k).select(F.col("query_id").alias("id"), F.col("score").alias("cutoff"))
     told = settle(asked.join(cutoffs, "id", "left"), "cutoffs")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = meet(told, _sufficient(k), "query_id bigint, vec_id bigint, score bigint")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    found = meet(told, _sufficient(k), "query_id bigint, vec_id bigint, score bigint, resolved bigint")
+    if report:
+        found = settle(found, "found")
+    ranked = found.where("vec_id IS NOT NULL").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.join(found.groupBy("query_id").agg(F.sum("resolved").alias("resolved")), "query_id") if report else ranked

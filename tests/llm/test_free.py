@@ -335,6 +335,26 @@ def test_top_k(spark, monkeypatch):
     assert topk.exact_top_k(base.where("false"), base).count() == 0 and topk.exact_top_k(base, base.where("false")).count() == 0
 
 
+def test_top_k_prunes_before_full_products(spark, monkeypatch):
+    """Vectors whose energy lies in few components: the answers are the same, and few entries are scored in full."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 200)
+    rng = np.random.default_rng(8)
+    scale = np.concatenate([np.full(4, 8.0), np.full(28, 0.2)])
+    rows = [(i, (rng.normal(size=32) * scale).astype(np.float32).tolist()) for i in range(1000)]
+    base = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = topk.exact_top_k(base.where("id % 20 = 0"), base, 5, report=True).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == plain_top(rows, set(range(0, 1000, 20)), 5)
+    resolved = {r.query_id: r.resolved for r in got}
+    assert len(resolved) == 50 and sum(resolved.values()) < 0.1 * 50 * 999 and min(resolved.values()) >= 5
+
+
+def test_top_k_refuses_scores_that_doubles_cannot_hold(spark):
+    base = topk.integer_vectors(spark.createDataFrame([(0, [2e6, 1.0]), (1, [2e6, 3.0])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="2\\^53"):
+        topk.exact_top_k(base, base).collect()
+
+
 # --- repeats -----------------------------------------------------------------------------------
 
 
