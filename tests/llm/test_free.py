@@ -379,10 +379,12 @@ def digests(df):
     return {r[0]: tuple(r)[1:] for r in df.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()}
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_repeats(docs, texts, hot, monkeypatch):
+@pytest.mark.parametrize("hot, filter_bits", [(False, 1 << 28), (True, 1 << 28), (False, 1)])
+def test_repeats(docs, texts, hot, filter_bits, monkeypatch):
+    """With one bit at most for the filter, flanks meet in a shuffle."""
     if hot:
         monkeypatch.setattr(repeats, "GRAM_PHRASES", 2)
+    monkeypatch.setattr(repeats, "MOST_FILTER_BITS", filter_bits)
     monkeypatch.setattr(repeats, "ARRAY_SUFFIXES", 500)
     monkeypatch.setattr(repeats, "PIECE_BYTES", 5000)
     got = digests(repeats.remove_repeats(docs))
