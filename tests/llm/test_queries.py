@@ -83,3 +83,20 @@ def test_lines_of_many_documents_leave_a_hot_host(spark):
     docs = spark.createDataFrame([(i, h + b, "hot", 0) for i, (h, b) in enumerate(zip(heads, bodies))], "doc_id long, text string, source string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_low_quality(spark, docs, SF).collect()}
     assert got == {i: (h + b if i >= 100 else b) for i, (h, b) in enumerate(zip(heads, bodies))}
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name
+
+
+def test_cut_repeats_hands_on_whole_characters(spark):
+    """A passage that begins inside a character of the later text: what is left of the character goes too."""
+    passage = "".join(chr(0x100 + 7 * i % 300) for i in range(120))
+    rows = [(1, "first é" + passage + " end", "s", 1), (2, None, "s", 2), (3, "", "s", 3), (4, "other ũ" + passage + " tail", "s", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.cut_repeats(spark, docs, SF).collect()}
+    # é and ũ end in the same byte, so the repeat begins with it.
+    assert "é".encode()[-1:] == "ũ".encode()[-1:]
+    assert got == {1: (rows[0][1], 1), 2: (None, 2), 3: ("", 3), 4: ("other tail", 10)}
