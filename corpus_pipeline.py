@@ -38,9 +38,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     share an id are judged one by one. Rows without an id stay."""
     key = ["doc_id", "_th"]
     gone = verdicts(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id", F.col("th").alias("_th")).distinct()
-    named = docs.withColumn("_th", text_hash(F.col("text")))
+    # Rows travel as one struct, so their columns cannot clash with those of the joins.
+    named = docs.select("doc_id", text_hash(F.col("text")).alias("_th"), F.struct("*").alias("doc"))
     left = spread_join(named, settle(gone, "near-duplicates"), key, "left_anti", F.monotonically_increasing_id())
-    return single(left, key, "near-duplicates").select(*docs.columns)
+    return single(left, key, "near-duplicates").select("doc.*").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
