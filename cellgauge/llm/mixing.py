@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -42,17 +43,16 @@ def schedule(slots: Mapping[str | None, int]) -> list[tuple[str | None, int, int
     block away from its share."""
     period = sum(slots.values())
     names = list(slots)
-    done = dict.fromkeys(names, 0)
-    out = []
+    # Each source's next block waits for its release, then for the slot; ties go to the source named first.
+    waiting, ready, out = [(0, i, 0) for i in range(len(names))], [], []
     for t in range(period):
-        ready = [
-            (-(-(done[s] + 1) * period // slots[s]), i, s)
-            for i, s in enumerate(names)
-            if done[s] < slots[s] and done[s] * period // slots[s] <= t
-        ]
-        deadline, _, s = min(ready)
-        out.append((s, done[s], done[s] * period // slots[s], deadline, t))
-        done[s] += 1
+        while waiting and waiting[0][0] <= t:
+            release, i, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * period // slots[names[i]]), i, j, release))
+        deadline, i, j, release = heapq.heappop(ready)
+        out.append((names[i], j, release, deadline, t))
+        if j + 1 < slots[names[i]]:
+            heapq.heappush(waiting, ((j + 1) * period // slots[names[i]], i, j + 1))
     return out
 
 
