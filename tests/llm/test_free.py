@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -306,6 +307,50 @@ def test_toxicity_on_held_out_documents(spark, none):
     assert {r.score for r in toxicity.toxicity(docs, told.where("toxic IS NULL")).collect()} == {0.5}
 
 
+def test_toxicity_by_plain_python(spark):
+    """Every score is the noisy-or written out, and the fit is a minimum of the penalised loss written out."""
+    rng = random.Random(8)
+    rows = [(i, ". ".join(prose(rng, 5) + (" vile" if i % 5 == 0 and j == 0 else " rotten" if rng.random() < 0.02 else "") for j in range(4))) for i in range(600)]
+    rows += [(700, None), (701, ""), (702, "VILE!vile\nrotten . é vile?"), (703, "rotten " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    truth = {i: int(i % 5 == 0) for i, _ in rows[:600]}
+    labels = spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert b"vile" in model.weights and len(model.weights) < 20
+
+    def bags(text):
+        words = (re.findall(r"[0-9a-z\u0080-\U0010ffff]+", x.lower()) for x in re.split(r"[.!?\n]+", text or ""))
+        return [s for s in ({w.encode() for w in found} & model.weights.keys() for found in words) if s]
+
+    def score(text, weights, bias, leak):
+        clean = 1 - leak
+        for found in bags(text):
+            clean *= 1 - 1 / (1 + math.exp(-(bias + sum(weights[w] for w in found))))
+        return 1 - clean
+
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    assert all(math.isclose(got[i], score(t, model.weights, model.bias, model.leak), rel_tol=1e-9) for i, t in rows)
+
+    taught = [(t, truth[i]) for i, t in rows[:600] if zlib.crc32(str(i).encode()) % 3 != 1]
+
+    def loss(theta):
+        weights, leak = dict(zip(model.weights, theta)), 1 / (1 + math.exp(-theta[-1]))
+        cost = 0.0
+        for text, y in taught:
+            p = min(max(score(text, weights, theta[-2], leak), 1e-12), 1 - 1e-12)
+            cost -= math.log(p if y else 1 - p)
+        return cost / len(taught) + toxicity.SHRINK / 2 * sum(w * w for w in theta[:-2])
+
+    def slope(theta):
+        step = 1e-5
+        return [(loss([*theta[:k], x + step, *theta[k + 1 :]]) - loss([*theta[:k], x - step, *theta[k + 1 :]])) / (2 * step) for k, x in enumerate(theta)]
+
+    fitted = [*model.weights.values(), model.bias, math.log(model.leak / (1 - model.leak))]
+    start = [1.0] * len(model.weights) + [-2.0, -3.0]
+    assert loss(fitted) < loss(start) / 2
+    assert max(map(abs, slope(fitted))) < 0.05 * max(map(abs, slope(start)))
+
+
 # --- top-k -------------------------------------------------------------------------------------
 
 

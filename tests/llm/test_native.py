@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cellgauge.llm import mixing, quality, sharding, urls
@@ -44,6 +48,49 @@ def test_shards_hold_equal_counts_without_gaps(docs):
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want and texts
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of 32-bit ints (as pairs with their width), 64-bit ints and strings, unsigned; nulls are passed over."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True)
+            seed = xxhash.xxh64_intdigest(data, seed)
+    return seed
+
+
+def signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def wide(x):
+    return None if x is None else (signed(x % (1 << 64)), 8)
+
+
+def plain_place(number, n, seed):
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    b = max(1, -(-n // a))
+    while True:
+        left, right = number % a, number // a
+        for k in range(sharding.ROUNDS):
+            side = a if k % 2 == 0 else b
+            left, right = right, (left + signed(spark_hash((seed, 4), (k, 4), (right, 8))) % side) % side
+        number = right * a + left
+        if number < n:
+            return number
+
+
+def test_every_place_by_plain_python(docs):
+    rows = [(r.doc_id, spark_hash(r.text or "")) for r in docs.collect()]
+    order = sorted(rows, key=lambda r: (spark_hash(wide(r[0]), wide(r[1])), r[0] is not None, r[0] or 0, signed(r[1])))
+    crc = {spark_hash(r.text or ""): zlib.crc32((r.text or "").encode()) for r in docs.collect()}
+    for seed in (1, 9):
+        places = [plain_place(i, len(order), seed) for i in range(len(order))]
+        assert sorted(places) == list(range(len(order)))
+        want = Counter((d, crc[t], p % 16, p // 16) for (d, t), p in zip(order, places))
+        got = sharding.feistel_shards(docs, seed=seed).select("doc_id", "text_crc32", "shard", "slot").collect()
+        assert Counter(map(tuple, got)) == want
+
+
 def test_shards_are_reproducible(docs):
     key = lambda d: sorted(tuple(r) for r in d.select("shard", "slot", "text_crc32").collect())
     assert key(sharding.feistel_shards(docs)) == key(sharding.feistel_shards(docs.repartition(7)))
@@ -99,6 +146,50 @@ def test_mixing_keeps_rows_and_weights(spark):
     assert [r[0] for r in laid] == [r.doc_id for r in got]
 
 
+def plain_slots(quota):
+    """Release, deadline and slot of each block: in every slot all sources are looked at, and the released block with the
+    earliest deadline goes, of equal ones that of the source named first."""
+    period, out, done = sum(quota.values()), {}, dict.fromkeys(quota, 0)
+    for t in range(period):
+        best = None
+        for s, n in quota.items():
+            release, deadline = math.floor(Fraction(done[s] * period, n)), math.ceil(Fraction((done[s] + 1) * period, n))
+            if done[s] < n and release <= t and (best is None or deadline < best[1]):
+                best = s, deadline, release
+        s, deadline, release = best
+        out[s, done[s]] = release, deadline, t
+        done[s] += 1
+    return out
+
+
+def test_schedule_of_many_sources():
+    quota = mixing.quotas({f"s{i:05}": 1 + i % 97 for i in range(700)} | {None: 5000.0})
+    assert {(s, j): (r, d, t) for s, j, r, d, t in mixing.schedule(quota)} == plain_slots(quota)
+
+
+def test_every_slot_by_plain_python(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, i]), rng.choice([None, "", f"t{i}"]), rng.choice(["big"] * 6 + ["mid"] * 3 + [None, "rare"])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {"big": 5.0, "mid": 3.0, None: 1.0}
+    quota = mixing.quotas(weights, 40)
+    period, plan = sum(quota.values()), plain_slots(quota)
+    numbered = defaultdict(list)
+    for d, t, s in rows:
+        numbered[s].append((spark_hash(wide(d), t), d, t))
+    want = Counter()
+    for s, found in numbered.items():
+        for i, (_, d, t) in enumerate(sorted(found, key=lambda r: r[0])):
+            block, place = divmod(i, 7)
+            if s not in quota:
+                want[d, t, s, block, place, None, None, 2**62 + block] += 1
+                continue
+            cycle, j = divmod(block, quota[s])
+            want[d, t, s, block, place, *(x + cycle * period for x in plan[s, j])] += 1
+    got = mixing.mix_sources(docs, weights, block_rows=7, period=40)
+    assert Counter(map(tuple, got.select("doc.doc_id", "doc.text", "source", "block", "place", "release", "deadline", "slot").collect())) == want
+
+
 def test_mixing_of_odd_rows(docs):
     got = mixing.mix_sources(docs, block_rows=4).select("doc.*").collect()
     assert Counter(map(str, got)) == Counter(map(str, docs.collect()))
@@ -190,6 +281,57 @@ def test_url_verdicts(spark):
     assert (got[13].host, got[13].path) == ("host.net", "")
 
 
+def plain_rule(host, path, rules):
+    fit = [(v, h, p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return min(fit, key=lambda r: (-len(r[1] + r[2]), r), default=None)
+
+
+@pytest.mark.parametrize("as_table", [False, True])
+def test_verdicts_spread_by_plain_python(spark, as_table):
+    """Chains, stars, cycles and conflicts over 1,500 pages with links and redirects."""
+    rng = random.Random(11)
+    hosts = [f"{a}.{b}" for a in ("a", "www.a", "x.y.z.b", "b", "Q") for b in ("net", "com", "org")] + ["", "." * 3000 + "net"]
+    paths = ["", "/", "/en/", "/en/deep/er", "/es/", "/é/☃"]
+    rules = [("block", "net", "/es/"), ("allow", "a.net", "/es/"), ("block", "y.z.b.com", "/"), ("allow", "org", "/en/"), ("block", "org", "/en/deep")]
+    rules += [("block", "b.org", "/é/"), ("allow", "b.org", "/é/"), ("block", "q.com", "")]
+    made = [f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}{rng.choice(paths)}?{i % 700}" for i in range(1500)]
+    target = [rng.choice(made) if rng.random() < 0.5 else None for _ in made]
+    target[:200] = made[1:201]
+    target[300:400] = [made[299]] * 100
+    rows = [(i, *(page(u, canonical=t) if i % 2 else page(u, refresh=t))) for i, (u, t) in enumerate(zip(made, target))] + [(5000, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    moved = [(rng.choice(made), f"http://b.net/es/{i}") for i in range(20)]
+    table = spark.createDataFrame([*rules, (None, "a.net", "/"), ("block", None, "/")], "verdict string, host string, path string")
+    got = {r.page_id: r for r in urls.url_verdicts(pages, table if as_table else rules, spark.createDataFrame(moved, "src string, dst string")).collect()}
+
+    def parts(url):
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        return host.lower(), re.match(r"[^?#]*", rest[len(host) :])[0], rest[len(host) :].split("#")[0]
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    up, told = {}, defaultdict(set)
+    node = lambda u: parts(u)[0] + parts(u)[2]
+    links = [(u, t) for u, t in zip(made, target) if t] + moved
+    for u, t in links:
+        up[find(node(u))] = find(node(t))
+    for u in {x for link in links for x in link}:
+        if rule := plain_rule(*parts(u)[:2], rules):
+            told[find(node(u))].add(rule[0])
+    for i, u in enumerate(made):
+        host, path, _ = parts(u)
+        rule = plain_rule(host, path, rules)
+        heard = told.get(find(node(u)), set())
+        want = rule[0] if rule else "block" if heard == {"block"} else "allow"
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule and rule[1] + rule[2], want)
+    assert len(got) == len(rows) and got[5000].verdict == "allow"
+    assert sum(r.rule is None and r.verdict == "block" for r in got.values()) > 50
+
+
 def test_components_of_long_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(300)]
     star = [(1000, 1000 + i) for i in range(1, 400)]

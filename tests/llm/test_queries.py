@@ -91,6 +91,22 @@ def test_stages_on_an_empty_table(spark):
         assert stage(spark, docs, SF).count() == 0, name
 
 
+def test_stages_with_columns_of_the_operators_own_names(spark):
+    """Extra columns that are called like those inside the operators pass through every stage as they are."""
+    names = ["_th", "th", "_salt", "_salts", "_spread", "_n", "_one", "_row", "_rows", "doc", "kept", "kept_text", "slot", "place", "block", "component_id"]
+    body = lambda i: " ".join(f"w{chr(97 + i)}{x}{y}" for x in "abcdefgh" for y in "stuvwxyz")
+    rows = [(i, body(i), None if i % 4 == 0 else "s", 1) for i in range(8)] + [(9, body(1), "s", 1)] + [(3, body(3), "s", 1)] * 2
+    rows += [(None, body(20), "s", 1), (30, None, None, None), (31, "", "s", 0)]
+    told = [(*r, *(f"{n} {r[0]}" for n in names)) for r in rows]
+    docs = spark.createDataFrame(told, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, corpus_pipeline.settle(stage(spark, docs, SF), "clash")
+        assert docs.columns == before.columns, name
+        assert all(r[n] == f"{n} {r.doc_id}" for r in docs.collect() for n in names), name
+    assert Counter(r.doc_id for r in docs.collect()) == Counter([0, 1, 2, 3, 4, 5, 6, 7, None])
+    assert corpus_pipeline.pack(spark, docs, SF).select("doc_id").distinct().count() == 9
+
+
 def test_cut_repeats_hands_on_whole_characters(spark):
     """A passage that begins inside a character of the later text: what is left of the character goes too."""
     passage = "".join(chr(0x100 + 7 * i % 300) for i in range(120))
