@@ -784,3 +784,8 @@ for _mart in ("hotspot_summary", "peak_hour_patterns", "neighbour_impact", "subs
     ORACLE[f"{_mart}_published"] = ORACLE[_mart]
 ORACLE["neighbour_pairs_updated"] = ORACLE["neighbour_pairs"]
 ORACLE["dated_tree_import"] = ORACLE["staged_telemetry_view"]
+# Replaying the log gives what the cycle gives, and what was there before it.
+ORACLE["alert_log_replay"] = ORACLE["alert_cycle"]
+ORACLE["alert_log_before"] = _with("earlier", "SELECT * FROM earlier")
+ORACLE["alert_log_changes"] = f"""SELECT 'cycle' AS run_id, alert_category, status, count(*) AS changes FROM ({ORACLE['alert_cycle']})
+    WHERE TIMESTAMP '2024-02-01 12:00:00' IN (triggered_at, resolved_at) GROUP BY ALL"""

@@ -718,6 +718,39 @@ def alert_cycle(spark, sf):
     )
 
 
+def _alert_log(spark, sf):
+    """The log after the bound alerts and one cycle, which is run twice."""
+    from cellgauge.plans.alert_log import AlertLog
+    from cellgauge.sources.versions import TableStore
+
+    n = network(spark, sf)
+    log = AlertLog(TableStore(spark, lake.scratch_path(spark, "alert-log")))
+    marts = n.hotspot_summary, n.peak_hour_patterns, n.neighbour_impact
+    levels = {"warn_at": LOW_WARN, "critical_at": LOW_CRITICAL, "min_rate": LOW_RATE, "min_days": LOW_DAYS}
+    log.start(b.bind_alerts(n.towers), datetime(2024, 1, 31))
+    for _ in range(2):
+        log.run("cycle", AS_OF, lambda old: al.next_alerts(old, *marts, AS_OF, **levels))
+    return log
+
+
+@query
+def alert_log_replay(spark, sf):
+    return _alert_log(spark, sf).as_of(AS_OF)
+
+
+@query
+def alert_log_before(spark, sf):
+    from cellgauge.plans.alert_log import just_before
+
+    return _alert_log(spark, sf).as_of(just_before(AS_OF))
+
+
+@query
+def alert_log_changes(spark, sf):
+    rows = _alert_log(spark, sf).changes(first=AS_OF.date())
+    return rows.groupBy("run_id", "alert_category", "status").agg(F.count(F.lit(1)).alias("changes"))
+
+
 # --- data quality ----------------------------------------------------------------------------
 
 

@@ -1,0 +1,103 @@
+"""The log of alert changes: replay, repeated runs, order of time, two writers."""
+
+from datetime import datetime
+
+import pytest
+from conftest import rows
+
+from cellgauge.plans import alerts as al
+from cellgauge.plans.alert_log import CHANGES, AlertLog, just_before
+from cellgauge.schemas import ALERT_SCHEMA
+from cellgauge.sources.versions import CommitConflict, TableStore
+
+OLD = datetime(2025, 6, 1)
+TIMES = [datetime(2025, 6, 29, 6), datetime(2025, 6, 29, 18), datetime(2025, 7, 2)]
+# Towers above each level, cycle by cycle: a rises and falls and rises again, b stays, c comes last.
+HOT = [{"a": 60.0, "b": 35.0}, {"a": 5.0, "b": 35.0}, {"a": 60.0, "b": 35.0, "c": 31.0}]
+
+
+@pytest.fixture
+def log(spark, tmp_path):
+    return AlertLog(TableStore(spark, str(tmp_path / "store")))
+
+
+def cycle(spark, seed, at, hot):
+    hotspots = spark.createDataFrame(list(hot.items()), "tower_id STRING, congestion_frequency_7d DOUBLE")
+    nothing = seed.peak_hour_patterns.limit(0), seed.neighbour_impact.limit(0)
+    return lambda old: al.next_alerts(old, hotspots, *nothing, at)
+
+
+def first_alerts(spark):
+    told = [(1, "z", "WARN", "HOTSPOT", 2, "m", OLD, None, "ACTIVE"), (2, "y", "WARN", "PEAK_HOUR", 2, None, OLD, None, "ACTIVE")]
+    return spark.createDataFrame(told, ALERT_SCHEMA)
+
+
+def test_replay_equals_every_snapshot(spark, seed, log):
+    assert rows(log.as_of()) == []
+    now = first_alerts(spark)
+    assert log.start(now, OLD)
+    states = [(OLD, rows(now))]
+    for i, (at, hot) in enumerate(zip(TIMES, HOT)):
+        step = cycle(spark, seed, at, hot)
+        now = spark.createDataFrame(step(now).collect(), ALERT_SCHEMA)
+        states.append((at, rows(now)))
+        assert log.run(f"run {i}", at, step)
+    for (at, state), (_, last) in zip(states[1:], states):
+        assert rows(log.as_of(at)) == state
+        assert rows(log.as_of(just_before(at))) == last
+    assert rows(log.as_of()) == states[-1][1] and rows(log.as_of(just_before(OLD))) == []
+    # Two alerts at first; a, b, and z is over; a is over; a again and c.
+    logged = log.changes().groupBy("run_id").count().collect()
+    assert {r.run_id: r["count"] for r in logged} == {"start": 2, "run 0": 3, "run 1": 1, "run 2": 2}
+    assert log.changes(TIMES[0].date(), TIMES[0].date()).count() == 4
+
+
+def test_a_repeated_run_adds_nothing(spark, seed, log):
+    log.start(first_alerts(spark), OLD)
+    step = cycle(spark, seed, TIMES[0], HOT[0])
+    assert log.run("x", TIMES[0], step)
+    before, versions = rows(log.changes()), log.store.versions()
+    assert not log.run("x", TIMES[0], step) and not log.run("x", TIMES[2], step) and not log.start(first_alerts(spark), OLD)
+    assert rows(log.changes()) == before and log.store.versions() == versions
+
+
+def test_a_cycle_without_changes_and_an_earlier_one(spark, seed, log):
+    log.start(first_alerts(spark), OLD)
+    assert log.run("quiet", TIMES[1], lambda old: old)
+    assert rows(log.as_of()) == rows(first_alerts(spark))
+    for at in (TIMES[0], TIMES[1]):
+        with pytest.raises(ValueError, match="too late"):
+            log.run("late", at, cycle(spark, seed, at, HOT[0]))
+    assert log.run("next", TIMES[2], cycle(spark, seed, TIMES[2], HOT[0]))
+
+
+def test_an_empty_first_state(spark, seed, log):
+    assert log.start(spark.createDataFrame([], ALERT_SCHEMA), OLD)
+    assert rows(log.as_of()) == []
+    assert log.run("x", TIMES[0], cycle(spark, seed, TIMES[0], HOT[0]))
+    assert rows(log.as_of(), "tower_id", "status") == [("a", "ACTIVE"), ("b", "ACTIVE")]
+
+
+def test_of_two_cycles_at_once_one_is_told(spark, seed, log):
+    log.start(first_alerts(spark), OLD)
+
+    def slow(old):
+        # The other writer begins and ends meanwhile, on another day.
+        assert AlertLog(log.store).run("other", TIMES[0], cycle(spark, seed, TIMES[0], HOT[0]))
+        return cycle(spark, seed, TIMES[2], HOT[2])(old)
+
+    with pytest.raises(CommitConflict):
+        log.run("mine", TIMES[2], slow)
+    assert {r.run_id for r in log.changes().collect()} == {"start", "other"}
+    assert log.run("mine", TIMES[2], cycle(spark, seed, TIMES[2], HOT[2]))
+
+
+def test_a_failed_cycle_leaves_the_log(spark, seed, log):
+    log.start(first_alerts(spark), OLD)
+
+    def broken(old):
+        raise RuntimeError("no marts")
+
+    with pytest.raises(RuntimeError, match="no marts"):
+        log.run("x", TIMES[0], broken)
+    assert rows(log.as_of()) == rows(first_alerts(spark)) and CHANGES in log.store.manifest()[1]

@@ -12,6 +12,9 @@ from cellgauge.catalog.queries import REGISTRY
 SF = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 WRITERS = {
+    "alert_log_before",
+    "alert_log_changes",
+    "alert_log_replay",
     "cell_csv_roundtrip",
     "cell_rejects",
     "lake_row_counts",
