@@ -432,7 +432,7 @@ def subscriber_impact_offset_hours(spark, sf):
     """Impact of events at half past the hour."""
     n = network(spark, sf)
     later = n.congestion_events.withColumn("event_hour", F.col("event_hour") + F.expr("INTERVAL 30 MINUTES"))
-    return marts.subscriber_impact(later, n.sessions)
+    return marts.subscriber_impact(later, n.sessions, hourly=False)
 
 
 @query

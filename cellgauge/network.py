@@ -138,12 +138,12 @@ class Network:
         tower table bounds the towers, since events are of known towers only. Without a listing the days
         are read from the one column."""
         if not self.stamped:
-            return {}
+            return {"hourly": self.hourly}
         span = self.dates or tuple(self.telemetry.agg(F.min(PARTITION), F.max(PARTITION)).first())
         if span[0] is None:
-            return {}
+            return {"hourly": self.hourly}
         days = (span[1] - span[0]).days + 1
-        return {"days": span, "masks_fit": bool(self.towers_fit) and masks_fit(self.tower_count, days, self.hourly)}
+        return {"days": span, "masks_fit": bool(self.towers_fit) and masks_fit(self.tower_count, days, self.hourly), "hourly": self.hourly}
 
     @cached_property
     def tower_count(self) -> int:

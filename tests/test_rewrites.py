@@ -18,7 +18,7 @@ from cellgauge.sources.cells import province_edges
 from conftest import rows
 
 PATHS = [{"max_rows": 10_000}, {"max_rows": 0, "task_rows": 7}]
-SESSION_PATHS = [{"masks_fit": True}, {"task_rows": 7}]
+SESSION_PATHS = [{"masks_fit": True}, {"task_rows": 7}, {"hourly": False}, {"hourly": False, "task_rows": 7}]
 
 
 # --- joins -----------------------------------------------------------------------------------
@@ -132,11 +132,22 @@ def test_sessions_in_hours_equal_range_join(spark):
     )
     assert len(expected) > 500
     days = min(at for _, at in hours).date(), max(at for _, at in hours).date()
-    for options in [*SESSION_PATHS, {"days": days}]:
+    for options in [*SESSION_PATHS, {"days": days}, {"days": days, "hourly": False}]:
         got = sorted((r.id, r.event_hour) for r in sessions_in_hours(s, h, **options).collect())
         assert got == expected
 
 
+def test_many_event_times_of_one_day_are_no_list(spark):
+    """200,000 times of one tower and day: every row of the join's sides is small, and each pair comes once."""
+    day = datetime(2024, 2, 27)
+    times = spark.range(200_000).selectExpr("'t' AS tower_id", "timestamp_ntz'2024-02-27 00:00:00' + make_dt_interval(0, 0, 0, id * 0.4) AS event_hour")
+    told = [(1, "a", "t", day + timedelta(hours=5), day + timedelta(hours=5, minutes=30)), (2, "b", "t", day - timedelta(days=3), day + timedelta(days=3))]
+    s = spark.createDataFrame(told, "id INT, subscriber_id STRING, tower_id STRING, session_start TIMESTAMP_NTZ, session_end TIMESTAMP_NTZ")
+    met = sessions_in_hours(s, times.unionAll(times), hourly=False)
+    assert {r.id: r["count"] for r in met.groupBy("id").count().collect()} == {1: 90 * 150 + 1, 2: 200_000}
+    assert "collect_set" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_sessions_in_events_at_any_time(spark, seed):
     """Events with minutes, seconds and microseconds, some across midnight, against the closed range test."""
