@@ -190,6 +190,44 @@ def test_every_slot_by_plain_python(spark):
     assert Counter(map(tuple, got.select("doc.doc_id", "doc.text", "source", "block", "place", "release", "deadline", "slot").collect())) == want
 
 
+def test_any_number_of_sources_stays_within_one_block(spark):
+    """2,501 rare sources in a period of 50: those of nearly equal weight take their entry's slots in turn."""
+    weights = {f"s{i:04}": 1.0 + i % 5 for i in range(2500)} | {None: 1.0, "big": 5000.0, "mid": 2500.0, "nothing": 0.0}
+    level = {s: math.floor(math.log2(w) * 8) for s, w in weights.items() if w}
+    entries, total = defaultdict(list), sum(weights.values())
+    for s in level:
+        entries[level[s] if weights[s] * 50 < total else s].append(s)
+    size = {s: len(e) for e in entries.values() for s in e}
+    quota = mixing.quotas({min(filter(None, e)): len(e) * weights[e[0]] for e in entries.values()}, 50)
+    share = {s: Fraction(quota[min(filter(None, e))], sum(quota.values()) * len(e)) for e in entries.values() for s in e}
+    assert sum(share.values()) == 1 and len(quota) == len(entries) < 10 and max(size.values()) == 501
+
+    rounds = {s: 2 if s not in ("big", "mid") else 6000 for s in weights}
+    docs = spark.createDataFrame([(i, f"{s}{i}", s) for s, n in rounds.items() for i in range(n)], "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs, weights, block_rows=1, period=50).select("source", "block", "release", "deadline", "slot").collect()
+    assert Counter(r.source for r in got) == Counter(rounds)
+    placed = sorted((r for r in got if r.source != "nothing"), key=lambda r: r.slot)
+    assert all(r.slot >= 2**62 for r in got if r.source == "nothing")
+    assert len({r.slot for r in placed}) == len(placed) and all(r.release <= r.slot < r.deadline for r in placed)
+    assert [r.slot for r in placed[:4000]] == list(range(4000))
+    at = defaultdict(list)
+    for r in placed[:4000]:
+        at[r.source].append(r.slot)
+    for s, x in share.items():
+        # A deviation is greatest just before or just after a block of the source.
+        for n, t in enumerate([*at[s], 4000]):
+            assert abs(n - t * x) < 1 and (t == 4000 or abs(n + 1 - (t + 1) * x) < 1)
+
+
+def test_weights_as_a_table(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", "ab"[i % 2]) for i in range(100)], "doc_id long, text string, source string")
+    by_name = {"a": 3.0, "b": 1.0, None: math.nan, "c": math.inf}
+    table = spark.createDataFrame([(s, w) for s, w in by_name.items()], "source string, weight double")
+    want = Counter(mixing.mix_sources(docs, {"a": 3.0, "b": 1.0}, block_rows=4).collect())
+    assert Counter(mixing.mix_sources(docs, table, block_rows=4).collect()) == want
+    assert Counter(mixing.mix_sources(docs, by_name, block_rows=4).collect()) == want
+
+
 def test_mixing_of_odd_rows(docs):
     got = mixing.mix_sources(docs, block_rows=4).select("doc.*").collect()
     assert Counter(map(str, got)) == Counter(map(str, docs.collect()))
