@@ -782,6 +782,7 @@ ORACLE["impact_totals_of_no_tower"] = (
 ORACLE["impact_totals_of_tower"] = f"SELECT * EXCLUDE (tower_id) FROM ({ORACLE['impact_totals_of_tower']})"
 for _mart in ("hotspot_summary", "peak_hour_patterns", "neighbour_impact", "subscriber_impact"):
     ORACLE[f"{_mart}_published"] = ORACLE[_mart]
+ORACLE["province_tags_by_cover"] = ORACLE["province_tags"]
 ORACLE["neighbour_pairs_updated"] = ORACLE["neighbour_pairs"]
 ORACLE["dated_tree_import"] = ORACLE["staged_telemetry_view"]
 # Replaying the log gives what the cycle gives, and what was there before it.

@@ -275,6 +275,18 @@ def province_tags(spark, sf):
     return tagged.select(*reference_data.CELL_KEY, "province_name", "island_group")
 
 
+@query
+def province_tags_by_cover(spark, sf):
+    from cellgauge.operators import spatial
+
+    cells = reference_data.newest_cells(reference_data.select_cells(b.bind_cells(spark, sf)))
+    edges = cell_source.province_edges(b.bind_provinces(spark, sf))
+    path = lake.scratch_path(spark, "cover")
+    spatial.polygon_cover(edges).write.parquet(path)
+    tagged = reference_data.tag_provinces(cells, edges, cover=spark.read.parquet(path))
+    return tagged.select(*reference_data.CELL_KEY, "province_name", "island_group")
+
+
 @query
 def tower_master_build(spark, sf):
     cells = reference_data.newest_cells(reference_data.select_cells(b.bind_cells(spark, sf)))

@@ -16,6 +16,10 @@ PAIR_TASK_ROWS = 20_000
 POINT_TASK_ROWS = 50_000
 # Side of the grid cells that find bounding boxes, in latitude bands.
 BOX_BANDS = 10
+# Times that a cell of a cover is quartered along the border of an area, and the part of a finest cell by which edges are
+# widened, so that rounding cannot part a point from an edge of its cell.
+COVER_LEVELS = 4
+COVER_MARGIN = 1e-6
 
 
 def _row_height(radius_m: float) -> float:
@@ -149,7 +153,7 @@ def polygon_candidates(
     bounding box holds it. Boxes are found by grid cells in both axes, edges by feature and latitude band."""
     cell = lambda v: F.floor(v / (band_degrees * BOX_BANDS))
     band = lambda y: F.floor(y / band_degrees)
-    edges = edges.withColumn("_feature", F.xxhash64("feature_id" if "feature_id" in edges.columns else name))
+    edges = _featured(edges, name)
     west, east, south, north = F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2")
     boxes = edges.groupBy("_feature", name).agg(
         F.min(west).alias("_w"), F.max(east).alias("_e"), F.min(south).alias("_s"), F.max(north).alias("_n")
@@ -163,8 +167,137 @@ def polygon_candidates(
     boxed = spread_join(spots, boxes, ["_cx", "_cy"], "inner", salt, max_rows=max_rows, task_rows=task_rows)
     boxed = boxed.where(F.col("_px").between(F.col("_w"), F.col("_e")) & F.col("_py").between(F.col("_s"), F.col("_n")))
     boxed = boxed.drop("_cx", "_cy", "_w", "_e", "_s", "_n").withColumn("_band", band(F.col("_py")))
-    banded = edges.select("_feature", "x1", "y1", "x2", "y2", F.explode(F.sequence(band(south), band(north))).alias("_band"))
-    return spread_join(boxed, banded, ["_feature", "_band"], "inner", salt, max_rows=max_rows, task_rows=task_rows)
+    return spread_join(boxed, _banded(edges, band_degrees), ["_feature", "_band"], "inner", salt, max_rows=max_rows, task_rows=task_rows)
+
+
+def _parity(met: DataFrame, by: list[str]) -> DataFrame:
+    """Values of ``by`` whose point (_px, _py) is strictly inside the feature, from its edges at the point's latitude."""
+    px, py = F.col("_px"), F.col("_py")
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    crosses = ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)
+    touches = (
+        ((x2 - x1) * (py - y1) == (px - x1) * (y2 - y1))
+        & px.between(F.least(x1, x2), F.greatest(x1, x2))
+        & py.between(F.least(y1, y2), F.greatest(y1, y2))
+    )
+    return (
+        met.withColumn("_cross", F.coalesce(crosses, F.lit(False)).cast("int"))
+        .withColumn("_touch", touches.cast("int"))
+        .where((F.col("_cross") == 1) | (F.col("_touch") == 1))
+        .groupBy(*by)
+        .agg(F.sum("_cross").alias("_crossings"), F.max("_touch").alias("_touched"))
+        .where((F.col("_crossings") % 2 == 1) & (F.col("_touched") == 0))
+        .select(*by)
+    )
+
+
+def _banded(edges: DataFrame, band_degrees: float) -> DataFrame:
+    """Edges, once for each latitude band they reach."""
+    band = lambda y: F.floor(y / band_degrees)
+    bands = F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))
+    return edges.select("_feature", "x1", "y1", "x2", "y2", F.explode(bands).alias("_band"))
+
+
+def _featured(edges: DataFrame, name: str) -> DataFrame:
+    return edges.withColumn("_feature", F.xxhash64("feature_id" if "feature_id" in edges.columns else name))
+
+
+def polygon_cover(
+    edges: DataFrame,
+    name: str = "province_name",
+    band_degrees: float = 0.05,
+    levels: int = COVER_LEVELS,
+    task_rows: int = POINT_TASK_ROWS,
+) -> DataFrame:
+    """Quadtree cells that cover each feature: _feature, name, _level, _cx, _cy, inside.
+
+    A cell that an edge runs through is quartered, down to ``levels``; of the finest ones those with an edge are border
+    cells (inside is false). All others have no edge, so their centre tells for all their points whether they are inside;
+    those outside are left out. A point is in one cell of a feature at most. The number of cells goes with the length of the
+    borders and not with the area."""
+    edges = _featured(edges, name)
+    side = band_degrees * BOX_BANDS / 2**levels
+    pad = COVER_MARGIN * side
+    at = lambda v: F.floor(v / side)
+    south, north = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = edges.withColumn("_cy", F.explode(F.sequence(at(south - pad), at(north + pad))))
+    # The part of the edge within the row, a little more of it so that rounding loses no cell.
+    slope = (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
+    x_at = lambda y: F.col("x1") + (F.least(F.greatest(y, south), north) - F.col("y1")) * slope
+    ends = [x_at(F.col("_cy") * side - pad), x_at((F.col("_cy") + 1) * side + pad)]
+    flat = slope.isNull()
+    west = F.when(flat, F.least("x1", "x2")).otherwise(F.least(*ends))
+    east = F.when(flat, F.greatest("x1", "x2")).otherwise(F.greatest(*ends))
+    cell = ["_feature", name, "_cx", "_cy"]
+    finest = rows.withColumn("_cx", F.explode(F.sequence(at(west - pad), at(east + pad)))).select(*cell).distinct()
+
+    up = lambda c, n: F.shiftright(c, n).alias(c)
+    border = {k: finest.select("_feature", name, up("_cx", levels - k), up("_cy", levels - k)).distinct() for k in range(levels)}
+    border[levels] = finest
+    empty = []
+    for k in range(levels + 1):
+        if k:
+            halves = F.explode(F.array(F.lit(0), F.lit(1)))
+            cells = border[k - 1].withColumn("_right", halves).withColumn("_upper", halves)
+            cells = cells.select("_feature", name, (2 * F.col("_cx") + F.col("_right")).alias("_cx"), (2 * F.col("_cy") + F.col("_upper")).alias("_cy"))
+        else:
+            # Rows of the coarsest cells, between the first and the last that has an edge: what lies beyond is outside.
+            span = border[0].groupBy("_feature", name, "_cy").agg(F.min("_cx").alias("_a"), F.max("_cx").alias("_b"))
+            cells = span.withColumn("_cx", F.explode(F.sequence("_a", "_b"))).select(*cell)
+        keyed = border[k].select("_feature", "_cx", "_cy")
+        empty.append(cells.join(keyed, ["_feature", "_cx", "_cy"], "left_anti").select(*cell, F.lit(k).alias("_level")))
+    holes = empty[0]
+    for more in empty[1:]:
+        holes = holes.unionByName(more)
+    width = F.lit(float(2**levels) * side) / F.pow(F.lit(2.0), F.col("_level"))
+    centres = holes.withColumns({"_px": (F.col("_cx") + 0.5) * width, "_py": (F.col("_cy") + 0.5) * width})
+    centres = centres.withColumn("_band", F.floor(F.col("_py") / band_degrees))
+    by = ["_feature", name, "_level", "_cx", "_cy"]
+    met = spread_join(centres, _banded(edges, band_degrees), ["_feature", "_band"], "inner", F.struct(*by), task_rows=task_rows)
+    inside = _parity(met, by).withColumn("inside", F.lit(True))
+    return inside.unionByName(finest.withColumns({"_level": F.lit(levels), "inside": F.lit(False)}))
+
+
+def covered_points(
+    points: DataFrame,
+    cover: DataFrame,
+    key: list[str],
+    band_degrees: float = 0.05,
+    levels: int = COVER_LEVELS,
+    max_rows: int = BROADCAST_ROWS,
+    task_rows: int = POINT_TASK_ROWS,
+) -> DataFrame:
+    """Each point (key..., _px, _py) with the cells of the cover that hold it: _feature, name, inside. A cover that fits is sent
+    to the points, so these are not shuffled."""
+    side = band_degrees * BOX_BANDS / 2**levels
+    spots = points.select(*key, F.col("lon").alias("_px"), F.col("lat").alias("_py"))
+    spots = spots.withColumns({"_fx": F.floor(F.col("_px") / side), "_fy": F.floor(F.col("_py") / side)})
+    spots = spots.withColumn("_level", F.explode(F.array(*map(F.lit, range(levels + 1)))))
+    shift = F.lit(levels) - F.col("_level")
+    spots = spots.withColumns({"_cx": F.call_function("shiftright", "_fx", shift), "_cy": F.call_function("shiftright", "_fy", shift)})
+    met = spread_join(spots, cover, ["_level", "_cx", "_cy"], "inner", F.struct(*key), max_rows=max_rows, task_rows=task_rows)
+    return met.drop("_level", "_cx", "_cy", "_fx", "_fy")
+
+
+def point_in_cover(
+    points: DataFrame,
+    cover: DataFrame,
+    edges: DataFrame,
+    key: list[str],
+    name: str = "province_name",
+    band_degrees: float = 0.05,
+    levels: int = COVER_LEVELS,
+    max_rows: int = BROADCAST_ROWS,
+    task_rows: int = POINT_TASK_ROWS,
+) -> DataFrame:
+    """:func:`point_in_polygon` by way of :func:`polygon_cover` (same ``band_degrees`` and ``levels``), which may be written once and
+    used for many tables of points: only points in border cells meet edges."""
+    met = covered_points(points, cover, key, band_degrees, levels, max_rows, task_rows)
+    near = met.where(~F.col("inside")).drop("inside").withColumn("_band", F.floor(F.col("_py") / band_degrees))
+    banded = _banded(_featured(edges, name), band_degrees)
+    tested = spread_join(near, banded, ["_feature", "_band"], "inner", F.struct(*key), max_rows=max_rows, task_rows=task_rows)
+    hits = met.where("inside").select(*key, name).unionByName(_parity(tested, [*key, "_feature", name]).drop("_feature"))
+    return hits.groupBy(*key).agg(F.min(name).alias(name))
 
 
 def point_in_polygon(
@@ -182,20 +315,5 @@ def point_in_polygon(
     for several features; without it a name is one feature. Holes work by parity within a feature, and
     features that overlap do not cancel each other. A point on an edge of a feature is not inside it."""
     met = polygon_candidates(points, edges, key, name, band_degrees, max_rows, task_rows)
-    px, py = F.col("_px"), F.col("_py")
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    crosses = ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)
-    touches = (
-        ((x2 - x1) * (py - y1) == (px - x1) * (y2 - y1))
-        & px.between(F.least(x1, x2), F.greatest(x1, x2))
-        & py.between(F.least(y1, y2), F.greatest(y1, y2))
-    )
-    hits = (
-        met.withColumn("_cross", F.coalesce(crosses, F.lit(False)).cast("int"))
-        .withColumn("_touch", touches.cast("int"))
-        .where((F.col("_cross") == 1) | (F.col("_touch") == 1))
-        .groupBy(*key, "_feature", name)
-        .agg(F.sum("_cross").alias("_crossings"), F.max("_touch").alias("_touched"))
-        .where((F.col("_crossings") % 2 == 1) & (F.col("_touched") == 0))
-    )
+    hits = _parity(met, [*key, "_feature", name])
     return hits.groupBy(*key).agg(F.min(name).alias(name))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cellgauge.functions.columns import cell_type, from_epoch_seconds, ntz, tower_key
 from cellgauge.operators.dedupe import keep_first
 from cellgauge.operators.sampling import TOP_N_ROWS, take_by_hash
-from cellgauge.operators.spatial import point_in_polygon
+from cellgauge.operators.spatial import point_in_cover, point_in_polygon
 from cellgauge.schemas import PROVINCE_SCHEMA, SAMPLE_MNCS, SAMPLE_RADIOS, TOWER_SCHEMA, island_groups
 
 CELL_KEY = ["radio", "mcc", "net", "area", "cell"]
@@ -66,10 +66,13 @@ def sample_cells(
     return picked.select(*cells.columns)
 
 
-def tag_provinces(cells: DataFrame, edges: DataFrame, key: Sequence[str] = tuple(CELL_KEY), **options) -> DataFrame:
-    """Cells with the province they lie in and its island group; both NULL outside every province."""
+def tag_provinces(
+    cells: DataFrame, edges: DataFrame, key: Sequence[str] = tuple(CELL_KEY), cover: DataFrame | None = None, **options
+) -> DataFrame:
+    """Cells with the province they lie in and its island group; both NULL outside every province. With the ``cover`` of the
+    edges only cells near a border meet them."""
     key = list(key)
-    inside = point_in_polygon(cells, edges, key, **options)
+    inside = point_in_polygon(cells, edges, key, **options) if cover is None else point_in_cover(cells, cover, edges, key, **options)
     islands = island_groups(cells.sparkSession)
     return cells.join(inside, key, "left").join(islands, "province_name", "left")
 

@@ -11,7 +11,15 @@ from cellgauge.functions.columns import great_circle_m
 from cellgauge.operators.intervals import sessions_in_hours
 from cellgauge.operators.joins import fits, hot_keys, spread_join
 from cellgauge.operators.sampling import take_by_hash
-from cellgauge.operators.spatial import neighbour_pairs, point_in_polygon, polygon_candidates, updated_pairs
+from cellgauge.operators.spatial import (
+    covered_points,
+    neighbour_pairs,
+    point_in_cover,
+    point_in_polygon,
+    polygon_candidates,
+    polygon_cover,
+    updated_pairs,
+)
 from cellgauge.plans import marts
 from cellgauge.sources.cells import province_edges
 
@@ -346,3 +354,41 @@ def test_updated_pairs_equal_a_rebuild(spark):
     assert rows(updated_pairs(neighbour_pairs(old), old, old)) == rows(neighbour_pairs(old))
     assert updated_pairs(neighbour_pairs(old), old, old.limit(0)).isEmpty()
     assert rows(updated_pairs(neighbour_pairs(old).limit(0), old.limit(0), new)) == rows(neighbour_pairs(new))
+
+
+@pytest.mark.parametrize("levels, options", [(0, {}), (4, {}), (4, {"max_rows": 0})])
+def test_cover_equals_brute_force(spark, tmp_path, levels, options):
+    points = [(i, x / 2, y / 2) for i, (x, y) in enumerate((x, y) for x in range(-1, 22) for y in range(-1, 18))]
+    rng = random.Random(4)
+    points += [(1000 + i, rng.uniform(-1, 11), rng.uniform(-1, 9)) for i in range(300)]
+    # The same shapes on the other side of both axes, where cells have negative numbers.
+    for shift in (0.0, -13.0):
+        moved = [(n, [[[[x + shift, y + shift] for x, y in ring] for ring in part] for part in parts]) for n, parts in SHAPES.items()]
+        edges = province_edges(spark.createDataFrame(moved, "province_name STRING, polygons ARRAY<ARRAY<ARRAY<ARRAY<DOUBLE>>>>"))
+        path = str(tmp_path / f"cover{shift}")
+        polygon_cover(edges, band_degrees=0.3, levels=levels).write.parquet(path)
+        df = spark.createDataFrame([(i, x + shift, y + shift) for i, x, y in points], "id INT, lon DOUBLE, lat DOUBLE")
+        found = point_in_cover(df, spark.read.parquet(path), edges, ["id"], band_degrees=0.3, levels=levels, **options)
+        exact = point_in_polygon(df, edges, ["id"], band_degrees=0.3)
+        assert found.exceptAll(exact).count() == exact.exceptAll(found).count() == 0
+        if not shift:
+            assert {r.id: r.province_name for r in found.collect()} == {i: n for i, x, y in points if (n := _inside(x, y))}
+
+
+def test_points_deep_inside_meet_no_edge(spark, tmp_path):
+    """Of random points in two areas (one with a hole), those in border cells alone meet edges; a null name and repeated features work."""
+    rng = random.Random(6)
+    frame = [_square(0.0, 0.0, 6.0)[0], _square(2.0, 2.0, 1.0)[0]]
+    schema = "province_name STRING, polygons ARRAY<ARRAY<ARRAY<ARRAY<DOUBLE>>>>"
+    edges = province_edges(spark.createDataFrame([("F", [frame]), ("F", [frame]), (None, [_square(8.0, 0.0)]), ("S", [_square(8.5, 0.5)])], schema))
+    df = spark.createDataFrame([(i, rng.uniform(-1, 11), rng.uniform(-1, 7)) for i in range(2000)] + [(2000, None, 1.0)], "id INT, lon DOUBLE, lat DOUBLE")
+    path = str(tmp_path / "cover")
+    polygon_cover(edges).write.parquet(path)
+    cover = spark.read.parquet(path)
+    exact = {tuple(r) for r in point_in_polygon(df, edges, ["id"]).collect()}
+    assert {tuple(r) for r in point_in_cover(df, cover, edges, ["id"]).collect()} == exact
+    near = covered_points(df, cover, ["id"]).where("NOT inside").count()
+    assert near * 10 < polygon_candidates(df, edges, ["id"], "province_name", 0.05).select("id", "_feature").distinct().count()
+    # One cell of a feature at most holds a point, and a cover stays as long as the borders are.
+    assert covered_points(df, cover, ["id"]).groupBy("id", "_feature").count().where("count > 1").count() == 0
+    assert polygon_cover(edges.limit(0)).count() == 0
