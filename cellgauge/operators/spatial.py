@@ -231,28 +231,23 @@ def polygon_cover(
     cell = ["_feature", name, "_cx", "_cy"]
     finest = rows.withColumn("_cx", F.explode(F.sequence(at(west - pad), at(east + pad)))).select(*cell).distinct()
 
-    up = lambda c, n: F.shiftright(c, n).alias(c)
-    border = {k: finest.select("_feature", name, up("_cx", levels - k), up("_cy", levels - k)).distinct() for k in range(levels)}
-    border[levels] = finest
-    empty = []
-    for k in range(levels + 1):
-        if k:
-            halves = F.explode(F.array(F.lit(0), F.lit(1)))
-            cells = border[k - 1].withColumn("_right", halves).withColumn("_upper", halves)
-            cells = cells.select("_feature", name, (2 * F.col("_cx") + F.col("_right")).alias("_cx"), (2 * F.col("_cy") + F.col("_upper")).alias("_cy"))
-        else:
-            # Rows of the coarsest cells, between the first and the last that has an edge: what lies beyond is outside.
-            span = border[0].groupBy("_feature", name, "_cy").agg(F.min("_cx").alias("_a"), F.max("_cx").alias("_b"))
-            cells = span.withColumn("_cx", F.explode(F.sequence("_a", "_b"))).select(*cell)
-        keyed = border[k].select("_feature", "_cx", "_cy")
-        empty.append(cells.join(keyed, ["_feature", "_cx", "_cy"], "left_anti").select(*cell, F.lit(k).alias("_level")))
-    holes = empty[0]
-    for more in empty[1:]:
-        holes = holes.unionByName(more)
+    # Cells with an edge on all levels, then those they are quartered into.
+    above = finest.withColumn("_level", F.explode(F.array(*map(F.lit, range(levels + 1)))))
+    up = lambda c: F.call_function("shiftright", c, F.lit(levels) - F.col("_level")).alias(c)
+    by = ["_feature", name, "_level", "_cx", "_cy"]
+    border = above.select("_feature", name, "_level", up("_cx"), up("_cy")).distinct()
+    quarter = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (0, 1) for y in (0, 1))))
+    parts = border.where(F.col("_level") < levels).withColumn("_part", quarter).select(
+        "_feature", name, (F.col("_level") + 1).alias("_level"), *((2 * F.col(f"_c{c}") + F.col(f"_part.{c}")).alias(f"_c{c}") for c in "xy")
+    )
+    # Rows of the coarsest cells, between the first and the last that has an edge: what lies beyond is outside.
+    span = border.where("_level = 0").groupBy("_feature", name, "_level", "_cy").agg(F.min("_cx").alias("_a"), F.max("_cx").alias("_b"))
+    coarse = span.withColumn("_cx", F.explode(F.sequence("_a", "_b"))).select(*by)
+    keyed = border.select("_feature", "_level", "_cx", "_cy")
+    holes = parts.unionByName(coarse).join(keyed, ["_feature", "_level", "_cx", "_cy"], "left_anti")
     width = F.lit(float(2**levels) * side) / F.pow(F.lit(2.0), F.col("_level"))
     centres = holes.withColumns({"_px": (F.col("_cx") + 0.5) * width, "_py": (F.col("_cy") + 0.5) * width})
     centres = centres.withColumn("_band", F.floor(F.col("_py") / band_degrees))
-    by = ["_feature", name, "_level", "_cx", "_cy"]
     met = spread_join(centres, _banded(edges, band_degrees), ["_feature", "_band"], "inner", F.struct(*by), task_rows=task_rows)
     inside = _parity(met, by).withColumn("inside", F.lit(True))
     return inside.unionByName(finest.withColumns({"_level": F.lit(levels), "inside": F.lit(False)}))
