@@ -138,7 +138,8 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = K, report: b
     asked = settle(queries.select("id", "vec").dropDuplicates(["id"]), "queries")
     n_q, n_v = asked.count(), base.count()
     q_blocks, v_blocks = max(1, -(-n_q // QUERY_BLOCK)), max(1, -(-n_v // CANDIDATE_BLOCK))
-    deal = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))
+    # A cogroup does not bring its keys to one type, and an int hashes to another task than the equal long.
+    deal = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
     v = base.withColumn("vb", deal(v_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
     def dealt(q: DataFrame) -> DataFrame:

@@ -380,6 +380,25 @@ def test_top_k(spark, monkeypatch):
     assert topk.exact_top_k(base.where("false"), base).count() == 0 and topk.exact_top_k(base, base.where("false")).count() == 0
 
 
+def test_top_k_in_many_tasks(spark, monkeypatch):
+    """Queries and candidates of one pair of blocks meet in one task, however many tasks there are."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 50)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(200)]
+    base = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "31"}
+    before = {name: spark.conf.get(name) for name in held}
+    try:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+        got = topk.exact_top_k(base.where("id % 20 = 0"), base, 20).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sorted(map(tuple, got)) == plain_top(rows, set(range(0, 200, 20)), 20)
+
+
 def test_top_k_prunes_before_full_products(spark, monkeypatch):
     """Vectors whose energy lies in few components: the answers are the same, and few entries are scored in full."""
     monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
