@@ -70,7 +70,7 @@ def op8_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
-    return topk.exact_top_k(vectors.where(F.col("id") % 20 == 0), vectors)
+    return topk.exact_top_k(vectors.where(F.col("id") % 20 == 0), vectors, wide=True)
 
 
 def op10_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -419,6 +419,33 @@ def test_top_k_refuses_scores_that_doubles_cannot_hold(spark):
         topk.exact_top_k(base, base).collect()
 
 
+def test_top_k_beyond_doubles(spark, monkeypatch):
+    """Scores that doubles round are told apart and returned exactly; components may pass the longs if no answer does."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 50)
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=8) * 1e6).tolist()) for i in range(150)]
+    # All nearly equal: scores above 2^53 that differ by less than a double's step there.
+    rows += [(150 + i, [3e6] * 7 + [i / 64]) for i in range(60)]
+    rows += [(300, [1.0] * 7 + [0.5])]
+    # Their products with all of the queries' vectors are far below the longs, or zero.
+    rows += [(301 + i, [-1e30] * 7 + [1.0 + i]) for i in range(3)]
+    rows = [(i, v) for i, v in rows if i % 20 or min(v[:7]) >= 0 or i >= 150]
+    queries = {i for i, _ in rows if i % 20 == 0}
+    base = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    want = plain_top(rows, queries, 20)
+    assert max(s for *_, s in want) > 2**53 and any(float(s) != s for *_, s in want)
+    got = topk.exact_top_k(base.where("id % 20 = 0"), base, 20, wide=True)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+@pytest.mark.parametrize("sign", [1.0, -1.0])
+def test_top_k_refuses_scores_that_longs_cannot_hold(spark, sign):
+    base = topk.integer_vectors(spark.createDataFrame([(0, [1e18, 1.0]), (1, [sign * 1e18, 3.0])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="range of a long"):
+        topk.exact_top_k(base, base, wide=True).collect()
+
+
 # --- repeats -----------------------------------------------------------------------------------
 
 
